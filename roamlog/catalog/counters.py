@@ -121,7 +121,7 @@ def _(spark, sf):
 
 @query("day_heatmap", ck("""
 SELECT y.year, CAST(s.d AS VARCHAR) AS day, coalesce(k.n, 0) AS n,
-  CASE WHEN k.n IS NULL THEN 0 WHEN k.n <= 2 THEN 1 WHEN k.n <= 5 THEN 2 WHEN k.n <= 10 THEN 3 WHEN k.n <= 20 THEN 4 ELSE 5 END AS level,
+  CAST(CASE WHEN k.n IS NULL THEN 0 WHEN k.n <= 2 THEN 1 WHEN k.n <= 5 THEN 2 WHEN k.n <= 10 THEN 3 WHEN k.n <= 20 THEN 4 ELSE 5 END AS BIGINT) AS level,
   CAST(floor((dayofyear(s.d) - 1 + isodow(make_date(y.year, 1, 1)) - 1) / 7) AS BIGINT) AS week, isodow(s.d) - 1 AS dow
 FROM (SELECT DISTINCT year(d) AS year FROM c) y,
   LATERAL (SELECT CAST(unnest(generate_series(CAST(make_date(y.year,1,1) AS TIMESTAMP), CAST(make_date(y.year,12,31) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d) s
@@ -216,10 +216,13 @@ def _(spark, sf):
 
 
 @query("duplicate_rows", ck("""
-SELECT user_id, checkin_id, venue_id, date FROM c
-WHERE (venue_id, date) IN (SELECT (venue_id, date) FROM c GROUP BY venue_id, date HAVING count(*) > 1)"""))
+SELECT user_id, checkin_id, venue_id, date FROM lg
+WHERE (venue_id, date) IN (SELECT (venue_id, date) FROM lg GROUP BY venue_id, date HAVING count(*) > 1)""",
+    extra="lg AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE CAST(checkin_id AS BIGINT) % 20 = 0)"))
 def _(spark, sf):
-    return C.duplicate_rows(X.checkins(spark, sf).select("user_id", "checkin_id", "venue_id", "date"), ["venue_id", "date"])
+    log = X.checkins(spark, sf).select("user_id", "checkin_id", "venue_id", "date")
+    again = log.filter(F.col("checkin_id").cast("bigint") % 20 == 0)
+    return C.duplicate_rows(log.unionAll(again), ["venue_id", "date"])
 
 
 @query("duplicate_rows_by_place", ck("""

@@ -225,7 +225,8 @@ def _pages(spark, sf):
     script = F.concat(F.lit('<script type="application/json" id="__NEXT_DATA__">'), doc, F.lit("</script>"))
     broken = F.lit('<script id="__NEXT_DATA__">{"a": </script>')
     static = F.concat(F.lit('<a data-id="'), F.md5("url").substr(1, 24), F.lit('" href="/user/7">x</a>'))
-    html = F.concat("html", F.when(F.col("page_id") % 5 == 4, broken).otherwise(script), F.when(F.col("page_id") % 4 == 0, static).otherwise(""))
+    link = F.when(F.col("page_id") % 4 == 0, static).otherwise("")
+    html = F.concat(link, F.col("html"), F.when(F.col("page_id") % 5 == 4, broken).otherwise(script))
     return p.select("page_id", html.alias("html"))
 
 

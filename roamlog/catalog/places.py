@@ -85,13 +85,13 @@ _GROUP_CASE = """CASE
 @query("category_groups", ck(f"""
 SELECT g AS "group", count(*) AS n, min(ts) AS first_ts FROM (SELECT *, {_GROUP_CASE} AS g FROM c WHERE category <> '') WHERE g IS NOT NULL GROUP BY 1"""))
 def _(spark, sf):
-    return C.category_groups(X.checkins(spark, sf), cleaning.keyword_table(spark, GROUPS))
+    return C.category_groups(X.checkins(spark, sf), GROUPS)
 
 
 @query("categorize", ck(f"SELECT user_id, checkin_id, category, {_GROUP_CASE} AS category_group FROM c"))
 def _(spark, sf):
     view = X.checkins(spark, sf).select("user_id", "checkin_id", "category")
-    return cleaning.categorize(view, cleaning.keyword_table(spark, GROUPS))
+    return cleaning.categorize(view, GROUPS)
 
 
 # Display groups of the example query, as (category, group, group_ord, cat_ord).
@@ -104,7 +104,7 @@ _EXPLORER_VALUES = ", ".join(f"('{c}', '{g}', {go}, {co})" for c, g, go, co in E
 
 
 @query("category_explorer", ck(f"""
-SELECT "group", group_ord, venue_id, name, city, n FROM (
+SELECT "group", CAST(group_ord AS BIGINT) AS group_ord, venue_id, name, city, n FROM (
   SELECT g.grp AS "group", g.group_ord, venue_id, count(*) AS n, row_number() OVER (
       PARTITION BY g.grp ORDER BY count(*) DESC, min((g.cat_ord, ts, venue, city)), venue_id) AS r,
     arg_min(venue, (g.cat_ord, ts, venue, city)) AS name, arg_min(city, (g.cat_ord, ts, venue, city)) AS city

@@ -58,11 +58,25 @@ def _whole(c: Column) -> Column:
     return F.floor(c + 0.5).cast("bigint").cast("string")
 
 
+def fixed_1(x: Column) -> Column:
+    """One decimal place, rounding the exact binary value (halves up), as browsers print it.
+
+    Ten times ``x`` is 8x + 2x; the rounding error of that sum decides apparent halves.
+    """
+    a, b = x * F.lit(8.0), x * F.lit(2.0)
+    s = a + b
+    error = (a - (s - (s - a))) + (b - (s - a))
+    low = F.floor(s)
+    rest = s - low
+    n = (low + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)).cast("bigint")
+    return F.concat(F.floor(n / 10).cast("bigint").cast("string"), F.lit("."), F.pmod(n, F.lit(10)).cast("string"))
+
+
 def distance_label(km: Column) -> Column:
     return (
         F.when(km.isNull(), F.lit(None).cast("string"))
         .when(km < 1, F.concat(_whole(km * 1000), F.lit("m")))
-        .when(km < 10, F.concat(F.format_string("%.1f", km), F.lit("km")))
+        .when(km < 10, F.concat(fixed_1(km), F.lit("km")))
         .otherwise(F.concat(_whole(km), F.lit("km")))
     )
 
@@ -227,7 +241,7 @@ def weather_label(code: Column, hour: Column) -> Column:
 
 
 def population_label(pop_m: Column) -> Column:
-    return F.when(pop_m >= 1, F.concat(F.format_string("%.1f", pop_m), F.lit("M"))).otherwise(
+    return F.when(pop_m >= 1, F.concat(fixed_1(pop_m), F.lit("M"))).otherwise(
         F.concat(_whole(pop_m * 1000), F.lit("K"))
     )
 

@@ -157,33 +157,34 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
-def keyword_table(spark, groups: dict[str, list[str]]) -> DataFrame:
-    """``(keyword, group, ord)`` from group -> keywords; a repeated keyword keeps its first place
-    and its last group, as a dictionary would."""
-    order: dict[str, tuple[str, int]] = {}
+def keywords(groups: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """Ordered ``(keyword, group)`` of a group -> keywords configuration.
+
+    A keyword listed twice keeps its first place and its last group, as a dictionary would.
+    """
+    flat: dict[str, str] = {}
     for group, words in groups.items():
-        for w in words:
-            lw = w.lower()
-            order[lw] = (group, order[lw][1] if lw in order else len(order))
-    rows = [(w, g, i) for w, (g, i) in order.items()]
-    return spark.createDataFrame(rows, "keyword string, group string, ord int")
+        flat.update({w.lower(): group for w in words})
+    return list(flat.items())
 
 
-def group_of(category: Column, groups: DataFrame) -> Column:
+def group_of(category: Column, groups: dict[str, list[str]]) -> Column:
     """Group of a category: exact keyword, else the first keyword that contains it or is in it.
 
-    ``groups`` is the configured keyword list. It is folded into one sorted array by a scalar
-    sub-query, so each category is compared with the list where it is, without a join.
+    The configured list becomes one constant array, so a category is compared with the
+    keywords where it is, without a join. Apply it to distinct categories.
     """
-    words = F.array_sort(F.collect_list(F.struct("ord", "keyword", F.col("group").alias("g"))))
-    table = groups.select(words.alias("w")).scalar()
+    flat = keywords(groups)
+    if not flat:
+        return F.lit(None).cast("string")
     low = F.lower(category)
-    exact = F.filter(table, lambda x: x["keyword"] == low)
-    loose = F.filter(table, lambda x: low.contains(x["keyword"]) | x["keyword"].contains(low))
-    return F.coalesce(F.try_element_at(exact, F.lit(1))["g"], F.try_element_at(loose, F.lit(1))["g"])
+    exact = S.lookup(dict(flat), low)
+    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(g).alias("g")) for w, g in flat])
+    loose = F.filter(table, lambda x: low.contains(x["w"]) | x["w"].contains(low))
+    return F.coalesce(exact, F.try_element_at(loose, F.lit(1))["g"])
 
 
-def categorize(df: DataFrame, groups: DataFrame) -> DataFrame:
+def categorize(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """Adds ``category_group``; each distinct category is matched once and joined back."""
     kinds = df.filter("category <> ''").select("category").distinct()
     return df.join(kinds.withColumn("category_group", group_of(F.col("category"), groups)), "category", "left")

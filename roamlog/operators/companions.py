@@ -34,7 +34,7 @@ def companion_ids(ck: DataFrame, by: list[str] | None = None) -> DataFrame:
     def pairs(names: Column, ids: Column) -> Column:
         zipped = F.transform(
             F.arrays_zip(names.alias("a"), ids.alias("b")),
-            lambda x: F.struct(x["0"].alias("name"), x["1"].alias("id")),
+            lambda x: F.struct(x["a"].alias("name"), x["b"].alias("id")),
         )
         return F.filter(zipped, lambda x: x["name"].isNotNull() & x["id"].isNotNull())
 

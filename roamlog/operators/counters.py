@@ -187,7 +187,7 @@ def category_list(ck: DataFrame, by: list[str] | None = None) -> DataFrame:
     return _named(ck, by or [], "category")
 
 
-def category_groups(ck: DataFrame, groups: DataFrame, by: list[str] | None = None) -> DataFrame:
+def category_groups(ck: DataFrame, groups: dict[str, list[str]], by: list[str] | None = None) -> DataFrame:
     """Rows per category group. Categories are counted first, so grouping sees only distinct ones."""
     from roamlog.operators.cleaning import group_of
 

@@ -126,7 +126,7 @@ def world_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(i < 24, F.concat(F.lit("Old City "), i.cast("string"))).otherwise(F.col("c_name")).alias("name"),
         ((i % 160 - 80) / F.lit(1.0)).alias("lat"),
         ((i % 340 - 170) / F.lit(1.0)).alias("lng"),
-        ((i * 7 % 3000) / F.lit(100.0) + 0.05).alias("pop_m"),
+        ((i * 7 % 3000) / F.lit(100.0) + 0.003).alias("pop_m"),
         F.element_at(
             F.array(*[F.lit(x) for x in ("AS", "EU", "NA", "SA", "AF", "OC")]), (i % 6 + 1).cast("int")
         ).alias("continent"),
@@ -138,7 +138,7 @@ world AS (
   SELECT CASE WHEN c_custkey < 12 THEN 'city ' || CAST(c_custkey AS VARCHAR)
               WHEN c_custkey < 24 THEN 'Old City ' || CAST(c_custkey AS VARCHAR) ELSE c_name END AS name,
     (c_custkey % 160 - 80) / 1.0e0 AS lat, (c_custkey % 340 - 170) / 1.0e0 AS lng,
-    (c_custkey * 7 % 3000) / 100.0e0 + 0.05e0 AS pop_m,
+    (c_custkey * 7 % 3000) / 100.0e0 + 0.003e0 AS pop_m,
     CASE c_custkey % 6 WHEN 0 THEN 'AS' WHEN 1 THEN 'EU' WHEN 2 THEN 'NA' WHEN 3 THEN 'SA' WHEN 4 THEN 'AF' ELSE 'OC' END AS continent
   FROM customer
 )"""

@@ -101,6 +101,15 @@ def read_lookup(spark: SparkSession, path: str, kind: str = "map", section: str
     return spark.createDataFrame(rows, _KINDS[kind])
 
 
+def read_groups(path: str, section: str) -> dict[str, list[str]]:
+    """Group -> categories of a configuration section, in file order."""
+    try:
+        data = _load(path) or {}
+    except FileNotFoundError:
+        return {}
+    return {g: [str(c) for c in cs] for g, cs in data.get(section, {}).items()}
+
+
 def read_settings(path: str) -> dict[str, object]:
     """Home city and minimum trip length."""
     try:
