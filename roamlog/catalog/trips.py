@@ -199,7 +199,7 @@ def _(spark, sf):
 @query("raw_runs", f"WITH RECURSIVE {X.checkins_sql()}, {DATED}, log AS (SELECT * FROM c), {_RULES}" + "\nSELECT user_id, fp, lp, s_ts AS start_ts, l_ts AS last_ts FROM runs")
 def _(spark, sf):
     marked = T.mark_log(X.checkins(spark, sf), U, "HOME", 5, T.TripTables())
-    return T.runs_of(marked, U).select("user_id", "fp", "lp", "start_ts", "last_ts")
+    return T.runs_of(T.link_runs(marked, U), U).select("user_id", "fp", "lp", "start_ts", "last_ts")
 
 
 @query("order_rows", ck("SELECT user_id, checkin_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, checkin_id) AS idx FROM c"))
@@ -215,6 +215,6 @@ FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, checkin_id)"""))
 def _(spark, sf):
     rows = O.scan_log(
         X.checkins(spark, sf).select("user_id", "checkin_id", "ts", "city"), U,
-        {"home": F.col("city") == "HOME"}, {"foreign": ~F.col("city").isin("", "HOME")})
+        {"home": F.col("city") == "HOME"}, {"foreign": ~F.col("city").isin("", "HOME")}, timed={"home", "foreign"})
     return rows.select("user_id", "checkin_id", "idx", "log_rows", F.coalesce("next_home_ts", F.lit(-1)).alias("next_home_ts"),
                        F.coalesce("prev_foreign_ts", F.lit(-1)).alias("prev_foreign_ts"))

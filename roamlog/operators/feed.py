@@ -20,7 +20,7 @@ def feed(ck: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def feed_gaps(feed_: DataFrame, by: list[str] | None = None, chunk_seconds: int = DAY) -> DataFrame:
+def feed_gaps(feed_: DataFrame, by: list[str] | None = None, chunk_seconds: int | None = None) -> DataFrame:
     """Seconds and distance from each row to the next newer one.
 
     The newer neighbour is the previous row when time is read backwards, so the chunked lag

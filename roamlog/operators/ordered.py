@@ -1,10 +1,10 @@
 """Ordered operators over event logs of any size per key.
 
-``Window.partitionBy(user)`` puts a whole user in one task. Here a log is cut into time
-chunks ``(by, floor(ts / chunk_seconds))``: windows run inside a chunk, one summary row per
-chunk carries the running state across chunks, and the two are joined on the chunk key. One
-user with a third of all rows is thus spread over as many tasks as it has chunks, and only
-the summaries (one row per chunk) meet in a per-key window.
+``Window.partitionBy(user)`` puts a whole user in one task. Here a log is cut into time chunks
+``(by, floor(ts / width))``: windows run inside a chunk, one summary row per chunk carries the
+running state across chunks, and the two are joined on the chunk key. The width is coarse for
+ordinary logs, so summaries are few, and narrow for the heavy ones, so that one user with a
+third of all rows is spread over as many tasks as the rows need.
 """
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DAY = 86_400
+COARSE = 28 * DAY
+HEAVY_ROWS = 1_000_000
 _CHUNK = "_chunk"
 
 
@@ -24,6 +26,29 @@ def _by(by: Iterable[str]) -> list[Column]:
     return [F.col(c) for c in by] or [F.lit(0)]
 
 
+def with_chunk(df: DataFrame, by: list[str], ts: str = "ts", chunk_seconds: int | None = None) -> DataFrame:
+    """Adds ``_chunk``, increasing with time in each log, sized by how dense the log is.
+
+    A log of more than ``HEAVY_ROWS`` rows gets chunks that hold that many on average. The
+    table of such logs has at most (all rows / ``HEAVY_ROWS``) rows, which bounds the broadcast;
+    it is found by a count that reads the key and time columns only.
+    """
+    if _CHUNK in df.columns:
+        return df
+    if chunk_seconds is not None:
+        return df.withColumn(_CHUNK, chunk_of(F.col(ts), chunk_seconds))
+    span = F.max(ts) - F.min(ts) + 1
+    width = F.greatest(F.lit(1), F.floor(span * F.lit(float(HEAVY_ROWS)) / F.count("*")).cast("bigint")).alias("_width")
+    if not by:
+        heavy = df.agg(F.when(F.count("*") > HEAVY_ROWS, F.least(width, F.lit(COARSE))).alias("_width"))
+        sized = df.withColumn("_width", heavy.scalar())
+    else:
+        heavy = df.groupBy(*by).agg(F.count("*").alias("_n"), width).filter(F.col("_n") > HEAVY_ROWS).drop("_n")
+        sized = df.join(F.broadcast(heavy), by, "left")
+    wide = F.least(F.coalesce("_width", F.lit(COARSE)), F.lit(COARSE))
+    return sized.withColumn(_CHUNK, F.floor(F.col(ts) / wide).cast("bigint")).drop("_width")
+
+
 def scan_log(
     df: DataFrame,
     by: list[str],
@@ -33,87 +58,130 @@ def scan_log(
     ts: str = "ts",
     tie: str = "checkin_id",
     real: Column | None = None,
-    chunk_seconds: int = DAY,
+    timed: Iterable[str] = (),
+    chunk_seconds: int | None = None,
 ) -> DataFrame:
     """Number the rows of each log and point every row at its nearest marked neighbours.
 
-    Adds ``idx`` (1-based, order ``ts, tie``) and ``log_rows``; for each mark in
-    ``following`` / ``preceding`` the pair ``next_<m>`` / ``prev_<m>`` and ``..._ts``: ordinal
-    and time of the nearest later / earlier row where the mark holds (the row itself never
-    counts). Rows where ``real`` is false are probes: they are not numbered (their ``idx`` is
-    that of the last real row before them) and their marks must be false.
+    Adds ``idx`` (1-based, order ``ts, tie``) and ``log_rows``; for each mark in ``following`` /
+    ``preceding`` the ordinal ``next_<m>`` / ``prev_<m>`` of the nearest later / earlier row where
+    the mark holds (the row itself never counts), and its time ``..._ts`` for marks in ``timed``.
+    Rows where ``real`` is false are probes: they are not numbered (their ``idx`` is that of the
+    last real row before them) and their marks must be false.
     """
-    following, preceding = dict(following or {}), dict(preceding or {})
-    marks = {**following, **preceding}
+    following, preceding, timed = dict(following or {}), dict(preceding or {}), set(timed)
     keys = [*by, _CHUNK]
-    cut = df if _CHUNK in df.columns else df.withColumn(_CHUNK, chunk_of(F.col(ts), chunk_seconds))
-    flagged = cut.withColumns(
+    flagged = with_chunk(df, by, ts, chunk_seconds).withColumns(
         {
             "_real": F.lit(1) if real is None else F.when(real, 1).otherwise(0),
-            **{f"_m_{m}": F.coalesce(p, F.lit(False)) for m, p in marks.items()},
-        }
-    )
-    up = Window.partitionBy(*_by(keys)).orderBy(ts, tie)
-    down = Window.partitionBy(*_by(keys)).orderBy(F.desc(ts), F.desc(tie))
-    numbered = flagged.withColumn("_rn", F.sum("_real").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-
-    hit = {m: F.when(F.col(f"_m_{m}"), F.col("_rn")) for m in marks}
-    hit_ts = {m: F.when(F.col(f"_m_{m}"), F.col(ts)) for m in marks}
-    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (up, down))
-    local = numbered.withColumns(
-        {
-            **{f"_p_{m}": F.max(hit[m]).over(before) for m in preceding},
-            **{f"_pt_{m}": F.max(hit_ts[m]).over(before) for m in preceding},
-        }
-    ).withColumns(
-        {
-            **{f"_n_{m}": F.min(hit[m]).over(after) for m in following},
-            **{f"_nt_{m}": F.min(hit_ts[m]).over(after) for m in following},
+            **{f"_m_{m}": F.coalesce(p, F.lit(False)) for m, p in {**following, **preceding}.items()},
         }
     )
+    up, down = _orders(keys, ts, tie)
+    numbered_ = flagged.withColumn("_rn", F.sum("_real").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    local = numbered_.withColumns(_nearest(following, preceding, timed, "_rn", ts, up, down))
 
-    summary = numbered.groupBy(*keys).agg(
-        F.max("_rn").alias("_rows"),
-        *[F.min(hit[m]).alias(f"_f_{m}") for m in following],
-        *[F.min(hit_ts[m]).alias(f"_ft_{m}") for m in following],
-        *[F.max(hit[m]).alias(f"_l_{m}") for m in preceding],
-        *[F.max(hit_ts[m]).alias(f"_lt_{m}") for m in preceding],
-    )
-    chunks_up = Window.partitionBy(*_by(by)).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    chunks_down = Window.partitionBy(*_by(by)).orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    marks = _extremes(following, preceding, timed, "_rn", ts)
+    summary = (numbered_ if marks else flagged).groupBy(*keys).agg(F.sum("_real").alias("_rows"), *marks)
+    before, after = _chunk_orders(by)
     carried = summary.withColumns(
         {
-            "_off": F.coalesce(F.sum("_rows").over(chunks_up), F.lit(0)),
+            "_off": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
             "log_rows": F.sum("_rows").over(Window.partitionBy(*_by(by))),
         }
     )
-    carried = carried.withColumns(
-        {
-            **{f"_cp_{m}": F.max(F.col("_off") + F.col(f"_l_{m}")).over(chunks_up) for m in preceding},
-            **{f"_cpt_{m}": F.max(f"_lt_{m}").over(chunks_up) for m in preceding},
-        }
-    ).withColumns(
-        {
-            **{f"_cn_{m}": F.min(F.col("_off") + F.col(f"_f_{m}")).over(chunks_down) for m in following},
-            **{f"_cnt_{m}": F.min(f"_ft_{m}").over(chunks_down) for m in following},
-        }
-    )
-    carry_cols = ["_off", "log_rows"] + [
-        c for c in carried.columns if c.startswith(("_cp_", "_cpt_", "_cn_", "_cnt_"))
-    ]
-    joined = local.join(carried.select(*keys, *carry_cols), keys)
+    carried = carried.select(*keys, "_off", "log_rows", *_carries(following, preceding, timed, F.col("_off"), before, after))
+    joined = local.join(carried, keys)
     return joined.select(
-        *df.columns,
-        (F.col("_off") + F.col("_rn")).alias("idx"),
-        "log_rows",
-        *[F.coalesce(F.col("_off") + F.col(f"_n_{m}"), F.col(f"_cn_{m}")).alias(f"next_{m}") for m in following],
-        *[F.coalesce(f"_nt_{m}", f"_cnt_{m}").alias(f"next_{m}_ts") for m in following],
-        *[F.coalesce(F.col("_off") + F.col(f"_p_{m}"), F.col(f"_cp_{m}")).alias(f"prev_{m}") for m in preceding],
-        *[F.coalesce(f"_pt_{m}", f"_cpt_{m}").alias(f"prev_{m}_ts") for m in preceding],
+        *[c for c in df.columns],
+        (F.col("_off") + F.col("_rn")).alias("idx"), "log_rows",
+        *_resolved(following, preceding, timed, F.col("_off")),
+    )
+
+
+def mark_neighbours(
+    df: DataFrame,
+    by: list[str],
+    following: Mapping[str, Column] | None = None,
+    preceding: Mapping[str, Column] | None = None,
+    *,
+    idx: str = "idx",
+    ts: str = "ts",
+    tie: str = "checkin_id",
+    timed: Iterable[str] = (),
+    chunk_seconds: int | None = None,
+) -> DataFrame:
+    """As :func:`scan_log` for rows that already carry an ordinal ``idx`` (which may have gaps)."""
+    following, preceding, timed = dict(following or {}), dict(preceding or {}), set(timed)
+    keys = [*by, _CHUNK]
+    flagged = with_chunk(df, by, ts, chunk_seconds).withColumns(
+        {f"_m_{m}": F.coalesce(p, F.lit(False)) for m, p in {**following, **preceding}.items()}
+    )
+    up, down = _orders(keys, idx)
+    local = flagged.withColumns(_nearest(following, preceding, timed, idx, ts, up, down))
+    summary = flagged.groupBy(*keys).agg(*_extremes(following, preceding, timed, idx, ts))
+    before, after = _chunk_orders(by)
+    carried = summary.select(*keys, *_carries(following, preceding, timed, F.lit(0), before, after))
+    return local.join(carried, keys).select(*df.columns, *_resolved(following, preceding, timed, F.lit(0)))
+
+
+def _orders(keys: list[str], *order: str):
+    return (
+        Window.partitionBy(*_by(keys)).orderBy(*order),
+        Window.partitionBy(*_by(keys)).orderBy(*[F.desc(c) for c in order]),
+    )
+
+
+def _chunk_orders(by: list[str]):
+    return tuple(
+        Window.partitionBy(*_by(by)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+        for o in (F.asc(_CHUNK), F.desc(_CHUNK))
     )
 
 
-def order_rows(df: DataFrame, by: list[str], chunk_seconds: int = DAY) -> DataFrame:
+def _values(m: str, timed: set[str], pos: str, ts: str) -> list[tuple[str, Column]]:
+    hit = F.col(f"_m_{m}")
+    out = [(m, F.when(hit, F.col(pos)))]
+    return out + [(f"{m}_ts", F.when(hit, F.col(ts)))] if m in timed else out
+
+
+def _nearest(following, preceding, timed, pos, ts, up, down) -> dict[str, Column]:
+    """Nearest hits inside the chunk. Later rows are reached by reading the chunk backwards, so
+    every frame grows and each row is added once."""
+    ahead, behind = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (down, up))
+    out = {f"_p_{n}": F.max(v).over(behind) for m in preceding for n, v in _values(m, timed, pos, ts)}
+    out |= {f"_n_{n}": F.min(v).over(ahead) for m in following for n, v in _values(m, timed, pos, ts)}
+    return out
+
+
+def _extremes(following, preceding, timed, pos, ts) -> list[Column]:
+    return [
+        *[F.min(v).alias(f"_f_{n}") for m in following for n, v in _values(m, timed, pos, ts)],
+        *[F.max(v).alias(f"_l_{n}") for m in preceding for n, v in _values(m, timed, pos, ts)],
+    ]
+
+
+def _carries(following, preceding, timed, off, before, after) -> list[Column]:
+    out = []
+    for marks, side, best, over in ((following, "f", F.min, after), (preceding, "l", F.max, before)):
+        for m in marks:
+            out.append(best(off + F.col(f"_{side}_{m}")).over(over).alias(f"_c{side}_{m}"))
+            if m in timed:
+                out.append(best(f"_{side}_{m}_ts").over(over).alias(f"_c{side}_{m}_ts"))
+    return out
+
+
+def _resolved(following, preceding, timed, off) -> list[Column]:
+    out = []
+    for marks, side, name, got in ((following, "f", "next", "n"), (preceding, "l", "prev", "p")):
+        for m in marks:
+            out.append(F.coalesce(off + F.col(f"_{got}_{m}"), F.col(f"_c{side}_{m}")).alias(f"{name}_{m}"))
+            if m in timed:
+                out.append(F.coalesce(f"_{got}_{m}_ts", f"_c{side}_{m}_ts").alias(f"{name}_{m}_ts"))
+    return out
+
+
+def order_rows(df: DataFrame, by: list[str], chunk_seconds: int | None = None) -> DataFrame:
     """Drop undated rows and number the rest per log (``idx``, 1-based)."""
     return scan_log(df.filter(F.col("ts").isNotNull()), by, chunk_seconds=chunk_seconds).drop("log_rows")
 
@@ -125,12 +193,12 @@ def with_previous(
     *,
     ts: str = "ts",
     tie: str = "checkin_id",
-    chunk_seconds: int = DAY,
+    chunk_seconds: int | None = None,
     prefix: str = "prev_",
 ) -> DataFrame:
     """Values of ``cols`` on the row before, in order ``ts, tie`` (NULL on the first row)."""
     keys = [*by, _CHUNK]
-    cut = df.withColumn(_CHUNK, chunk_of(F.col(ts), chunk_seconds))
+    cut = with_chunk(df, by, ts, chunk_seconds)
     w = Window.partitionBy(*_by(keys)).orderBy(ts, tie)
     local = cut.withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(F.struct(*cols)).over(w)})
     summary = cut.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_last"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roamlog import fixed
 from roamlog.functions import scalars as S
-from roamlog.operators.ordered import DAY, chunk_of, numbered, scan_log
+from roamlog.operators.ordered import DAY, chunk_of, mark_neighbours, numbered, scan_log, with_chunk
 from roamlog.session import stage
 
 HOUR = 3600
@@ -51,8 +51,12 @@ def _within(later: Column, earlier: Column, seconds: int) -> Column:
 
 
 def mark_log(ck: DataFrame, by: list[str], home: str, min_checkins: int, tables: TripTables,
-             chunk_seconds: int = DAY) -> DataFrame:
-    """Numbered log with the neighbour lookups all trip rules need (plus probe rows)."""
+             chunk_seconds: int | None = None) -> DataFrame:
+    """Numbered log with the neighbour lookups all trip rules need (plus probe rows), staged.
+
+    Columns next to the row fields: ``idx``, the neighbours of each mark, ``is_*`` flags, and
+    ``fp`` (first position of the run) on the last row of every run that is long enough.
+    """
     city, cat = F.col("city"), F.col("category")
     rows = ck.filter(F.col("ts").isNotNull()).select(
         *by, "ts", F.coalesce("checkin_id", F.lit("")).alias("checkin_id"),
@@ -61,14 +65,15 @@ def mark_log(ck: DataFrame, by: list[str], home: str, min_checkins: int, tables:
     )
     for probe in _probes(by, tables):
         rows = rows.unionByName(probe, allowMissingColumns=True)
-    rows = rows.withColumn("_chunk", chunk_of(F.col("ts"), chunk_seconds))
 
     real = F.col("real")
     at_home = real & (city == home)
     foreign = real & (city != home) & (city != "")
     hub = at_home & cat.isin(fixed.TRANSPORT_HUBS)
-    first = scan_log(
-        rows, by,
+    on_ride = at_home & cat.isin(fixed.BICYCLE_START)
+    bicycle = {"pass": on_ride} if tables.tags is not None else {}
+    scanned = scan_log(
+        with_chunk(rows, by, chunk_seconds=chunk_seconds), by,
         following={
             "home": at_home,
             "hub": hub,
@@ -76,33 +81,26 @@ def mark_log(ck: DataFrame, by: list[str], home: str, min_checkins: int, tables:
             "hp": at_home & (cat == fixed.HOME_CATEGORY),
             "foreign": foreign,
             "stop": (foreign & ~cat.isin(fixed.ROADSIDE)) | (real & cat.isin(fixed.NIGHTLIFE)),
-            "pass": at_home & cat.isin(fixed.BICYCLE_START),
+            **bicycle,
         },
         preceding={"home": at_home, "foreign": foreign},
-        real=real, chunk_seconds=chunk_seconds,
+        timed={"hub", "nbhd", "hp", *bicycle}, real=real,
     )
-    keep = max(1, min_checkins - 1)
-    idx, last = F.col("pos"), F.col("total")
-    away = real & (city != home)
     run_first = F.coalesce("prev_home", F.lit(0)) + 1
-    run_last = F.coalesce(F.col("next_home") - 1, last)
-    long_run = (run_last - run_first + 1) >= keep
-    second = scan_log(
-        first.withColumnsRenamed({"idx": "pos", "log_rows": "total"})
-        .drop("next_home_ts", "prev_home_ts", "prev_foreign_ts", "next_foreign_ts", "next_stop_ts"),
-        by,
-        following={"kept": away & (idx == run_first) & long_run},
-        preceding={"run": away & (idx == run_first), "kept_end": away & (idx == run_last) & long_run},
-        real=real, chunk_seconds=chunk_seconds,
-    )
-    return second.withColumns(
-        {
-            "is_hub": hub,
-            "is_foreign": foreign,
-            "is_pass": at_home & cat.isin(fixed.BICYCLE_START),
-            "fp": F.when(away & (idx == run_last) & long_run, run_first),
-        }
-    ).drop("idx", "log_rows", "_chunk", "next_home", "prev_home", "prev_kept_end_ts", "prev_run").withColumnRenamed("pos", "idx")
+    run_last = F.coalesce(F.col("next_home") - 1, F.col("log_rows"))
+    kept = real & (city != home) & ((run_last - run_first + 1) >= max(1, min_checkins - 1))
+    return stage(
+        scanned.withColumns(
+            {
+                "is_hub": hub,
+                "is_foreign": foreign,
+                "is_pass": on_ride,
+                "run_start": kept & (F.col("idx") == run_first),
+                "fp": F.when(kept & (F.col("idx") == run_last), run_first),
+            }
+        ).drop("log_rows", "next_home", "prev_home"),
+        "ordered",
+    )
 
 
 def _probes(by: list[str], t: TripTables) -> list[DataFrame]:
@@ -131,9 +129,24 @@ def _row_at(ordered: DataFrame, by: list[str], position: str, cols: dict[str, st
     return ordered.filter("real").select(*by, F.col("idx").alias(position), *[F.col(c).alias(n) for c, n in cols.items()])
 
 
-def runs_of(ordered: DataFrame, by: list[str]) -> DataFrame:
-    """One row per long-enough run with its arrival: ``fp, lp, start_ts, end1, end1_ts, found``."""
-    r = ordered.filter(F.col("fp").isNotNull()).select(
+def link_runs(ordered: DataFrame, by: list[str]) -> DataFrame:
+    """Run ends with the start time of their run and the run before; departure candidates with
+    the run they may open. Only those rows take part, not the whole log."""
+    ride = F.col("category").isin([*fixed.DEPARTURE_SERVICES, fixed.DEPARTURE_FUEL])
+    candidate = ~F.col("is_foreign") & (F.col("is_hub") | ride)
+    rows = ordered.filter(F.col("real") & (F.col("run_start") | F.col("fp").isNotNull() | candidate)).withColumn(
+        "candidate", candidate)
+    return mark_neighbours(
+        rows, by,
+        following={"kept": F.col("run_start")},
+        preceding={"run": F.col("run_start"), "kept_end": F.col("fp").isNotNull()},
+        timed={"kept", "run"},
+    )
+
+
+def runs_of(linked: DataFrame, by: list[str]) -> DataFrame:
+    """One row per long-enough run with its arrival: ``fp, lp, start_ts, end1, found``."""
+    r = linked.filter(F.col("fp").isNotNull()).select(
         *by, "fp", F.col("idx").alias("lp"), F.col("prev_kept_end").alias("prev_lp"),
         F.when(F.col("fp") == F.col("idx"), F.col("ts")).otherwise(F.col("prev_run_ts")).alias("start_ts"),
         F.col("ts").alias("last_ts"),
@@ -144,13 +157,10 @@ def runs_of(ordered: DataFrame, by: list[str]) -> DataFrame:
         F.col("next_hp").isNull() | (F.col("next_hp") > F.col("next_nbhd"))
     )
     nbhd_ok = _within(F.col("next_nbhd_ts"), F.col("last_ts"), DAY) & clear
-    arrival = F.when(hub_ok, F.struct(F.col("next_hub").alias("i"), F.col("next_hub_ts").alias("t"))).when(
-        nbhd_ok, F.struct(F.col("next_nbhd").alias("i"), F.col("next_nbhd_ts").alias("t"))
-    )
-    return r.withColumn("_a", arrival).select(
+    arrival = F.when(hub_ok, F.col("next_hub")).when(nbhd_ok, F.col("next_nbhd"))
+    return r.select(
         *by, "fp", "lp", "prev_lp", "start_ts", "last_ts",
-        F.coalesce("_a.i", "lp").alias("end1"), F.coalesce("_a.t", "last_ts").alias("end1_ts"),
-        F.col("_a").isNotNull().alias("found"),
+        F.coalesce(arrival, "lp").alias("end1"), arrival.isNotNull().alias("found"),
     )
 
 
@@ -166,7 +176,7 @@ def _home_arrival(runs: DataFrame, ordered: DataFrame, by: list[str], position:
     )
 
 
-def _starts(runs: DataFrame, ordered: DataFrame, by: list[str]) -> DataFrame:
+def _starts(runs: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``prev_end``, ``start1`` and ``start1_ts`` (departure rules) to runs with ``end_idx``."""
     before = runs.select(*by, F.col("lp").alias("prev_lp"), F.col("end_idx").alias("prev_end"))
     runs = runs.join(before, [*by, "prev_lp"], "left").withColumn("prev_end", F.coalesce("prev_end", F.lit(0)))
@@ -174,11 +184,10 @@ def _starts(runs: DataFrame, ordered: DataFrame, by: list[str]) -> DataFrame:
     # A row can only open the next kept run, so candidates never multiply.
     services = F.col("category").isin(fixed.DEPARTURE_SERVICES)
     fuel = F.col("category") == fixed.DEPARTURE_FUEL
-    near = ordered.filter(
-        F.col("real") & ~F.col("is_foreign") & F.col("next_kept").isNotNull()
+    near = linked.filter(
+        F.col("candidate") & F.col("next_kept").isNotNull()
         & _within(F.col("next_kept_ts"), F.col("ts"), DAY)
         & (F.col("next_foreign").isNull() | (F.col("next_foreign") >= F.col("next_kept")))
-        & (F.col("is_hub") | services | fuel)
     ).select(*by, F.col("next_kept").alias("fp"), "idx", "ts", "venue_id", "is_hub",
              services.alias("is_service"), fuel.alias("is_fuel"))
     keys = [*by, "fp"]
@@ -220,15 +229,16 @@ def _starts(runs: DataFrame, ordered: DataFrame, by: list[str]) -> DataFrame:
     ).drop("hub_idx", "hub_ts", "svc_idx", "svc_ts", "fuel_idx", "fuel_ts")
 
 
-def _forced_ends(runs: DataFrame, ordered: DataFrame, by: list[str], overrides: DataFrame) -> DataFrame:
+def _forced_ends(runs: DataFrame, ordered: DataFrame, linked: DataFrame, by: list[str],
+                 overrides: DataFrame) -> DataFrame:
     """Solve starts and forced ends together: repeat until no end moves."""
     forced = _rank_at(ordered, by, overrides.select(*by, F.col("start_ts").alias("start1_ts"), "end_ts"),
                       F.col("end_ts") + 1, "forced").select(*by, "start1_ts", "forced")
     base = runs.columns
     state = runs
     while True:
-        s = _starts(state, ordered, by).drop("end_idx").withColumnRenamed("end2", "_old") if "end2" in state.columns \
-            else _starts(state, ordered, by).drop("end_idx").withColumn("_old", F.col("end1"))
+        s = _starts(state, linked, by).drop("end_idx")
+        s = s.withColumnRenamed("end2", "_old") if "end2" in s.columns else s.withColumn("_old", F.col("end1"))
         moved = s.join(forced, [*by, "start1_ts"], "left").withColumn(
             "end2", F.greatest(F.col("end1"), F.coalesce("forced", F.col("end1")))
         )
@@ -244,16 +254,17 @@ def detect(
     home: str,
     min_checkins: int = 5,
     tables: TripTables | None = None,
-    chunk_seconds: int = DAY,
+    chunk_seconds: int | None = None,
 ) -> Trips:
     """Find the trips of every log. ``ck`` needs ``by``, ``ts``, ``checkin_id`` and the row fields."""
     t = tables or TripTables()
-    ordered = stage(mark_log(ck, by, home, min_checkins, t, chunk_seconds), "ordered")
-    runs = _home_arrival(runs_of(ordered, by), ordered, by, "end1")
+    ordered = mark_log(ck, by, home, min_checkins, t, chunk_seconds)
+    linked = stage(link_runs(ordered, by), "runs")
+    runs = _home_arrival(runs_of(linked, by), ordered, by, "end1")
     if t.end_overrides is None:
-        found = _starts(runs, ordered, by)
+        found = _starts(runs, linked, by)
     else:
-        found = _forced_ends(runs, ordered, by, t.end_overrides)
+        found = _forced_ends(runs, ordered, linked, by, t.end_overrides)
     found = found.withColumns({"start_idx": F.col("start1"), "name_ts": F.col("start1_ts")})
     if t.start_overrides is not None:
         found = _forced_starts(found, ordered, by, t.start_overrides)
@@ -265,7 +276,7 @@ def detect(
         found = found.join(t.exclude.select(*by, "start_ts").distinct(), [*by, "start_ts"], "left_anti")
     trips = numbered(
         found.select(*by, "fp", "start_idx", "end_idx", "start_ts", "name_ts"),
-        by, [chunk_of(F.col("start_ts"), chunk_seconds)], [F.col("start_ts"), F.col("fp")], "trip_id",
+        by, [chunk_of(F.col("start_ts"), chunk_seconds or DAY)], [F.col("start_ts"), F.col("fp")], "trip_id",
     )
     intervals = stage(
         trips.select(*by, "trip_id", "start_idx", "end_idx", "start_ts", "name_ts"), "intervals"
