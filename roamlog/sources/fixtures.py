@@ -1,8 +1,12 @@
 """Check-in, tip and world-city views over the driver's generic tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from roamlog.session import stage_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +19,28 @@ CATEGORIES = [
 ]
 
 
+_STAGED: dict[tuple[str, str, int], tuple[str, object]] = {}
+
+
 def checkins(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
+    """The check-in view of the ``events`` table, written once per application and read back.
+
+    A stored log is what the operators are for: many files, plain columns. The rows are spread
+    over files by user and time, since ``events`` may be a single file.
+    """
+    from roamlog.sources.readers import exists
+
+    key = (spark.sparkContext.applicationId, sf_dir, years)
+    path, schema = _STAGED.get(key, ("", None))
+    if not path or not exists(spark, path):
+        view = checkins_view(spark, sf_dir, years)
+        path, schema = f"{stage_root(spark)}/log-{uuid.uuid4().hex}", view.schema
+        view.repartition(spark.sparkContext.defaultParallelism, "user_id", "ts").write.parquet(path)
+        _STAGED[key] = (path, schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def checkins_view(spark: SparkSession, sf_dir: str, years: int = 1) -> DataFrame:
     """The ``events`` table read as a clean check-in log.
 
     ``years`` > 1 moves a row back by ``event_id % years`` years of 365 days, so that

@@ -9,7 +9,7 @@ from roamlog.functions import scalars as S
 from roamlog.schema import CHECKIN_FIELDS, CHECKIN_SCHEMA, REVIEW_FIELDS, TIP_SCHEMA, WORLD_SCHEMA
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, fields: list[str], extra: list[str]
     ``multiLine`` reads one file per task, so a large table should be many files (or Parquet).
     """
     wanted = [*fields, *(extra or [])]
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")
     return raw.select(*[
@@ -49,7 +49,7 @@ def empty_checkins(spark: SparkSession) -> DataFrame:
 
 def read_tips(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Tips from a JSON array (or one object per line); a missing or broken file is empty."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], TIP_SCHEMA)
     schema = T.StructType([*TIP_SCHEMA.fields, T.StructField("_bad", T.StringType())])
     raw = spark.read.json(path, schema=schema, multiLine=multiline, mode="PERMISSIVE",
