@@ -19,6 +19,8 @@ def build_session(app: str = "roamlog", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Trip detection compiles more than the default 100 stages; keep them between runs.
+        "spark.sql.codegen.cache.maxEntries": "1000",
         **conf,
     }
     for key, value in settings.items():
