@@ -48,12 +48,12 @@ def _(spark, sf):
     return FD.feed(_world_log(spark, sf), U)
 
 
-_KM = """2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - nlat) / 2), 2)
-  + cos(radians(nlat)) * cos(radians(lat)) * pow(sin(radians(lng - nlng) / 2), 2))))"""
+_KM = """2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - nlat) / 2), 2)
+  + cos(radians(nlat)) * cos(radians(lat)) * pow(sin(radians(lng - nlng) / 2), 2)))"""
 
 
 @query("feed_gaps", ck(f"""
-SELECT user_id, checkin_id, ts, gap_seconds, round(km, 6) AS gap_km,
+SELECT user_id, checkin_id, ts, coalesce(gap_seconds, -1) AS gap_seconds, coalesce(round(km, 6), -1.0) AS gap_km,
   CASE WHEN gap_seconds IS NULL OR gap_seconds < 1800 THEN 'none' WHEN gap_seconds < 28800 THEN 'sm' WHEN gap_seconds < 129600 THEN 'md' ELSE 'lg' END AS gap,
   CASE WHEN gap_seconds IS NULL OR gap_seconds < 1800 THEN ''
     WHEN gap_seconds < 7200 THEN CAST(CAST(floor(gap_seconds / 60 + 0.5) AS BIGINT) AS VARCHAR) || 'm later'
@@ -66,7 +66,9 @@ FROM (SELECT *, nts - ts AS gap_seconds, {_KM} AS km FROM (
   FROM feed WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, checkin_id)))""", extra=_FEED))
 def _(spark, sf):
     gaps = FD.feed_gaps(FD.feed(_world_log(spark, sf), U), U)
-    return gaps.select("user_id", "checkin_id", "ts", "gap_seconds", "gap_km", "gap", "gap_label", "distance")
+    return gaps.select(
+        "user_id", "checkin_id", "ts", F.coalesce("gap_seconds", F.lit(-1)).alias("gap_seconds"),
+        F.coalesce("gap_km", F.lit(-1.0)).alias("gap_km"), "gap", "gap_label", "distance")
 
 
 @query("month_index", ck("""

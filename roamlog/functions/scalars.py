@@ -50,7 +50,8 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
     dlat = F.radians(lat2 - lat1) / 2
     dlng = F.radians(lng2 - lng1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlng) * F.sin(dlng)
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    # Not least(h, 1), which would read a missing coordinate as the far side of the globe.
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def _whole(c: Column) -> Column:
