@@ -11,6 +11,7 @@ Intervals may overlap (an arrival may reach past a later short run), so membersh
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -40,11 +41,18 @@ class TripTables:
 
 @dataclass(frozen=True)
 class Trips:
+    """Detected trips: ``intervals`` over the numbered log ``ordered``."""
+
     by: list[str]
     ordered: DataFrame
     intervals: DataFrame
     tables: TripTables
 
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Rows of every trip with local times, staged at first use: each per-trip result reads it."""
+        return stage(_trip_rows(self), "trip-rows")
+
 
 def _within(later: Column, earlier: Column, seconds: int) -> Column:
     return (later - earlier) <= seconds
@@ -166,7 +174,10 @@ def runs_of(linked: DataFrame, by: list[str]) -> DataFrame:
 
 def _home_arrival(runs: DataFrame, ordered: DataFrame, by: list[str], position: str) -> DataFrame:
     """Adds ``end_idx``: the way home from ``position`` when it is direct enough."""
-    at = _row_at(ordered, by, position, {"ts": "_ts", "next_hp": "_hp", "next_hp_ts": "_hp_ts", "next_stop": "_stop"})
+    # An arrival without a forced end is a hub, a neighbourhood or the run's own last row.
+    places = ordered if position != "end1" else ordered.filter(
+        F.col("is_hub") | (F.col("category") == fixed.NEIGHBORHOOD_CATEGORY) | F.col("fp").isNotNull())
+    at = _row_at(places, by, position, {"ts": "_ts", "next_hp": "_hp", "next_hp_ts": "_hp_ts", "next_stop": "_stop"})
     window = F.when(F.col("found"), 5 * HOUR).otherwise(12 * HOUR)
     direct = ((F.col("_hp_ts") - F.col("_ts")) <= window) & (F.col("_stop").isNull() | (F.col("_stop") > F.col("_hp")))
     return (
@@ -355,30 +366,31 @@ def membership(t: Trips) -> DataFrame:
     hi = F.least(F.floor(F.col("end_idx") / _SLOT), (F.col("_b") + 1) * (_BLOCK // _SLOT) - 1)
     slots = blocks.select(*t.by, "trip_id", "start_idx", "end_idx", F.explode(F.sequence(lo, hi)).alias("_slot"))
     rows = t.ordered.select(*t.by, "idx", "ts", "checkin_id", *_ROW, F.floor(F.col("idx") / _SLOT).alias("_slot"))
-    return rows.join(slots, [*t.by, "_slot"]).filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx"))).drop(
-        "_slot", "start_idx", "end_idx"
-    )
+    return rows.join(slots, [*t.by, "_slot"]).filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx"))).drop("_slot")
 
 
-def trip_checkins(t: Trips) -> DataFrame:
-    """Rows of each trip with local date and time."""
+def _trip_rows(t: Trips) -> DataFrame:
     lat, lng = F.round("lat", 5), F.round("lng", 5)
     local = S.localise(F.col("ts"), S.tz_for(F.col("country"), lat, lng))
-    return membership(t).withColumn("_local", local).select(
+    return membership(t).withColumn("local", local).withColumns({"lat": lat, "lng": lng})
+
+
+def trip_checkins(t: Trips) -> DataFrame:
+    """Rows of each trip with local date and time."""
+    local = F.col("local")
+    return t.rows.select(
         *t.by, "trip_id", "idx", "ts", "checkin_id",
-        S.fmt_date(F.col("_local")).alias("date"), S.fmt_time(F.col("_local")).alias("time"),
-        S.fmt_datetime(F.col("_local")).alias("datetime"),
-        *_ROW[:5], lat.alias("lat"), lng.alias("lng"),
+        S.fmt_date(local).alias("date"), S.fmt_time(local).alias("time"), S.fmt_datetime(local).alias("datetime"), *_ROW,
     )
 
 
 def trip_unique_points(t: Trips) -> DataFrame:
     """First row per venue of a trip, where that row has coordinates."""
-    first = membership(t).filter("venue_id <> ''").groupBy(*t.by, "trip_id", "venue_id").agg(
+    first = t.rows.filter("venue_id <> ''").groupBy(*t.by, "trip_id", "venue_id").agg(
         F.min_by(F.struct("lat", "lng", "venue"), F.col("idx")).alias("p")
     )
     return first.filter(F.col("p.lat").isNotNull() & F.col("p.lng").isNotNull()).select(
-        *t.by, "trip_id", "venue_id", F.round("p.lat", 5).alias("lat"), F.round("p.lng", 5).alias("lng"), "p.venue"
+        *t.by, "trip_id", "venue_id", "p.lat", "p.lng", "p.venue"
     )
 
 
@@ -388,7 +400,7 @@ def _facets(t: Trips) -> DataFrame:
         F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in ("country", "city", "category")
     ])
     return (
-        membership(t).select(*t.by, "trip_id", "idx", F.explode(facet).alias("f"))
+        t.rows.select(*t.by, "trip_id", "idx", F.explode(facet).alias("f"))
         .filter("f.value <> ''")
         .groupBy(*t.by, "trip_id", F.col("f.facet").alias("facet"), F.col("f.value").alias("value"))
         .agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
@@ -414,14 +426,17 @@ def _ranked_values(facet: str) -> Column:
 def trip_summary(t: Trips) -> DataFrame:
     """One row per trip: dates, places by frequency, counts, extent, name and tags."""
     keys = [*t.by, "trip_id"]
-    rows = trip_checkins(t)
-    base = rows.groupBy(*keys).agg(
+    # Days as numbers keep this a hash aggregate.
+    day = F.unix_date(F.to_date("local"))
+    base = t.rows.groupBy(*keys).agg(
         F.count("*").alias("checkin_count"),
-        F.min_by("date", "idx").alias("start_date"), F.max_by("date", "idx").alias("end_date"),
+        F.min_by(day, "idx").alias("_d0"), F.max_by(day, "idx").alias("_d1"),
         F.count_distinct(S.blank_to_null(F.col("venue_id"))).alias("unique_places"),
         F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"),
         F.min("lng").alias("min_lng"), F.max("lng").alias("max_lng"),
-    )
+    ).withColumns({
+        "start_date": F.date_from_unix_date("_d0").cast("string"), "end_date": F.date_from_unix_date("_d1").cast("string"),
+    }).drop("_d0", "_d1")
     places = _facets(t).filter("facet <> 'category'").groupBy(*keys).agg(
         _ranked_values("country").alias("countries"), _ranked_values("city").alias("cities")
     )
@@ -463,7 +478,7 @@ def auto_name(countries: Column, cities: Column) -> Column:
 
 def route_order(t: Trips) -> DataFrame:
     """Located rows of each trip in travel order. ``pos`` is 1-based."""
-    located = trip_checkins(t).filter("lat IS NOT NULL AND lng IS NOT NULL")
+    located = t.rows.filter("lat IS NOT NULL AND lng IS NOT NULL")
     return numbered(
         located, [*t.by, "trip_id"], [F.floor(F.col("idx") / 4096)], [F.col("idx")], "pos"
     ).select(*t.by, "trip_id", "pos", "ts", "lat", "lng")
@@ -471,7 +486,7 @@ def route_order(t: Trips) -> DataFrame:
 
 def trip_days(t: Trips) -> DataFrame:
     """Check-ins of each trip per local day."""
-    return trip_checkins(t).groupBy(*t.by, "trip_id", "date").agg(F.count("*").alias("n"))
+    return t.rows.groupBy(*t.by, "trip_id", S.fmt_date(F.col("local")).alias("date")).agg(F.count("*").alias("n"))
 
 
 def timeline(summary: DataFrame, by: list[str], countries: int = 6) -> DataFrame:
@@ -495,19 +510,13 @@ def timeline_totals(summary: DataFrame, by: list[str]) -> DataFrame:
 
 def infer_icon(t: Trips, summary: DataFrame, probe: int = 5) -> DataFrame:
     """Strongest transport icon among the first and last rows of each trip ('' when none)."""
-    ends = t.intervals.select(*t.by, "trip_id", "start_idx", "end_idx").withColumn(
-        "idx",
-        F.explode(F.array_distinct(F.concat(
-            F.sequence(F.col("start_idx"), F.least("end_idx", F.col("start_idx") + probe - 1)),
-            F.sequence(F.greatest("start_idx", F.col("end_idx") - probe + 1), F.col("end_idx")),
-        ))),
-    )
     icon = S.lookup(fixed.TRANSPORT_ICONS, F.col("category"))
     rank = S.lookup({k: str(v) for k, v in fixed.ICON_RANK.items()}, icon).cast("int")
+    by_rank = {str(v): k for k, v in fixed.ICON_RANK.items()}
     best = (
-        ends.join(t.ordered.select(*t.by, "idx", "category"), [*t.by, "idx"])
-        .withColumns({"_icon": icon, "_rank": rank})
-        .groupBy(*t.by, "trip_id").agg(F.max_by("_icon", "_rank").alias("icon"))
+        t.rows.filter((F.col("idx") < F.col("start_idx") + probe) | (F.col("idx") > F.col("end_idx") - probe))
+        .groupBy(*t.by, "trip_id").agg(F.max(rank).alias("_rank"))
+        .select(*t.by, "trip_id", S.lookup(by_rank, F.col("_rank").cast("string")).alias("icon"))
     )
     return summary.join(best, [*t.by, "trip_id"], "left").withColumn("icon", F.coalesce("icon", F.lit("")))
 

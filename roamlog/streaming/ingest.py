@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roamlog.functions import scalars as S
+from roamlog.operators.common import utc_month
 from roamlog.operators.maintain import ROW_KEYS, new_rows
 from roamlog.schema import CHECKIN_DOC_DDL, CHECKIN_FIELDS
 from roamlog.sources.documents import flatten_checkins
+from roamlog.sources.readers import exists
 
 
 def stream_checkins(spark: SparkSession, folder: str, watermark: str | None = "1 day",
@@ -32,19 +34,25 @@ def stream_checkins(spark: SparkSession, folder: str, watermark: str | None = "1
 
 @dataclass(frozen=True)
 class LogStore:
-    """Check-in table in ``buckets`` hash partitions of a key, so that a refresh reads few of them."""
+    """Check-in table partitioned by UTC month and by hash bucket of a key.
+
+    The merge key contains the time, so a batch is compared only with the months and buckets it
+    falls in; a refresh reads only the buckets it touched.
+    """
 
     path: str
     key: str = "venue_id"
     buckets: int = 64
 
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+    def placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({
+            "month": F.coalesce(utc_month(S.to_long(F.col("date"))), F.lit("none")),
+            "bucket": F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"),
+        })
 
     def read(self, spark: SparkSession) -> DataFrame:
-        schema = ", ".join(f"{c} string" for c in CHECKIN_FIELDS) + ", bucket int"
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        schema = ", ".join(f"{c} string" for c in CHECKIN_FIELDS) + ", month string, bucket int"
+        if not exists(spark, self.path):
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(self.path)
 
@@ -52,13 +60,14 @@ class LogStore:
         """Append rows whose key is not stored; returns the buckets of the batch.
 
         Running a batch twice adds nothing, but reports the same buckets, so a refresh that was
-        lost to a failure is done again.
+        lost to a failure is done again. Only partition names (months, buckets) reach the driver.
         """
-        rows = batch.select(*CHECKIN_FIELDS).dropDuplicates(ROW_KEYS).withColumn("bucket", self.bucket())
-        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
-        stored = self.read(batch.sparkSession).filter(F.col("bucket").isin(touched))
-        new_rows(rows, stored).write.mode("append").partitionBy("bucket").parquet(self.path)
-        return touched
+        rows = self.placed(batch.select(*CHECKIN_FIELDS).dropDuplicates(ROW_KEYS))
+        touched = rows.select("month", "bucket").distinct().collect()
+        months, buckets = sorted({r.month for r in touched}), sorted({r.bucket for r in touched})
+        stored = self.read(batch.sparkSession).filter(F.col("month").isin(months) & F.col("bucket").isin(buckets))
+        new_rows(rows, stored).write.mode("append").partitionBy("month", "bucket").parquet(self.path)
+        return buckets
 
 
 Refresh = Callable[[DataFrame, list[int]], None]
