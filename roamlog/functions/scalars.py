@@ -107,6 +107,18 @@ def lookup(mapping: dict[str, str], key: Column, default: Column | None = None)
     return found if default is None else F.coalesce(found, default)
 
 
+def iso2(country: Column) -> Column:
+    return lookup(fixed.COUNTRY_ISO2, country, F.lit(""))
+
+
+def continent(country: Column) -> Column:
+    return lookup(fixed.COUNTRY_CONTINENT, country, F.lit(""))
+
+
+def flag(country: Column) -> Column:
+    return lookup(fixed.COUNTRY_FLAG, F.coalesce(country, F.lit("")), F.lit(fixed.DEFAULT_FLAG))
+
+
 def _hour_zone(offset: Column) -> Column:
     """Etc/GMT zone of an hour offset east of Greenwich (the sign is reversed by convention)."""
     return F.when(offset > 0, F.concat(F.lit("Etc/GMT-"), offset.cast("string"))).otherwise(

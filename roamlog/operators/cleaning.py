@@ -190,6 +190,11 @@ def categorize(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return df.join(kinds.withColumn("category_group", group_of(F.col("category"), groups)), "category", "left")
 
 
+def category_icons(df: DataFrame, icons: DataFrame) -> DataFrame:
+    """Adds the columns of a supplied ``(category, ...)`` icon table; NULL where it has none."""
+    return df.join(icons, "category", "left")
+
+
 def norm_country(df: DataFrame, col: str = "country", out: str = "nc") -> DataFrame:
     """English country name for a local one; others are kept."""
     from roamlog import fixed

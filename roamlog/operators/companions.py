@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roamlog import fixed
 from roamlog.functions import scalars as S
 from roamlog.operators.common import top_k, utc_date, when_seen
 from roamlog.operators.counters import list_order
@@ -94,5 +93,5 @@ def companion_profile(feed: DataFrame, by: list[str] | None = None, overrides: d
     return places.join(newest, keys, "left").select(
         *keys, F.concat_ws(" · ", F.transform("_l", lambda x: x["place"])).alias("places"),
         F.coalesce(country, F.lit("")).alias("country"),
-        S.lookup(fixed.COUNTRY_FLAG, F.coalesce(country, F.lit("")), F.lit(fixed.DEFAULT_FLAG)).alias("flag"),
+        S.flag(country).alias("flag"),
     )

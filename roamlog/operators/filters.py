@@ -60,6 +60,10 @@ def search_world(world: DataFrame, q: str) -> DataFrame:
     return search(world.withColumn("_label", label), ["name", "display_name", "_label"], q).drop("_label")
 
 
+def sort_world(world: DataFrame) -> DataFrame:
+    return world.orderBy(F.desc("pop_m"), F.asc("name"))
+
+
 TRIP_SORTS = {"date": "trip_id", "checkins": "checkin_count", "days": "duration"}
 
 

@@ -160,6 +160,20 @@ def remap_venue(df: DataFrame, mapping: DataFrame) -> DataFrame:
     ).select(*df.columns)
 
 
+def remap_log(df: DataFrame, mapping: DataFrame, id_cols: list[str]) -> DataFrame:
+    """Values that :func:`remap_venue` changes: ``id_cols, field, old_value, new_value``."""
+    fields = [c for c in mapping.columns if c != "old_id" and c in df.columns]
+    m = mapping.select(F.col("old_id").alias("_id"), F.struct(*fields).alias("_m"))
+    moved = F.filter(
+        F.array(*[
+            F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("old_value"),
+                     F.col(f"_m.{c}").cast("string").alias("new_value")) for c in fields
+        ]), lambda x: ~x["old_value"].eqNullSafe(x["new_value"]),
+    )
+    rows = df.withColumn("_id", S.text(F.col("venue_id"))).join(m, "_id")
+    return rows.select(*id_cols, F.explode(moved).alias("c")).select(*id_cols, "c.*")
+
+
 def pending_overlaps(ck: DataFrame) -> DataFrame:
     """Check-in ids still to be asked for overlaps, with their time (newest first when written)."""
     todo = ck.filter((F.coalesce("checkin_id", F.lit("")) != "") & (F.coalesce("overlaps_id", F.lit("")) == ""))

@@ -30,10 +30,10 @@ def clean(raw: DataFrame, mappings: Mappings, resolver: Resolver | None = None)
 
 
 def results(ck: DataFrame, s: Settings, by: list[str] | None = None, tips: DataFrame | None = None,
-            city_merge: DataFrame | None = None) -> dict[str, DataFrame]:
+            city_merge: DataFrame | None = None, found: TR.Trips | None = None) -> dict[str, DataFrame]:
     """Named result tables of a cleaned log. Each is its own plan over ``ck``."""
     by = by or []
-    found = TR.detect(ck, by, s.home_city, s.min_checkins, s.tables)
+    found = found or TR.detect(ck, by, s.home_city, s.min_checkins, s.tables)
     summary = TR.trip_summary(found)
     feed = FD.feed(ck, by)
     companion_feed = P.companion_feed(ck, by)
