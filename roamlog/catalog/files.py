@@ -60,10 +60,11 @@ def _(spark, sf):
 
 
 def _review(spark, sf):
-    """Review rows: one per named venue, with a packed cell of its times and some rejected rows."""
+    """Review rows: one per venue, user and day, with a packed cell of times, and some rejected rows."""
     k = F.col("checkin_id").cast("bigint")
     item = F.concat(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("::"), F.col("venue"))
-    cells = X.checkins(spark, sf).filter("city = ''").groupBy("venue", "country").agg(
+    day = F.floor(F.col("ts") / 86400)
+    cells = X.checkins(spark, sf).filter("city = ''").groupBy("venue", "country", "user_id", day).agg(
         F.array_join(F.array_sort(F.collect_set(item)), " || ").alias("low_volume_checkins_detail"),
         F.min("lat").cast("string").alias("lat"), F.min("lng").cast("string").alias("lng"), F.min(k).alias("seq"))
     return cells.select(
@@ -72,12 +73,12 @@ def _review(spark, sf):
         "country", "lat", "lng", "low_volume_checkins_detail", "seq")
 
 
-_REVIEW = """rv AS (SELECT venue, country, min(lat) AS lat, min(lng) AS lng, min(CAST(checkin_id AS BIGINT)) AS seq FROM c WHERE city = '' GROUP BY 1, 2),
+_REVIEW = """rv AS (SELECT venue, country, user_id, ts // 86400 AS dy, min(lat) AS lat, min(lng) AS lng, min(CAST(checkin_id AS BIGINT)) AS seq FROM c WHERE city = '' GROUP BY 1, 2, 3, 4),
   ok AS (SELECT * FROM rv WHERE length(venue) = 8 AND seq % 9 <> 4)"""
 
 
 @query("blank_city_times", ck("""
-SELECT CAST(ts AS VARCHAR) AS key, arg_max('In ' || c.venue, ok.seq) AS value FROM c JOIN ok ON ok.venue = c.venue AND ok.country = c.country WHERE city = '' GROUP BY 1""", extra=_REVIEW))
+SELECT CAST(ts AS VARCHAR) AS key, arg_max('In ' || c.venue, ok.seq) AS value FROM c JOIN ok ON ok.venue = c.venue AND ok.country = c.country AND ok.user_id = c.user_id AND ok.dy = c.ts // 86400 WHERE city = '' GROUP BY 1""", extra=_REVIEW))
 def _(spark, sf):
     return R.review_tables(_review(spark, sf))[0]
 

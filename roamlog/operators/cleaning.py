@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roamlog.functions import scalars as S
+from roamlog.session import stage
 
 TEXT_COLUMNS = [
     "venue", "venue_id", "city", "state", "country", "neighborhood", "address", "category",
@@ -131,9 +132,10 @@ def infer_city(df: DataFrame, resolver: Resolver) -> DataFrame:
     j = _lookup_join(df, resolver.times, F.when(blank, S.py_strip(F.col("date"))), "_by_time")
     need = blank & F.col("_by_time").isNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
     points = j.filter(need).select("country", "lat", "lng").distinct()
-    found = nearest(points, resolver.centroids, resolver.max_km).select(
+    # Staged, so that the join with all rows is planned with the size of the answer known.
+    found = stage(nearest(points, resolver.centroids, resolver.max_km).select(
         F.col("country").alias("_c"), F.col("lat").alias("_la"), F.col("lng").alias("_ln"), F.col("city").alias("_near")
-    )
+    ), "inferred")
     on = need & (F.col("country") == F.col("_c")) & (F.col("lat") == F.col("_la")) & (F.col("lng") == F.col("_ln"))
     return (
         j.join(found, on, "left")
@@ -185,9 +187,14 @@ def group_of(category: Column, groups: dict[str, list[str]]) -> Column:
 
 
 def categorize(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """Adds ``category_group``; each distinct category is matched once and joined back."""
+    """Adds ``category_group``; each distinct category is matched once and joined back.
+
+    The matched list is staged, so its size is known when the join with all rows is planned:
+    a small one is broadcast and the rows stay where they are.
+    """
     kinds = df.filter("category <> ''").select("category").distinct()
-    return df.join(kinds.withColumn("category_group", group_of(F.col("category"), groups)), "category", "left")
+    matched = stage(kinds.withColumn("category_group", group_of(F.col("category"), groups)), "categories")
+    return df.join(matched, "category", "left")
 
 
 def category_icons(df: DataFrame, icons: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roamlog.functions import scalars as S
+from roamlog.session import stage
 from roamlog.operators.common import top_k, utc_date, when_seen
 from roamlog.operators.counters import list_order
 from roamlog.operators.ordered import DAY, Desc, chunk_of, numbered
@@ -62,8 +63,8 @@ def companion_feed(ck: DataFrame, by: list[str] | None = None, k: int = 30) -> D
         *by, "ts", "checkin_id", "venue", "city", "country", "category", "venue_id",
         F.explode(companion_names()).alias("name"),
     )
-    # The two top-list joins are per name; the join with all rows is done once.
-    head = top.join(ids, [*by, "name"], "left").withColumn("id", F.coalesce("id", F.lit("")))
+    # Staged, so that the one join with all rows is planned with the size of the list known.
+    head = stage(top.join(ids, [*by, "name"], "left").withColumn("id", F.coalesce("id", F.lit(""))), "companions")
     feed = rows.join(head, [*by, "name"])
     at = F.timestamp_seconds("ts")
     return numbered(

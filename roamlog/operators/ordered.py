@@ -49,6 +49,15 @@ def with_chunk(df: DataFrame, by: list[str], ts: str = "ts", chunk_seconds: int
     return sized.withColumn(_CHUNK, F.floor(F.col(ts) / wide).cast("bigint")).drop("_width")
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffle on the full chunk key.
+
+    A window accepts rows that are already clustered on part of its key, which would leave a
+    heavy log in the one task an earlier join or a bucketed table put it in.
+    """
+    return df.repartition(*[F.col(k) for k in keys])
+
+
 def scan_log(
     df: DataFrame,
     by: list[str],
@@ -71,14 +80,15 @@ def scan_log(
     """
     following, preceding, timed = dict(following or {}), dict(preceding or {}), set(timed)
     keys = [*by, _CHUNK]
-    flagged = with_chunk(df, by, ts, chunk_seconds).withColumns(
+    flagged = with_chunk(df, by, ts, chunk_seconds)
+    flagged = flagged.withColumns(
         {
             "_real": F.lit(1) if real is None else F.when(real, 1).otherwise(0),
             **{f"_m_{m}": F.coalesce(p, F.lit(False)) for m, p in {**following, **preceding}.items()},
         }
     )
     up, down = _orders(keys, ts, tie)
-    numbered_ = flagged.withColumn("_rn", F.sum("_real").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered_ = _spread(flagged, keys).withColumn("_rn", F.sum("_real").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     local = numbered_.withColumns(_nearest(following, preceding, timed, "_rn", ts, up, down))
 
     marks = _extremes(following, preceding, timed, "_rn", ts)
@@ -118,7 +128,7 @@ def mark_neighbours(
         {f"_m_{m}": F.coalesce(p, F.lit(False)) for m, p in {**following, **preceding}.items()}
     )
     up, down = _orders(keys, idx)
-    local = flagged.withColumns(_nearest(following, preceding, timed, idx, ts, up, down))
+    local = _spread(flagged, keys).withColumns(_nearest(following, preceding, timed, idx, ts, up, down))
     summary = flagged.groupBy(*keys).agg(*_extremes(following, preceding, timed, idx, ts))
     before, after = _chunk_orders(by)
     carried = summary.select(*keys, *_carries(following, preceding, timed, F.lit(0), before, after))
@@ -200,7 +210,7 @@ def with_previous(
     keys = [*by, _CHUNK]
     cut = with_chunk(df, by, ts, chunk_seconds)
     w = Window.partitionBy(*_by(keys)).orderBy(ts, tie)
-    local = cut.withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(F.struct(*cols)).over(w)})
+    local = _spread(cut, keys).withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(F.struct(*cols)).over(w)})
     summary = cut.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_last"))
     carry = summary.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*_by(by)).orderBy(_CHUNK)))
     before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
@@ -223,7 +233,7 @@ def numbered(
     directions = [_is_descending(c) for c in chunk]
     keyed = df.withColumns(dict(zip(names, [_bare(c) for c in chunk], strict=True)))
     keys = [*by, *names]
-    local = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*_by(keys)).orderBy(*within)))
+    local = _spread(keyed, keys).withColumn("_rn", F.row_number().over(Window.partitionBy(*_by(keys)).orderBy(*within)))
     order = [F.desc(n) if d else F.asc(n) for n, d in zip(names, directions, strict=True)]
     before = Window.partitionBy(*_by(by)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(

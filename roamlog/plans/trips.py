@@ -187,9 +187,12 @@ def _home_arrival(runs: DataFrame, ordered: DataFrame, by: list[str], position:
     )
 
 
-def _starts(runs: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``prev_end``, ``start1`` and ``start1_ts`` (departure rules) to runs with ``end_idx``."""
-    before = runs.select(*by, F.col("lp").alias("prev_lp"), F.col("end_idx").alias("prev_end"))
+def _starts(runs: DataFrame, ends: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``prev_end``, ``start1`` and ``start1_ts`` (departure rules) to ``runs``.
+
+    ``ends(lp, end_idx)`` are the final ends of all runs.
+    """
+    before = ends.select(*by, F.col("lp").alias("prev_lp"), F.col("end_idx").alias("prev_end"))
     runs = runs.join(before, [*by, "prev_lp"], "left").withColumn("prev_end", F.coalesce("prev_end", F.lit(0)))
 
     # A row can only open the next kept run, so candidates never multiply.
@@ -242,21 +245,29 @@ def _starts(runs: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
 
 def _forced_ends(runs: DataFrame, ordered: DataFrame, linked: DataFrame, by: list[str],
                  overrides: DataFrame) -> DataFrame:
-    """Solve starts and forced ends together: repeat until no end moves."""
+    """Solve starts and forced ends together.
+
+    A forced end is keyed by a start, and a moved end can move the start of the next run only.
+    After one pass over all runs, each further pass redoes just the runs behind a moved end, and
+    stops when none moved. Passes are as many as forced ends follow each other directly.
+    """
+    keys = [*by, "fp"]
     forced = _rank_at(ordered, by, overrides.select(*by, F.col("start_ts").alias("start1_ts"), "end_ts"),
                       F.col("end_ts") + 1, "forced").select(*by, "start1_ts", "forced")
-    base = runs.columns
-    state = runs
-    while True:
-        s = _starts(state, linked, by).drop("end_idx")
-        s = s.withColumnRenamed("end2", "_old") if "end2" in s.columns else s.withColumn("_old", F.col("end1"))
-        moved = s.join(forced, [*by, "start1_ts"], "left").withColumn(
-            "end2", F.greatest(F.col("end1"), F.coalesce("forced", F.col("end1")))
-        )
-        settled = stage(_home_arrival(moved.drop("forced"), ordered, by, "end2"), "trip-ends")
-        if settled.filter(F.col("end2") != F.col("_old")).isEmpty():
-            return settled.drop("_old", "end2")
-        state = settled.select(*base, "end2")
+
+    def settle(part: DataFrame, ends: DataFrame) -> DataFrame:
+        s = _starts(part, ends, linked, by).join(forced, [*by, "start1_ts"], "left")
+        s = s.withColumn("end2", F.greatest(F.col("end1"), F.coalesce("forced", F.col("end1")))).drop("forced", "end_idx")
+        return stage(_home_arrival(s, ordered, by, "end2").drop("end2"), "trip-ends")
+
+    settled = settle(runs, runs)
+    moved = settled.join(runs.select(*keys, F.col("end_idx").alias("_was")), keys).filter("end_idx <> _was")
+    while not moved.isEmpty():
+        behind = runs.join(moved.select(*by, F.col("lp").alias("prev_lp")), [*by, "prev_lp"], "left_semi")
+        again = settle(behind, settled)
+        moved = again.join(settled.select(*keys, F.col("end_idx").alias("_was")), keys).filter("end_idx <> _was")
+        settled = settled.join(again.select(*keys), keys, "left_anti").unionByName(again)
+    return settled
 
 
 def detect(
@@ -273,9 +284,9 @@ def detect(
     linked = stage(link_runs(ordered, by), "runs")
     runs = _home_arrival(runs_of(linked, by), ordered, by, "end1")
     if t.end_overrides is None:
-        found = _starts(runs, linked, by)
+        found = _starts(runs, runs, linked, by)
     else:
-        found = _forced_ends(runs, ordered, linked, by, t.end_overrides)
+        found = _forced_ends(stage(runs, "run-ends"), ordered, linked, by, t.end_overrides)
     found = found.withColumns({"start_idx": F.col("start1"), "name_ts": F.col("start1_ts")})
     if t.start_overrides is not None:
         found = _forced_starts(found, ordered, by, t.start_overrides)
