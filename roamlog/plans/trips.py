@@ -142,8 +142,10 @@ def link_runs(ordered: DataFrame, by: list[str]) -> DataFrame:
     the run they may open. Only those rows take part, not the whole log."""
     ride = F.col("category").isin([*fixed.DEPARTURE_SERVICES, fixed.DEPARTURE_FUEL])
     candidate = ~F.col("is_foreign") & (F.col("is_hub") | ride)
-    rows = ordered.filter(F.col("real") & (F.col("run_start") | F.col("fp").isNotNull() | candidate)).withColumn(
-        "candidate", candidate)
+    rows = ordered.filter(F.col("real") & (F.col("run_start") | F.col("fp").isNotNull() | candidate)).select(
+        *by, "_chunk", "idx", "ts", "venue_id", "category", "is_hub", candidate.alias("candidate"), "run_start", "fp",
+        "next_hub", "next_hub_ts", "next_nbhd", "next_nbhd_ts", "next_hp", "next_foreign",
+    )
     return mark_neighbours(
         rows, by,
         following={"kept": F.col("run_start")},

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from roamlog import fixed
 from roamlog.functions import scalars as S
 
 
@@ -38,6 +39,15 @@ def test_zone(spark, policy, country, lat, lng, want):
     assert value(spark, S.tz_for(F.lit(country), lit(lat), lit(lng), policy)) == want
 
 
+def test_every_zone_is_known_to_the_jvm(spark):
+    zones = sorted({*fixed.COUNTRY_TZ.values(), *fixed.FEED_TZ.values()})
+    bands = [("Russia", x) for x in range(-170, 180, 5)] + [(c, x) for c in ("Brazil", "United States", "Australia", "") for x in range(-180, 181, 5)]
+    df = spark.createDataFrame([(z,) for z in zones], "z string").unionAll(
+        spark.createDataFrame(bands, "c string, x int").select(S.tz_for(F.col("c"), F.lit(0.0), F.col("x").cast("double"), "bands"))).unionAll(
+        spark.createDataFrame(bands, "c string, x int").select(S.tz_for(F.col("c"), F.lit(0.0), F.col("x"))))
+    assert df.select(S.localise(F.lit(0), F.col("z")).alias("t")).filter("t IS NULL").count() == 0
+
+
 def test_local_formats(spark):
     at = S.localise(F.lit(1_700_000_000), F.lit("Asia/Tokyo"))
     got = spark.range(1).select(S.fmt_date(at), S.fmt_time(at), S.fmt_day(at), S.fmt_datetime(at)).first()
