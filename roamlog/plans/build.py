@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlog.operators.cleaning import Mappings, Resolver
 from roamlog.plans import dashboard, trips as TR
-from roamlog.session import drop_staged
+from roamlog.session import drop_staged, staged_count
 from roamlog.sources import readers as R, sinks
 
 
@@ -56,7 +56,7 @@ def load_config(spark: SparkSession, folder: str) -> Config:
 def build(spark: SparkSession, source: DataFrame, config: Config, out: str, by: list[str] | None = None,
           tips: DataFrame | None = None) -> None:
     """Write every result of a raw log under ``out``, with set-aside rows and the name registry."""
-    by = by or []
+    by, before = by or [], staged_count()
     ck, bad = dashboard.clean(source, config.mappings, config.resolver)
     found = TR.detect(ck, by, config.settings.home_city, config.settings.min_checkins, config.settings.tables)
     tables = dashboard.results(ck, config.settings, by, tips, config.mappings.city_merge, found)
@@ -66,4 +66,4 @@ def build(spark: SparkSession, source: DataFrame, config: Config, out: str, by:
             *[F.lit(None).cast(ck.schema[c].dataType).alias(c) for c in by], "name_ts", "name")
     named = TR.named_with_icon(found, tables["trips"])
     sinks.write_gold({**tables, "quarantine": bad, "trip_names": TR.update_trip_names(registry, named, by)}, out)
-    drop_staged(spark)
+    drop_staged(spark, after=before)

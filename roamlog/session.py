@@ -62,8 +62,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables this application staged, once the results built on them are written."""
-    while _WRITTEN:
+def staged_count() -> int:
+    return len(_WRITTEN)
+
+
+def drop_staged(spark: SparkSession, after: int = 0) -> None:
+    """Delete the tables this application staged, once the results built on them are written.
+
+    ``after`` (from :func:`staged_count`) keeps what was staged before.
+    """
+    while len(_WRITTEN) > after:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from roamlog import session
 from roamlog.functions import scalars as S
 from roamlog.operators import cleaning, filters, maintain as M
 from roamlog.plans import build as B
@@ -47,6 +48,14 @@ def test_build_from_files(spark, tmp_path):
     assert read("summary").first().total == 8 and read("trips_count").first().n == 1
 
 
+def test_only_own_staged_tables_are_dropped(spark):
+    kept = session.stage(spark.range(3), "kept")
+    mark = session.staged_count()
+    gone = session.stage(spark.range(2), "gone").inputFiles()[0]
+    session.drop_staged(spark, after=mark)
+    assert kept.count() == 3 and not R.exists(spark, gone)
+
+
 def test_curated_trip_files(spark, tmp_path):
     (tmp_path / "trip_tags.json").write_text(json.dumps({str(BASE): ["bicycle"]}))
     (tmp_path / "trip_exclude.json").write_text(json.dumps([BASE]))
