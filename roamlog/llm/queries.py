@@ -1,3 +1,3 @@
 """All registered queries of this package."""
-from roamlog.llm import quality  # noqa: F401
+from roamlog.llm import decontaminate, minhash, quality  # noqa: F401
 from roamlog.llm.common import ORACLES, QUERIES  # noqa: F401
