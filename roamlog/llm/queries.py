@@ -1,3 +1,3 @@
 """All registered queries of this package."""
-from roamlog.llm import bpe, decontaminate, minhash, quality, secrets, tokenids  # noqa: F401
+from roamlog.llm import bpe, decontaminate, hmm, minhash, quality, secrets, tokenids  # noqa: F401
 from roamlog.llm.common import ORACLES, QUERIES  # noqa: F401
