@@ -66,11 +66,22 @@ def staged_count() -> int:
     return len(_WRITTEN)
 
 
+def take_staged(after: int = 0) -> list[str]:
+    """Paths staged since there were ``after`` of them; the caller now owns them and deletes them."""
+    taken = _WRITTEN[after:]
+    del _WRITTEN[after:]
+    return taken
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(spark: SparkSession, after: int = 0) -> None:
     """Delete the tables this application staged, once the results built on them are written.
 
     ``after`` (from :func:`staged_count`) keeps what was staged before.
     """
-    while len(_WRITTEN) > after:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_paths(spark, take_staged(after))
