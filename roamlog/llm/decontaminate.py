@@ -103,9 +103,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any benchmark window."""
-    keyed = with_row_key(docs, id_col, text)
-    at, _ = find_windows(keyed.select("_key", F.col(text).alias("text")), items)
-    return keyed.join(stage(at.select("_key").distinct(), "contaminated"), "_key", "left_anti").select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row")).withColumn("_key", F.xxhash64(f"row.{id_col}", f"row.{text}"))
+    at, _ = find_windows(rows.select("_key", F.col(f"row.{text}").alias("text")), items)
+    return rows.join(stage(at.select("_key").distinct(), "contaminated"), "_key", "left_anti").select("row.*")
 
 
 SQL = r"""

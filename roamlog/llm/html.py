@@ -144,7 +144,7 @@ def templates_of(lines: list[str], around: list[list[int]]) -> list[int]:
 
 def parsed(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The rows of ``pages`` (without the html) with host, digest, lines, the containers around each, and candidates."""
-    keep = [c for c in pages.columns if c != html]
+    keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.struct(*keep).alias("page"), host.alias("host"), F.col(html).alias("html"))
 
@@ -174,7 +174,7 @@ def templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The columns of ``pages`` except the html, with ``text`` and ``n_chars``."""
+    """The columns of ``pages`` except the html, with ``text`` and ``n_chars`` (columns of these names are replaced)."""
     read = stage(parsed(pages, html, url).withColumn("_row", F.monotonically_increasing_id()), "pages")
     plain = read.filter("size(candidates) = 0").select("page", F.array_join("lines", "\n").alias("text"))
     boxed = read.filter("size(candidates) > 0")

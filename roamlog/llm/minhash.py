@@ -68,10 +68,10 @@ class Signer:
         self.bands, self.rows, k = bands, rows, bands * rows
         self.sigma = rng.permutation(CIRCLE).astype(np.uint32)
         pi = rng.permutation(CIRCLE).astype(np.uint32)
-        most = max(k, SKETCH)
-        round_ = np.concatenate([pi, pi[:most]])
+        self.most = max(k, SKETCH)
+        round_ = np.concatenate([pi, pi[: self.most]])
         self.short = np.lib.stride_tricks.sliding_window_view(round_, k)
-        self.long = np.lib.stride_tricks.sliding_window_view(round_, SKETCH)
+        self.long = np.lib.stride_tricks.sliding_window_view(round_, self.most)
 
     def signature(self, shingles: np.ndarray, slices: np.ndarray | None = None) -> np.ndarray:
         """Smallest value of every coordinate; ``slices`` are the views of pi to use."""
@@ -82,9 +82,11 @@ class Signer:
             np.minimum(out, slices[at[start : start + 256]].min(axis=0), out=out)
         return out
 
-    def sketch(self, shingles: np.ndarray) -> bytes:
-        """The lowest bit of ``SKETCH`` minima."""
-        return np.packbits((self.signature(shingles, self.long) & 1).astype(np.uint8)).tobytes()
+    def sketch(self, shingles: np.ndarray) -> tuple[bytes, bytes]:
+        """The lowest bit of ``SKETCH`` minima, and the band keys (of the first minima)."""
+        minima = self.signature(shingles, self.long)
+        bits = np.packbits((minima[:SKETCH] & 1).astype(np.uint8)).tobytes()
+        return bits, self.band_keys(minima[: self.bands * self.rows]).tobytes()
 
     def band_keys(self, signatures: np.ndarray) -> np.ndarray:
         """One 64-bit key per row and band, different for different bands."""
@@ -116,9 +118,10 @@ def _sets(width: int, bands: int, rows: int):
         for b in chunks(batches, "text"):
             sets = [shingle_set(t, width) for t in utf8(b.column("text"))]
             same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == h for s, h in zip(sets, b.column("set_hash").to_pylist())])
+            sketches = [signer.sketch(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()),
-                pa.array([signer.sketch(s) for s in sets], pa.binary())], names=["id", "set", "sketch"]).filter(same)
+                b.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x for x, _ in sketches], pa.binary()),
+                pa.array([x for _, x in sketches], pa.binary())], names=["id", "set", "sketch", "bands"]).filter(same)
 
     return run
 
@@ -145,21 +148,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near_in_blocks(percent: int):
-    """Pairs across two blocks of members whose sizes and sketches allow a link, in different components."""
+    """Pairs across two blocks of members whose sizes and sketches allow a link, in different components.
+
+    A pair that shares several buckets is reported in that of its first common band.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # 1-bit minima of unlike shingles agree half of the time.
         most = int(SKETCH * (1 - percent / 100 + SKETCH_MARGIN) / 2)
         for batch in batches:
             pairs = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-            for row in range(batch.num_rows):
+            for row, bucket in enumerate(batch.column("bucket").to_pylist()):
                 x, y = (batch.column(c)[row].values.flatten() for c in ("outside", "members"))
                 (xi, xn, xc), (yi, yn, yc) = ([v[k].to_numpy(zero_copy_only=False) for k in range(3)] for v in (x, y))
-                xs, ys = (np.frombuffer(b"".join(v[3].to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for v in (x, y))
+                xs, ys = (np.frombuffer(b"".join(v[3].to_pylist()), np.uint64).reshape(len(v[0]), -1) for v in (x, y))
+                xb, yb = (np.frombuffer(b"".join(v[4].to_pylist()), np.int64).reshape(len(v[0]), -1) for v in (x, y))
                 small, large = np.minimum(xn[:, None], yn), np.maximum(xn[:, None], yn)
                 at, to = np.nonzero((xc[:, None] != yc) & (100 * small >= percent * large))
                 near = np.bitwise_count(xs[at] ^ ys[to]).sum(axis=1) <= most
-                pairs.append((np.minimum(xi[at[near]], yi[to[near]]), np.maximum(xi[at[near]], yi[to[near]])))
+                at, to = at[near], to[near]
+                first = (xb[at] == yb[to]).argmax(axis=1)
+                here = xb[at, first] == bucket
+                a, b = xi[at[here]], yi[to[here]]
+                pairs.append((np.minimum(a, b), np.maximum(a, b)))
             a, b = (np.concatenate(v) for v in zip(*pairs))
             kept = np.unique(np.column_stack([a, b]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], names=["a", "b"])
@@ -170,7 +181,7 @@ def _near_in_blocks(percent: int):
 def link_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect what is connected through similar classes sharing a bucket.
 
-    ``buckets`` (bucket, rows, id, n) and ``sets`` (id, set, sketch) are staged tables; ``rows`` is the bucket's size.
+    ``buckets`` (bucket, rows, id, n) and ``sets`` (id, set, sketch, bands) are staged tables; ``rows`` is the bucket's size.
     """
     central = buckets.groupBy("id").agg(F.sum("rows").alias("weight"))
     known = buckets.join(central, "id")
@@ -186,13 +197,13 @@ def link_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"))
     open_ = stage(main.filter("size > top.size").select("bucket", F.col("top.component").alias("main")), "open-buckets")
-    members = known.join(open_, "bucket").join(sets.select("id", "sketch"), "id")
-    member = F.struct("id", "n", "component", "sketch")
+    members = known.join(open_, "bucket").join(sets.select("id", "sketch", "bands"), "id")
+    member = F.struct("id", "n", "component", "sketch", "bands")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
     all_ = members.groupBy("bucket", block).agg(F.collect_list(member).alias("members"))
     outside = members.filter("component <> main").groupBy("bucket", block).agg(F.collect_list(member).alias("outside"))
-    pairs = outside.select("bucket", "outside").join(all_.select("bucket", "members"), "bucket").select("outside", "members").mapInArrow(
+    pairs = outside.select("bucket", "outside").join(all_.select("bucket", "members"), "bucket").mapInArrow(
         _near_in_blocks(percent), tested.schema)
     rest = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "rest-pairs")
     return links.unionByName(stage(confirm(rest, sets, percent), "confirmed"))
@@ -219,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     wanted = stage(buckets.select("id", "set_hash").distinct(), "wanted")
     # Texts are shuffled and streamed past the wanted ids, at every size alike.
     sets = stage(texts.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "set_hash").mapInArrow(
-        _sets(width, bands, rows), f"id {id_type}, set binary, sketch binary").dropDuplicates(["id"]), "sets")
+        _sets(width, bands, rows), f"id {id_type}, set binary, sketch binary, bands binary").dropDuplicates(["id"]), "sets")
     links = link_classes(buckets.select("bucket", "rows", "id", "n"), sets, percent)
     # An id that repeats with several texts joins their classes.
     again = usable.join(classes.select("set_hash", "rep"), "set_hash").filter("id <> rep").select("id", "set_hash", "rep")

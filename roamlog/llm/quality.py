@@ -207,7 +207,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     names = [f"_{c}" for c in COUNTS + OTHER]
     rows = labelled(stats, labels, id_col, label).filter(~base_failed())
     picked = rows.orderBy(F.xxhash64(F.col(id_col), F.lit(1)), *names).limit(sample_rows).select("_label", *names).collect()
-    sample = np.array(picked, np.int64).reshape(len(picked), -1)
+    sample = np.array(picked, np.int64).reshape(len(picked), 1 + len(names))
     if np.count_nonzero(sample[:, :1] > 0) < MIN_GOOD:
         return QualityModel(None, 1.0)
     x, good = features(sample[:, 1:]), sample[:, 0] > 0
@@ -251,9 +251,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = np.array([text_stats(t) for t in utf8(b.column(text))], np.int64).reshape(b.num_rows, -1)
             if not b.num_rows:
                 continue
+            counts = np.array([text_stats(t) for t in utf8(b.column(text))], np.int64)
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
             yield b.filter(pa.array(~failed & (model.score(counts) <= model.threshold)))
 

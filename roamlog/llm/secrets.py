@@ -136,18 +136,19 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "do
     """``docs`` with every secret replaced by ``REDACTED``; ``size``, if it is a column, is the new length of such texts."""
     spans = scan(docs, findings, id_col, text, path).filter("is_secret").select("_key", "start", "n_chars").distinct()
     spans = stage(spans.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "n_chars"))).alias("_spans")), "spans")
-    rows = with_row_key(docs, id_col, text).join(spans, "_key", "left")
-    t = F.col(text)
-    kept = F.expr(f"""transform(_spans, (s, i) -> substring(`{text}`,
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text).alias("_key"), F.col(text).alias("_old")).join(
+        spans, "_key", "left")
+    kept = F.expr("""transform(_spans, (s, i) -> substring(_old,
         int(if(i = 0, 0, _spans[i - 1].start + _spans[i - 1].n_chars)) + 1,
         int(s.start - if(i = 0, 0, _spans[i - 1].start + _spans[i - 1].n_chars))))""")
-    last = F.expr(f"substring(`{text}`, int(element_at(_spans, -1).start + element_at(_spans, -1).n_chars) + 1)")
-    rows = rows.withColumn("_new", F.when(F.col("_spans").isNull(), t).otherwise(
+    last = F.expr("substring(_old, int(element_at(_spans, -1).start + element_at(_spans, -1).n_chars) + 1)")
+    rows = rows.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("_old")).otherwise(
         F.array_join(F.concat(kept, F.array(last)), REDACTED)))
     out = {text: F.col("_new")}
     if size in docs.columns:
-        out[size] = F.when(F.col("_spans").isNull(), F.col(size)).otherwise(F.length("_new").cast(docs.schema[size].dataType))
-    return rows.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+        out[size] = F.when(F.col("_spans").isNull(), F.col(f"row.{size}")).otherwise(
+            F.length("_new").cast(docs.schema[size].dataType))
+    return rows.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 @query("op1_secret_scan")

@@ -181,6 +181,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for b in batches:
+            if not b.num_rows:
+                continue
             n = b.column("n_tokens").to_pylist()
             codes = [pack(rank_of[np.frombuffer(x, kind)]) for x in b.column("ids").to_pylist()]
             starts = start + np.cumsum([0, *n[:-1]])
