@@ -33,8 +33,8 @@ OWN_WORDS, BUCKETS = 16_384, 4_096
 TOP_WORDS = 200_000
 #: Distinct words a task counts before it passes them on.
 COUNTER_WORDS = 500_000
-#: Weight of the overall class distribution in each state's emissions, in tokens.
-PRIOR = 100.0
+#: Weight of the overall class distribution in each state's emissions: in tokens, and as a share.
+PRIOR, SHARE = 100.0, 0.1
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -270,7 +270,7 @@ def improve(training: DataFrame, model: Model, counts: Counts) -> Model:
         rows[r.k] = r[1:]
     share = (counts.class_counts + 1) / (counts.class_counts + 1).sum()
     start, move, emit = rows[0] + 1, rows[1 : 1 + states] + 1, rows[1 + states :] + PRIOR * share[:, None]
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), (1 - SHARE) * emit / emit.sum(axis=0) + SHARE * share[:, None])
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text: str = "text", states: int = STATES,

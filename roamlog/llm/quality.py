@@ -1,7 +1,7 @@
 """Quality rules: an isolation forest over rule statistics, with a threshold calibrated from labelled rows.
 
-A document is described by rates of plain rules (symbols, repeated lines, repeated word windows, word length, upper
-case, digits, ...). An isolation forest is a set of trees of random splits; a document whose path to a leaf is short on
+A document is described by rates of plain rules (symbols, punctuation, repeated lines and word windows, upper case,
+short words). An isolation forest is a set of trees of random splits; a document whose path to a leaf is short on
 average is easy to set apart and so unusual. Trees hold labelled good rows; labelled rows say how short is too short.
 
 The forest is fitted on at most ``SAMPLE_ROWS`` labelled rows, chosen by a hash of the id (the one bound here). The
@@ -24,7 +24,7 @@ from roamlog.session import stage
 
 #: Most labelled rows the forest is fitted on.
 SAMPLE_ROWS = 20_000
-TREES, PER_TREE = 128, 256
+TREES, PER_TREE = 256, 256
 #: Largest share of labelled good rows, among those the base rules keep, that the threshold may reject.
 MAX_FALSE_REJECTS = 0.002
 #: Fewer labelled good rows than this fit no forest.
@@ -33,7 +33,7 @@ MIN_GOOD = 8
 SCORE_STEP = 1e-4
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-OTHER = ["n_lines", "n_distinct", "n_upper", "n_digits", "n_punct", "longest_word", "n_short"]
+OTHER = ["n_lines", "n_upper", "n_punct", "n_short"]
 
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 _SPACE = list(b" \t\n\x0b\x0c\r")
@@ -71,8 +71,7 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     lengths = np.fromiter(map(len, words), np.int64, n)
     return (
         n, points - int(by_byte[_SPACE].sum()), int(by_byte[_SYMBOLS].sum()), dup, repeat_words(words), lines,
-        len(set(words)), int(by_byte[65:91].sum()), int(by_byte[48:58].sum()), int(by_byte[_PUNCT].sum()),
-        int(lengths.max(initial=0)), int((lengths < 3).sum()),
+        int(by_byte[65:91].sum()), int(by_byte[_PUNCT].sum()), int((lengths < 3).sum()),
     )
 
 
@@ -81,9 +80,8 @@ def features(counts: np.ndarray) -> np.ndarray:
     c = counts.astype(float)
     words, chars, lines = np.maximum(c[:, 0], 1), np.maximum(c[:, 1], 1), np.maximum(c[:, 5], 1)
     return np.column_stack([
-        c[:, 1] / words, np.log1p(20 * c[:, 2] / words), np.log1p(5 * c[:, 3] / lines), np.log1p(5 * c[:, 4] / words),
-        c[:, 6] / np.sqrt(words), np.log1p(20 * c[:, 7] / chars), np.log1p(20 * c[:, 8] / chars),
-        np.log1p(20 * c[:, 9] / words), np.log1p(c[:, 10]), c[:, 11] / words,
+        np.log1p(20 * c[:, 2] / words), np.log1p(5 * c[:, 3] / lines), np.log1p(5 * c[:, 4] / words),
+        np.log1p(20 * c[:, 6] / chars), np.log1p(20 * c[:, 7] / words), c[:, 8] / words,
     ])
 
 

@@ -8,11 +8,14 @@ Files: ``<path>/docs`` holds a row per document in ascending id order (part, sta
 data), ``<path>/ranks`` the id of each rank. Both are Parquet, so any file system Spark writes to will do, and a lost
 executor's part is written again by the commit protocol. Part k of the files precedes part k + 1 in id order.
 
+The tokenizer must drop white space and mark the ends of its pieces (any other raises an error).
+
 Null and empty texts have the end id alone. Null ids come first. Rows that repeat an id are ordered by their tokens.
 """
 from __future__ import annotations
 
 import itertools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,13 +25,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roamlog.llm.bpe import load_rules
+from roamlog.llm.bpe import byte_letters, load_rules
 from roamlog.llm.common import chunks, query, table, utf8
 from roamlog.session import drop_staged, stage, stage_root, staged_count
 
 END_ID = 1
-#: Words whose ids a task remembers; the memory starts anew beyond that.
-CACHE_WORDS = 400_000
+#: Pieces whose ids a task remembers; the memory starts anew beyond that.
+CACHE_PIECES = 300_000
+#: Pieces handed to the tokenizer at once; its results are bulky until their ids are taken.
+SLICE_PIECES = 5_000
 #: Bytes of ids a part of the files should hold.
 PART_BYTES = 32 << 20
 
@@ -73,50 +78,117 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: Bytes of Latin-1 that are neither ASCII nor plain letters; texts with them, or beyond Latin-1, are cut into words only.
+_ODD = bytes([*range(0x80, 0xC0), 0xD7, 0xF7])
+_LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+#: The tokenizer's own split, for lower-case Latin-1.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\x09-\x0d\x20a-z0-9\xdf-\xf6\xf8-\xff]+")
+
+
+class _Numbers(dict):
+    """Numbers keys as they are first asked for; ``fresh`` lists the new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list = []
+
+    def __missing__(self, key: bytes | str) -> int:
+        self.fresh.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class WordCoder:
-    """Ids of texts from a tokenizer that drops white space: each distinct word is encoded once."""
+    """Ids of texts from the word tokenizer of the library: lower case, white space dropped, pieces with an end mark.
 
-    def __init__(self, spec: str):
-        from tokenizers import Tokenizer
+    White space ends every piece, so texts can be encoded piece by piece, each distinct piece once. Plain texts (ASCII
+    and Latin-1 letters) are put in lower case and split here, and the library's model gets the pieces in bulk; words
+    with other characters go through the library's whole chain.
+    """
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.model = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
+        for t in (self.whole, self.model):
+            t.no_truncation()
+            t.no_padding()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        letters = {b: c for c, b in byte_letters().items()}
+        self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat: list[np.ndarray] = []
+        self.index = _Numbers()
+        self.flat = np.empty(0, np.uint32)
         self.begin = np.empty(0, np.int64)
         self.size = np.empty(0, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        done = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, done), np.int64, len(done))
-        used = int(self.size.sum())
-        self.flat = [np.concatenate([*self.flat, np.fromiter(itertools.chain.from_iterable(done), np.uint32, int(size.sum()))])]
-        self.begin = np.concatenate([self.begin, used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+    def _learn(self, pieces: list) -> None:
+        """Ids of the pieces that were numbered last."""
+        plain = [k for k, p in enumerate(pieces) if isinstance(p, bytes)]
+        odd = [k for k, p in enumerate(pieces) if isinstance(p, str)]
+        sizes, flats = [np.empty(0, np.int64)], [self.flat]
+        for k in range(0, len(plain), SLICE_PIECES):
+            shown = [pieces[j].decode("latin-1").translate(self.shown) for j in plain[k : k + SLICE_PIECES]]
+            lines = [" ".join(shown[j : j + 50]) for j in range(0, len(shown), 50)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(lines, add_special_tokens=False)])
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(shown):
+                raise ValueError("the tokenizer's pieces have no end mark")
+            sizes.append(np.diff(np.concatenate([[-1], last])))
+            flats.append(ids)
+        for k in range(0, len(odd), SLICE_PIECES):
+            for e in self.whole.encode_batch_fast([pieces[j] for j in odd[k : k + SLICE_PIECES]], add_special_tokens=False):
+                sizes.append(np.array([len(e.ids)]))
+                flats.append(np.array(e.ids, np.uint32))
+        size = np.concatenate(sizes)
+        begin = len(self.flat) + np.cumsum(size) - size
+        order = np.argsort(np.array(plain + odd), kind="stable")
+        self.begin, self.size = np.concatenate([self.begin, begin[order]]), np.concatenate([self.size, size[order]])
+        self.flat = np.concatenate(flats)
+
+    def _cut(self, text: bytes) -> list[bytes | str]:
+        if any(x in text for x in self.special):
+            return [w.decode() for w in text.split()]
+        try:
+            latin = text if text.isascii() else text.decode().encode("latin-1")
+        except UnicodeEncodeError:
+            latin = None
+        if latin is not None and len(latin.translate(None, _ODD)) == len(latin):
+            return _PIECE.findall(latin.translate(_LOWER))
+        out: list[bytes | str] = []
+        for w in text.split():
+            if w.isascii():
+                out += _PIECE.findall(w.lower())
+            else:
+                out.append(w.decode())
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text with the end id after them."""
-        cut = [t.split() for t in texts]
-        fresh = set().union(*cut).difference(self.index)
-        if fresh:
-            if len(self.index) + len(fresh) > CACHE_WORDS and self.index:
-                self.clear()
-                fresh = set().union(*cut)
-            self._learn(sorted(fresh))
+        if len(self.index) > CACHE_PIECES:
+            self.clear()
+        numbers = []
+        for t in texts:
+            pieces = self._cut(t)
+            numbers.append(np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces)))
+        if self.index.fresh:
+            self._learn(self.index.fresh)
+            self.index.fresh = []
         out = []
-        for words in cut:
-            k = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        for k in numbers:
             size = self.size[k]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(k) else 0
             ids = np.empty(total + 1, np.uint32)
             if total:
-                ids[:total] = self.flat[0][np.arange(total) + np.repeat(self.begin[k] - (ends - size), size)]
+                ids[:total] = self.flat[np.arange(total) + np.repeat(self.begin[k] - (ends - size), size)]
             ids[total] = END_ID
             out.append(ids)
         return out
@@ -128,7 +200,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(spec.value)
-        kind = id_type(coder.tokenizer.get_vocab_size())
+        kind = id_type(coder.whole.get_vocab_size())
         for b in chunks(batches, "text"):
             ids = coder.encode(utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([
