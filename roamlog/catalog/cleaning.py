@@ -56,6 +56,19 @@ def _(spark, sf):
     return C.fix_country(_raw(spark, sf), _fixes(spark, sf, "Land ")).select("user_id", "checkin_id", "country")
 
 
+@query("fix_city_by_user", ck("""
+SELECT raw.user_id, raw.checkin_id, CASE WHEN NOT bad AND f.checkin_id IS NOT NULL THEN 'Town ' || f.checkin_id ELSE raw.city END AS city
+FROM raw LEFT JOIN (SELECT user_id, date, min(checkin_id) AS checkin_id FROM c WHERE CAST(checkin_id AS BIGINT) % 37 = 0 GROUP BY 1, 2) f
+  ON f.date = CAST(raw.ts AS VARCHAR) AND f.user_id = raw.user_id""", extra=_RAW))
+def _(spark, sf):
+    """An override applies to the log it names, though others have a row in that second."""
+    rows = X.checkins(spark, sf).filter("CAST(checkin_id AS BIGINT) % 37 = 0").groupBy("user_id", "date").agg(F.min("checkin_id").alias("c"))
+    fixes = rows.select("user_id", F.col("date").alias("key"), F.concat(F.lit("Town "), "c").alias("value"))
+    others = fixes.withColumns({"user_id": F.col("user_id") + 1, "value": F.lit("wrong")}).join(fixes.select("user_id", "key"), ["user_id", "key"], "left_anti")
+    return C.fix_city(C.typed(_raw(spark, sf)), fixes.unionByName(others.withColumn("user_id", -F.col("user_id"))), by=["user_id"]).select(
+        "user_id", "checkin_id", "city")
+
+
 @query("fix_city", ck("""
 SELECT user_id, checkin_id, CASE WHEN NOT bad AND fc IS NOT NULL THEN 'Town ' || fc ELSE city END AS city, NOT bad AND fc IS NOT NULL AS city_fixed
 FROM raw LEFT JOIN fx ON fk = CAST(ts AS VARCHAR)""", extra=_RAW + ", " + _FIX))

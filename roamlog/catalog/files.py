@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from roamlog.catalog import query
 from roamlog.catalog.maintenance import _documents
+from roamlog.catalog.trips import _sql
 from roamlog.catalog.views import ck, tips
 from roamlog.operators import cleaning, counters as C
-from roamlog.plans import dashboard
+from roamlog.plans import dashboard, trips
 from roamlog.schema import CHECKIN_FIELDS
 from roamlog.session import stage_root
 from roamlog.sources import fixtures as X, readers as R, sinks
@@ -89,32 +90,81 @@ def _(spark, sf):
 
 
 def _landed(spark, sf, parts=3):
-    """Nested documents landed as JSON files, with every twentieth one repeated."""
+    """Nested documents landed as JSON files that overlap in time.
+
+    Every twentieth document is repeated, and every fiftieth has a twin: the same venue and second
+    under another user.
+    """
     docs = _documents(spark, sf)
     again = docs.filter(F.col("id").cast("bigint") % 20 == 0)
+    twins = docs.filter(F.col("id").cast("bigint") % 50 == 1).withColumns({
+        "id": F.concat(F.lit("9"), "id"), "user": F.struct((F.col("user.id").cast("bigint") + 1_000_000).cast("string").alias("id"))})
     path = _path(spark, "landed")
-    docs.unionAll(again).repartition(parts, "id").write.json(path)
+    docs.unionAll(again).unionAll(twins).repartition(parts, "id").write.json(path)
     return path
 
 
-@query("stream_checkins", ck("SELECT DISTINCT venue_id, date FROM c"))
+_TWINS = """every AS (SELECT * FROM c UNION ALL SELECT * REPLACE (user_id + 1000000 AS user_id, '9' || checkin_id AS checkin_id) FROM c WHERE CAST(checkin_id AS BIGINT) % 50 = 1)"""
+
+
+@query("stream_checkins", ck("""
+SELECT CAST(user_id AS VARCHAR) AS user_id, checkin_id, date, venue, venue_id, city, '' AS state, country, '' AS neighborhood, CAST(lat AS VARCHAR) AS lat, CAST(lng AS VARCHAR) AS lng,
+  '' AS address, CASE WHEN length(category) % 2 = 0 THEN category ELSE 'Other' END AS category, '' AS shout, 'app' AS source_app, 'u' AS source_url, with_name,
+  CASE with_name WHEN 'Ann A, Bob B' THEN 'a1, b2' WHEN 'Bob B' THEN 'b2' ELSE '' END AS with_id, created_by_name, CASE WHEN created_by_name <> '' THEN 'd4' ELSE '' END AS created_by_id,
+  CASE WHEN overlaps_name = '-' THEN '' ELSE overlaps_name END AS overlaps_name, CASE WHEN overlaps_name = 'Ann A, Cy C' THEN 'a1, c3' ELSE '' END AS overlaps_id
+FROM every WHERE checkin_id NOT LIKE '9%' OR user_id < 1000000
+UNION ALL
+SELECT CAST(user_id AS VARCHAR), checkin_id, date, venue, venue_id, city, '', country, '', CAST(lat AS VARCHAR), CAST(lng AS VARCHAR),
+  '', CASE WHEN length(category) % 2 = 0 THEN category ELSE 'Other' END, '', 'app', 'u', with_name,
+  CASE with_name WHEN 'Ann A, Bob B' THEN 'a1, b2' WHEN 'Bob B' THEN 'b2' ELSE '' END, CASE WHEN created_by_name <> '' THEN 'Dee D' ELSE 'Own Er' END, CASE WHEN created_by_name <> '' THEN 'd4' ELSE CAST(user_id - 1000000 AS VARCHAR) END,
+  CASE WHEN overlaps_name = '-' THEN '' ELSE overlaps_name END, CASE WHEN overlaps_name = 'Ann A, Cy C' THEN 'a1, c3' ELSE '' END
+FROM every WHERE checkin_id LIKE '9%' AND user_id >= 1000000""", extra=_TWINS))
 def _(spark, sf):
+    """Default settings: every stored column but the constant url, repeats removed, twins and late rows kept."""
     store = ingest.LogStore(_path(spark, "store"), buckets=8)
-    stream = ingest.stream_checkins(spark, _landed(spark, sf), watermark="60 days", max_files=1)
+    stream = ingest.stream_checkins(spark, _landed(spark, sf), max_files=1)
     ingest.run(stream, store, _path(spark, "offsets")).awaitTermination()
-    return store.read(spark).select("venue_id", "date")
+    return store.read(spark).drop("month", "bucket", "venue_url")
 
 
-@query("stream_refresh", ck("SELECT venue_id, count(DISTINCT date) AS n FROM c WHERE venue_id <> '' GROUP BY 1"))
+@query("stream_refresh", ck("SELECT user_id, count(*) AS n FROM every WHERE venue_id <> '' GROUP BY 1", extra=_TWINS))
 def _(spark, sf):
     store, out = ingest.LogStore(_path(spark, "store"), buckets=8), _path(spark, "counts")
 
     def counts(rows):
-        return rows.filter("venue_id <> ''").groupBy("bucket", "venue_id").agg(F.count("*").alias("n"))
+        return rows.filter("venue_id <> ''").groupBy("bucket", "user_id").agg(F.count("*").alias("n"))
 
-    stream = ingest.stream_checkins(spark, _landed(spark, sf), watermark=None, max_files=1)
+    stream = ingest.stream_checkins(spark, _landed(spark, sf), max_files=1)
     ingest.run(stream, store, _path(spark, "offsets"), ingest.refresher(counts, out)).awaitTermination()
-    return spark.read.parquet(out).select("venue_id", "n")
+    return spark.read.parquet(out).select(F.col("user_id").cast("bigint").alias("user_id"), "n")
+
+
+@query("stream_trips", _sql("SELECT user_id, trip_id, start_idx, end_idx, start_ts FROM trips",
+                            "SELECT * REPLACE (CASE WHEN length(category) % 2 = 0 THEN category ELSE 'Other' END AS category) FROM c"))
+def _(spark, sf):
+    """Trips of the users a batch touched, found anew after each batch, equal those of the whole log."""
+    store, out = ingest.LogStore(_path(spark, "store"), buckets=8), _path(spark, "trips")
+
+    def found(rows):
+        return trips.detect(cleaning.typed(rows), U, "HOME").intervals.withColumn("bucket", store.bucket())
+
+    stream = ingest.stream_checkins(spark, _landed(spark, sf, parts=2), max_files=1)
+    ingest.run(stream, store, _path(spark, "offsets"), ingest.refresher(found, out)).awaitTermination()
+    rows = spark.read.parquet(out).withColumn("user_id", F.col("user_id").cast("bigint"))
+    return rows.filter("user_id < 1000000").select("user_id", "trip_id", "start_idx", "end_idx", "start_ts")
+
+
+@query("lookup_map", ck("SELECT DISTINCT 'v' || CAST(length(city) AS VARCHAR) AS key, CAST(length(city) AS VARCHAR) AS value FROM c"))
+def _(spark, sf):
+    """A lookup read by its full URI from the shared folder."""
+    rows = X.checkins(spark, sf).select(F.length("city").cast("string").alias("v")).distinct()
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("v"), "v"), "v")))
+    path = _path(spark, "lookup")
+    rows.agg(F.to_json(pairs).alias("value")).coalesce(1).write.text(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(str(f.getPath()) for f in fs.listStatus(jpath) if f.getPath().getName().startswith("part-"))
+    return R.read_lookup(spark, fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(part)).toString())
 
 
 @query("write_atomic", ck("SELECT country AS name, count(*) AS n FROM c GROUP BY 1"))

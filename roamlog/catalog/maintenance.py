@@ -22,6 +22,18 @@ def _fetched(spark, sf):
     return rows.withColumn("venue", F.concat(F.lit("New "), "venue"))
 
 
+def _twins(rows):
+    """Rows with a copy of some under another user, at the same venue and second."""
+    twin = rows.filter(F.col("checkin_id").cast("bigint") % 4 == 1)
+    return rows.unionByName(twin.withColumns({"user_id": F.col("user_id") + 1_000_000, "city": F.concat(F.lit("Twin "), "city")}))
+
+
+_EXT = """ex0 AS (SELECT user_id, checkin_id, venue_id, date, venue, city FROM c WHERE CAST(checkin_id AS BIGINT) % 10 < 7),
+  fe0 AS (SELECT user_id, checkin_id, venue_id, date, 'New ' || venue AS venue, city FROM c WHERE CAST(checkin_id AS BIGINT) % 10 >= 4),
+  ex AS (SELECT * FROM ex0 UNION ALL SELECT user_id + 1000000, checkin_id, venue_id, date, venue, 'Twin ' || city FROM ex0 WHERE CAST(checkin_id AS BIGINT) % 4 = 1),
+  fe AS (SELECT * FROM fe0 UNION ALL SELECT user_id + 1000000, checkin_id, venue_id, date, venue, 'Twin ' || city FROM fe0 WHERE CAST(checkin_id AS BIGINT) % 4 = 1)"""
+
+
 @query("new_rows", ck("SELECT * FROM fe WHERE (venue_id, date) NOT IN (SELECT (venue_id, date) FROM ex)", extra=_EX))
 def _(spark, sf):
     return M.new_rows(_fetched(spark, sf), _existing(spark, sf))
@@ -47,6 +59,28 @@ def _(spark, sf):
     return M.missing_rows(_existing(spark, sf), _fetched(spark, sf), seq="checkin_id")
 
 
+@query("full_merge_by_user", ck("""
+SELECT ex.user_id, coalesce(n.checkin_id, ex.checkin_id) AS checkin_id, ex.venue_id, ex.date, coalesce(n.venue, ex.venue) AS venue, coalesce(n.city, ex.city) AS city
+FROM ex LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, venue_id, date ORDER BY checkin_id DESC) AS r FROM fe) WHERE r = 1) n
+  ON n.user_id = ex.user_id AND n.venue_id = ex.venue_id AND n.date = ex.date
+UNION ALL SELECT * FROM fe WHERE (user_id, venue_id, date) NOT IN (SELECT (user_id, venue_id, date) FROM ex)""", extra=_EXT))
+def _(spark, sf):
+    """Users who share a venue and a second keep their own rows."""
+    return M.full_merge(_twins(_existing(spark, sf)), _twins(_fetched(spark, sf)), seq="checkin_id", by=["user_id"])
+
+
+@query("append_new_by_user", ck("SELECT * FROM ex UNION ALL SELECT * FROM fe WHERE (user_id, venue_id, date) NOT IN (SELECT (user_id, venue_id, date) FROM ex)", extra=_EXT))
+def _(spark, sf):
+    return M.append_new(_twins(_existing(spark, sf)), _twins(_fetched(spark, sf)), by=["user_id"])
+
+
+@query("missing_rows_by_user", ck("""
+SELECT user_id, checkin_id, venue_id, date, venue, city FROM (SELECT *, row_number() OVER (PARTITION BY user_id, venue_id, date ORDER BY checkin_id) AS r FROM ex
+WHERE (user_id, venue_id, date) NOT IN (SELECT (user_id, venue_id, date) FROM fe)) WHERE r = 1""", extra=_EXT))
+def _(spark, sf):
+    return M.missing_rows(_twins(_existing(spark, sf)), _twins(_fetched(spark, sf)), seq="checkin_id", by=["user_id"])
+
+
 @query("anomalies", ck("""
 SELECT kind, venue_id, date, checkin_id FROM (
   SELECT 'missing' AS kind, venue_id, date, min(checkin_id) AS checkin_id FROM ex WHERE (venue_id, date) NOT IN (SELECT (venue_id, date) FROM fe) GROUP BY 2, 3

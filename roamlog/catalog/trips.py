@@ -105,6 +105,27 @@ def _(spark, sf):
     return _detect(spark, sf).intervals.drop("name_ts")
 
 
+@query("trips_excluded", _sql("""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY trip_id) AS trip_id, start_idx, end_idx, start_ts FROM trips WHERE start_ts % 3 <> 0"""))
+def _(spark, sf):
+    """Trips named in the exclusion table are gone, and numbering closes the gaps."""
+    gone = _detect(spark, sf).intervals.filter("start_ts % 3 = 0").select(*U, "start_ts")
+    return T.detect(X.checkins(spark, sf), U, "HOME", tables=T.TripTables(exclude=gone)).intervals.drop("name_ts")
+
+
+@query("trips_forced_starts", _sql("""
+, ov AS (SELECT user_id, start_ts, start_ts - 40000 AS wanted FROM trips WHERE start_ts % 3 = 0)
+, st AS (SELECT iv.*, o.ts AS ts1 FROM iv JOIN o ON o.user_id = iv.user_id AND o.idx = iv.start_idx)
+, nw AS (SELECT st.*, (SELECT count(*) + 1 FROM o WHERE o.user_id = st.user_id AND o.ts < ov.wanted) AS first FROM st LEFT JOIN ov ON ov.user_id = st.user_id AND ov.start_ts = st.ts1)
+, fs AS (SELECT user_id, fp, end_idx, CASE WHEN first < start_idx AND ts1 % 3 = 0 AND EXISTS (SELECT 1 FROM ov WHERE ov.user_id = nw.user_id AND ov.start_ts = nw.ts1) THEN first ELSE start_idx END AS start_idx FROM nw)
+SELECT fs.user_id, row_number() OVER (PARTITION BY fs.user_id ORDER BY o.ts, fs.fp) AS trip_id, fs.start_idx, fs.end_idx, o.ts AS start_ts
+FROM fs JOIN o ON o.user_id = fs.user_id AND o.idx = fs.start_idx WHERE fs.end_idx - fs.start_idx + 1 >= 5""".lstrip()))
+def _(spark, sf):
+    """Named trips start at the first row of an earlier time."""
+    wanted = _detect(spark, sf).intervals.filter("start_ts % 3 = 0").select(*U, "start_ts", (F.col("start_ts") - 40000).alias("new_start_ts"))
+    return T.detect(X.checkins(spark, sf), U, "HOME", tables=T.TripTables(start_overrides=wanted)).intervals.drop("name_ts")
+
+
 @query("trips_one_log", _sql("SELECT trip_id, start_idx, end_idx, start_ts FROM trips", "SELECT 0 AS user_id, * EXCLUDE (user_id) FROM c"))
 def _(spark, sf):
     return T.detect(X.checkins(spark, sf).drop("user_id"), [], "HOME").intervals.drop("name_ts")

@@ -50,22 +50,32 @@ def overlaps_state(c: Column) -> Column:
     return F.when(S.text(c) == "", "unchecked").when(S.text(c) == "-", "none").otherwise("some")
 
 
-def _lookup_join(df: DataFrame, table: DataFrame | None, key: Column, out: str) -> DataFrame:
-    """``out`` = mapped value of ``key`` or NULL. Spark broadcasts the table when its size allows."""
+def _lookup_join(df: DataFrame, table: DataFrame | None, key: Column, out: str, by: list[str] | None = None) -> DataFrame:
+    """``out`` = mapped value of ``key`` or NULL, per log if the table has the columns ``by``.
+
+    Spark broadcasts the table when its size allows. Rows without a key get one that no table has,
+    spread by a hash, so that a shuffle does not gather them in one partition.
+    """
     if table is None:
         return df.withColumn(out, F.lit(None).cast("string"))
-    t = table.select(F.col("key").alias("_key"), F.col("value").alias(out))
-    return df.withColumn("_lk", key).join(t, F.col("_lk") == F.col("_key"), "left").drop("_lk", "_key")
-
-
-def fix_country(df: DataFrame, fixes: DataFrame | None) -> DataFrame:
-    j = _lookup_join(df, fixes, S.py_strip(F.col("date")), "_fix")
+    by = by or []
+    none = F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in ("date", "venue_id", "city") if c in df.columns]).cast("string"))
+    t = table.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("key").alias("_key"), F.col("value").alias(out))
+    on = F.col("_lk") == F.col("_key")
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_by_{c}"))
+    return df.withColumn("_lk", F.coalesce(key, none)).join(t, on, "left").drop("_lk", "_key", *[f"_by_{c}" for c in by])
+
+
+def fix_country(df: DataFrame, fixes: DataFrame | None, by: list[str] | None = None) -> DataFrame:
+    """Country override by time (``key``, ``value``), within the log that ``by`` names."""
+    j = _lookup_join(df, fixes, S.py_strip(F.col("date")), "_fix", by)
     return j.withColumn("country", F.coalesce("_fix", "country")).drop("_fix")
 
 
-def fix_city(df: DataFrame, fixes: DataFrame | None) -> DataFrame:
+def fix_city(df: DataFrame, fixes: DataFrame | None, by: list[str] | None = None) -> DataFrame:
     """City override by time; ``city_fixed`` marks rows that skip every later city step."""
-    j = _lookup_join(df, fixes, S.py_strip(F.col("date")), "_fix")
+    j = _lookup_join(df, fixes, S.py_strip(F.col("date")), "_fix", by)
     return j.withColumns({"city_fixed": F.col("_fix").isNotNull(), "city": F.coalesce("_fix", "city")}).drop("_fix")
 
 
@@ -126,10 +136,10 @@ def nearest(points: DataFrame, centroids: DataFrame, max_km: float = 90.0) -> Da
     )
 
 
-def infer_city(df: DataFrame, resolver: Resolver) -> DataFrame:
+def infer_city(df: DataFrame, resolver: Resolver, by: list[str] | None = None) -> DataFrame:
     """Fill blank cities: exact time first, else the nearest centroid (on distinct points)."""
     blank = (F.col("city") == "") & ~F.col("city_fixed")
-    j = _lookup_join(df, resolver.times, F.when(blank, S.py_strip(F.col("date"))), "_by_time")
+    j = _lookup_join(df, resolver.times, F.when(blank, S.py_strip(F.col("date"))), "_by_time", by)
     need = blank & F.col("_by_time").isNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
     points = j.filter(need).select("country", "lat", "lng").distinct()
     # Staged, so that the join with all rows is planned with the size of the answer known.
@@ -144,11 +154,14 @@ def infer_city(df: DataFrame, resolver: Resolver) -> DataFrame:
     )
 
 
-def clean_checkins(raw: DataFrame, mappings: Mappings, resolver: Resolver | None = None) -> DataFrame:
-    """All cleaning steps in order over raw text rows; keeps undated rows (see :func:`quarantine`)."""
-    df = fix_city(fix_country(typed(raw), mappings.country_fixes), mappings.city_fixes)
+def clean_checkins(raw: DataFrame, mappings: Mappings, resolver: Resolver | None = None, by: list[str] | None = None) -> DataFrame:
+    """All cleaning steps in order over raw text rows; keeps undated rows (see :func:`quarantine`).
+
+    With ``by``, the tables keyed by time have these columns too, and apply to their own log.
+    """
+    df = fix_city(fix_country(typed(raw), mappings.country_fixes, by), mappings.city_fixes, by)
     if resolver is not None:
-        df = infer_city(df, resolver)
+        df = infer_city(df, resolver, by)
     return merge_city(df, mappings.city_merge, unless=F.col("city_fixed")).drop("city_fixed")
 
 

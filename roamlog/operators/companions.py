@@ -44,8 +44,8 @@ def companion_ids(ck: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.filter(creator, lambda x: (x["name"] != "") & (x["id"] != "")),
         pairs(S.split_list(F.col("overlaps_name")), S.split_list(F.col("overlaps_id"))),
     )
-    # One long orders first by time, then by place in the row.
-    seen = F.coalesce(F.col("ts"), F.lit(1 << 40)) * 4096 + F.col("slot")
+    # First by time, then by place in the row; undated rows come last.
+    seen = F.struct(F.coalesce(F.col("ts"), F.lit(1 << 40)).alias("ts"), F.col("slot"))
     return (
         ck.select(*by, "ts", F.posexplode(every).alias("slot", "p"))
         .filter("p.name <> '-'")

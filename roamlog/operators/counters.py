@@ -231,13 +231,18 @@ def top_list(df: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return top_k(df, by or [], list_order(), k)
 
 
+def _row_key(keys: list[str]) -> list[Column]:
+    """Key columns as text, stripped, NULL read as blank."""
+    return [S.text(F.col(k).cast("string")) for k in keys]
+
+
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key occurs more than once.
 
     Keys are counted with map-side combining and joined back, so the copies of one key are
     never gathered in one task (the adaptive skew join splits the row side).
     """
-    norm = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    norm = _row_key(keys)
     tagged = df.withColumns({f"_d{i}": c for i, c in enumerate(norm)})
     cols = [f"_d{i}" for i in range(len(keys))]
     twice = tagged.groupBy(*cols).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
@@ -245,4 +250,5 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def duplicate_key_count(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").agg(F.count("*").alias("keys"))
+    named = [c.alias(f"_d{i}") for i, c in enumerate(_row_key(keys))]
+    return df.groupBy(*named).agg(F.count("*").alias("_n")).filter("_n > 1").agg(F.count("*").alias("keys"))

@@ -1,7 +1,7 @@
 """Keeping the stored tables current: append, merge, diff, patch, remap and anomaly records.
 
-Keys of the check-in table are ``(venue_id, date)``, compared after stripping with NULL read as
-blank. Joins run on those two text keys; the keyed side always has one row per key, so a key
+Keys of the check-in table are ``(venue_id, date)`` within the log that ``by`` names, compared
+after stripping with NULL read as blank. Joins run on those two text keys; the keyed side always has one row per key, so a key
 held by many stored rows only repeats work on the side the adaptive skew join can split.
 """
 from __future__ import annotations
@@ -25,37 +25,41 @@ def _key_cols(keys: list[str], mark: str = "_k") -> list[str]:
     return [f"{mark}{i}" for i in range(len(keys))]
 
 
+def _row_keys(keys: list[str] | None, by: list[str] | None) -> list[str]:
+    return [*(by or []), *(keys or ROW_KEYS)]
+
+
 def _whole(df: DataFrame) -> Column:
     return F.struct(*df.columns)
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Incoming rows whose key is not stored."""
-    keys = keys or ROW_KEYS
+    keys = _row_keys(keys, by)
     k = _key_cols(keys)
     known = _keyed(existing.select(*keys), keys).select(*k).distinct()
     return _keyed(incoming, keys).join(known, k, "left_anti").drop(*k)
 
 
-def append_new(existing: DataFrame, incoming: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def append_new(existing: DataFrame, incoming: DataFrame, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Stored rows plus the new ones. Order is set by the writer (:func:`roamlog.sources.sinks`)."""
-    return existing.unionByName(new_rows(incoming, existing, keys), allowMissingColumns=True)
+    return existing.unionByName(new_rows(incoming, existing, keys, by), allowMissingColumns=True)
 
 
-def last_per_key(df: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """One row per key: the last in ``seq`` order, or the largest row when there is no order."""
+def last_per_key(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """One row per key: the last in ``seq`` order, the largest row among equals."""
     k = _key_cols(keys)
     keyed = _keyed(df, keys)
-    order = [F.desc(seq)] if seq else [F.desc(c) for c in df.columns]
-    return top_k(keyed, k, order, 1)
+    return top_k(keyed, k, [F.desc(seq), *[F.desc(c) for c in df.columns if c != seq]], 1)
 
 
-def full_merge(existing: DataFrame, fetched: DataFrame, keys: list[str] | None = None, seq: str | None = None) -> DataFrame:
+def full_merge(existing: DataFrame, fetched: DataFrame, seq: str, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Every stored row, replaced by the last fetched row with its key; then unmatched fetched rows.
 
-    Unmatched fetched rows keep their repeats. A partial fetch leaves other rows as they are.
+    ``seq`` is the order of fetching. Unmatched fetched rows keep their repeats. A partial fetch
+    leaves other rows as they are.
     """
-    keys = keys or ROW_KEYS
+    keys = _row_keys(keys, by)
     k = _key_cols(keys)
     cols = existing.columns
     latest = last_per_key(fetched, keys, seq)
@@ -67,14 +71,13 @@ def full_merge(existing: DataFrame, fetched: DataFrame, keys: list[str] | None =
     return kept.unionByName(new_rows(fetched, existing, keys).select(*cols))
 
 
-def missing_rows(existing: DataFrame, fetched: DataFrame, keys: list[str] | None = None, seq: str | None = None) -> DataFrame:
-    """First stored row of each key that was not fetched."""
-    keys = keys or ROW_KEYS
+def missing_rows(existing: DataFrame, fetched: DataFrame, seq: str, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """First stored row, in ``seq`` order, of each key that was not fetched."""
+    keys = _row_keys(keys, by)
     k = _key_cols(keys)
     got = _keyed(fetched.select(*keys), keys).select(*k).distinct()
     absent = _keyed(existing, keys).join(got, k, "left_anti")
-    order = [F.asc(seq)] if seq else [F.asc(c) for c in existing.columns]
-    return top_k(absent, k, order, 1).drop(*k)
+    return top_k(absent, k, [F.asc(seq), *[F.asc(c) for c in existing.columns if c != seq]], 1).drop(*k)
 
 
 def has_changed(a: DataFrame, b: DataFrame) -> bool:
@@ -199,12 +202,12 @@ def apply_overlaps(ck: DataFrame, responses: DataFrame) -> DataFrame:
     ).select(*ck.columns)
 
 
-def merge_anomalies(ledger: DataFrame, batch: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def merge_anomalies(ledger: DataFrame, batch: DataFrame, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Accumulate anomaly rows by key; a new row replaces the recorded one.
 
     ``kind`` (duplicate or missing) is part of the key.
     """
-    k = ["kind", *(keys or ROW_KEYS)]
+    k = ["kind", *_row_keys(keys, by)]
     every = batch.withColumn("_age", F.lit(0)).unionByName(
         ledger.withColumn("_age", F.lit(1)), allowMissingColumns=True)
     order = [F.asc("_age"), *[F.desc(c) for c in batch.columns if c not in k]]

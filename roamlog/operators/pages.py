@@ -48,14 +48,21 @@ def objects_where(docs: DataFrame, owner: str, col: str = "doc") -> DataFrame:
 
     ``docs(page_id, <col>)`` holds JSON text. Objects nest without limit, which no built-in
     expression walks, so Arrow batches of documents are read in the tasks that hold them.
+    A document that is no JSON, or too deep to parse, has no objects.
     """
+    def parsed(text: str) -> object:
+        try:
+            return json.loads(text)
+        except (ValueError, RecursionError):
+            return None
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hits = [(p, i) for p, d in zip(batch["page_id"], batch[col], strict=True) for i in _owned(json.loads(d), owner)]
+            hits = [(p, i) for p, d in zip(batch["page_id"], batch[col], strict=True) for i in _owned(parsed(d), owner)]
             yield pd.DataFrame(hits, columns=["page_id", "id"])
 
-    mentions = docs.filter(F.col(col).isNotNull() & F.col(col).contains(owner)).select("page_id", col)
-    return mentions.mapInPandas(walk, f"page_id {docs.schema['page_id'].dataType.simpleString()}, id string").distinct()
+    present = docs.filter(F.col(col).isNotNull()).select("page_id", col)
+    return present.mapInPandas(walk, f"page_id {docs.schema['page_id'].dataType.simpleString()}, id string").distinct()
 
 
 def discover_ids(pages: DataFrame, owner: str, anchor: str, known: DataFrame) -> DataFrame:

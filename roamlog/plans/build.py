@@ -40,14 +40,14 @@ def load_config(spark: SparkSession, folder: str) -> Config:
         end_overrides=times("trip_end_overrides.json", "end_ts"),
         start_overrides=times("trip_start_overrides.json", "new_start_ts"),
     )
-    found = R.read_settings(f"{folder}/settings.yaml")
+    found = R.read_settings(spark, f"{folder}/settings.yaml")
     groups = R.read_lookup(spark, f"{folder}/categories.json", "groups", "explorer_groups")
     review = R.read_blank_city_review(spark, f"{folder}/city_merge_normalized_review.csv")
     return Config(
         Mappings(lookup("country_fixes.json"), lookup("city_fixes.json"), lookup("city_merge.yaml")),
         Resolver(*review) if R.exists(spark, f"{folder}/city_merge_normalized_review.csv") else None,
         dashboard.Settings(
-            found["home_city"], found["min_checkins"], R.read_groups(f"{folder}/categories.json", "category_groups"),
+            found["home_city"], found["min_checkins"], R.read_groups(spark, f"{folder}/categories.json", "category_groups"),
             None if groups.isEmpty() else groups, tables,
         ),
     )

@@ -55,11 +55,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage of a plan that is read by several later branches. The files are
     durable, so a lost executor costs only its own tasks, and each reader prunes columns.
     """
+    path, table = stage_apart(df, name)
+    _WRITTEN.append(path)
+    return table
+
+
+def stage_apart(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """The same for a table whose path the caller keeps, and deletes with :func:`delete_paths`."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def staged_count() -> int:

@@ -29,8 +29,8 @@ def _people(c: str) -> Column:
     return F.coalesce(F.col(c), F.array().cast("array<struct<id:string,firstName:string,lastName:string>>"))
 
 
-def flatten_checkins(docs: DataFrame, venue_base: str = "") -> DataFrame:
-    """Documents (see ``CHECKIN_DOC_DDL``) -> the 22 stored text columns."""
+def flatten_checkins(docs: DataFrame, venue_base: str = "", keep: list[str] | None = None) -> DataFrame:
+    """Documents (see ``CHECKIN_DOC_DDL``) -> the columns ``keep`` and the 22 stored text columns."""
     met = F.transform(
         F.filter(F.coalesce(F.col("overlaps.items"), F.array().cast(
             "array<struct<user:struct<id:string,firstName:string,lastName:string>>>")), lambda x: x["user"].isNotNull()),
@@ -58,7 +58,7 @@ def flatten_checkins(docs: DataFrame, venue_base: str = "") -> DataFrame:
         "overlaps_id": _joined(met, lambda p: _blank(p["id"])),
         "checkin_id": _blank(F.col("id")),
     }
-    return docs.select(*[out[c].alias(c) for c in CHECKIN_FIELDS])
+    return docs.select(*(keep or []), *[out[c].alias(c) for c in CHECKIN_FIELDS])
 
 
 def flatten_tips(docs: DataFrame, closed: bool | None = None) -> DataFrame:

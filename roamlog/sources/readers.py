@@ -57,15 +57,19 @@ def read_tips(spark: SparkSession, path: str, multiline: bool = True) -> DataFra
     return raw.filter("_bad IS NULL").drop("_bad")
 
 
-def _load(path: str) -> object:
-    with open(path, encoding="utf-8-sig") as fh:
-        if path.endswith((".yaml", ".yml")):
-            try:
-                import yaml
-            except ImportError as exc:
-                raise ImportError("YAML lookups need PyYAML; JSON lookups do not") from exc
-            return yaml.safe_load(fh)
-        return json.load(fh)
+def _load(spark: SparkSession, path: str) -> object:
+    """A small JSON or YAML file from any file system Spark reads; None only if it is absent."""
+    if not exists(spark, path):
+        return None
+    text = spark.read.text(path, wholetext=True).head()
+    body = text[0].removeprefix("\ufeff") if text else ""
+    if not path.endswith((".yaml", ".yml")):
+        return json.loads(body)
+    try:
+        import yaml
+    except ImportError as exc:
+        raise ImportError("YAML lookups need PyYAML; JSON lookups do not") from exc
+    return yaml.safe_load(body)
 
 
 _KINDS = {
@@ -82,10 +86,7 @@ def read_lookup(spark: SparkSession, path: str, kind: str = "map", section: str
     The parsed rows are a local relation whose exact size Spark knows, so joins broadcast it
     only while it is below ``spark.sql.autoBroadcastJoinThreshold``. Repeated keys: last wins.
     """
-    try:
-        data = _load(path) or {}
-    except FileNotFoundError:
-        data = {}
+    data = _load(spark, path) or {}
     if section is not None:
         data = data.get(section, {})
     if kind == "map":
@@ -101,21 +102,15 @@ def read_lookup(spark: SparkSession, path: str, kind: str = "map", section: str
     return spark.createDataFrame(rows, _KINDS[kind])
 
 
-def read_groups(path: str, section: str) -> dict[str, list[str]]:
+def read_groups(spark: SparkSession, path: str, section: str) -> dict[str, list[str]]:
     """Group -> categories of a configuration section, in file order."""
-    try:
-        data = _load(path) or {}
-    except FileNotFoundError:
-        return {}
+    data = _load(spark, path) or {}
     return {g: [str(c) for c in cs] for g, cs in data.get(section, {}).items()}
 
 
-def read_settings(path: str) -> dict[str, object]:
+def read_settings(spark: SparkSession, path: str) -> dict[str, object]:
     """Home city and minimum trip length."""
-    try:
-        data = _load(path) or {}
-    except FileNotFoundError:
-        data = {}
+    data = _load(spark, path) or {}
     found = data.get("trip_detection", data)
     return {"home_city": found.get("home_city", ""), "min_checkins": int(found.get("min_checkins", 5))}
 

@@ -8,50 +8,55 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roamlog.functions import scalars as S
-from roamlog.operators.common import utc_month
+from roamlog.operators.common import top_k, utc_month
 from roamlog.operators.maintain import ROW_KEYS, new_rows
 from roamlog.schema import CHECKIN_DOC_DDL, CHECKIN_FIELDS
 from roamlog.sources.documents import flatten_checkins
+from roamlog.session import delete_paths, stage_apart
 from roamlog.sources.readers import exists
 
 
-def stream_checkins(spark: SparkSession, folder: str, watermark: str | None = "1 day",
-                    max_files: int | None = None) -> DataFrame:
-    """Stored-layout rows from JSON files landing in ``folder``, without repeats of a key.
+USER = "user_id"
+STREAM_KEYS = [USER, *ROW_KEYS]
 
-    Repeats further apart than the watermark are left to the merge with the stored table.
+
+def stream_checkins(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Stored-layout rows with their user from JSON files landing in ``folder``.
+
+    No row is late: repeats and old documents go to the keyed merge with the stored table, so the
+    stream holds no state and needs no watermark.
     """
     reader = spark.readStream.schema(f"user_id string, {CHECKIN_DOC_DDL}")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     docs = reader.json(folder)
-    rows = flatten_checkins(docs.withColumn("user_id", F.coalesce("user_id", F.col("user.id"))))
-    rows = rows.withColumn("event_time", S.parse_ts(F.col("date")))
-    if watermark is None:
-        return rows
-    return rows.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([*ROW_KEYS])
+    owner = F.coalesce(F.col(USER), F.col("user.id"), F.lit(""))
+    return flatten_checkins(docs.withColumn(USER, owner), keep=[USER])
 
 
 @dataclass(frozen=True)
 class LogStore:
-    """Check-in table partitioned by UTC month and by hash bucket of a key.
+    """Check-in table partitioned by UTC month and by hash bucket of the user.
 
-    The merge key contains the time, so a batch is compared only with the months and buckets it
-    falls in; a refresh reads only the buckets it touched.
+    The merge key holds user and time, so a batch is compared only with the months and buckets it
+    falls in; a refresh reads only the buckets it touched, and each holds whole users.
     """
 
     path: str
-    key: str = "venue_id"
+    key: str = USER
     buckets: int = 64
 
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)).cast("int")
+
     def placed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumns({
             "month": F.coalesce(utc_month(S.to_long(F.col("date"))), F.lit("none")),
-            "bucket": F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"),
+            "bucket": self.bucket(),
         })
 
     def read(self, spark: SparkSession) -> DataFrame:
-        schema = ", ".join(f"{c} string" for c in CHECKIN_FIELDS) + ", month string, bucket int"
+        schema = ", ".join(f"{c} string" for c in [USER, *CHECKIN_FIELDS]) + ", month string, bucket int"
         if not exists(spark, self.path):
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(self.path)
@@ -59,14 +64,20 @@ class LogStore:
     def merge(self, batch: DataFrame) -> list[int]:
         """Append rows whose key is not stored; returns the buckets of the batch.
 
-        Running a batch twice adds nothing, but reports the same buckets, so a refresh that was
-        lost to a failure is done again. Only partition names (months, buckets) reach the driver.
+        Of rows with one key in a batch the largest is taken, so the result does not depend on the
+        order of arrival within it. Running a batch twice adds nothing, but reports the same
+        buckets, so a refresh that was lost to a failure is done again. Only bucket numbers, at
+        most ``buckets`` of them, reach the driver; months meet the stored ones in a join.
         """
-        rows = self.placed(batch.select(*CHECKIN_FIELDS).dropDuplicates(ROW_KEYS))
-        touched = rows.select("month", "bucket").distinct().collect()
-        months, buckets = sorted({r.month for r in touched}), sorted({r.bucket for r in touched})
-        stored = self.read(batch.sparkSession).filter(F.col("month").isin(months) & F.col("bucket").isin(buckets))
-        new_rows(rows, stored).write.mode("append").partitionBy("month", "bucket").parquet(self.path)
+        cols = [USER, *CHECKIN_FIELDS]
+        one = top_k(batch.select(*cols), STREAM_KEYS, [F.desc(c) for c in cols if c not in STREAM_KEYS], 1)
+        path, rows = stage_apart(self.placed(one), "batch")
+        buckets = sorted(r.bucket for r in rows.select("bucket").distinct().collect())
+        stored = self.read(batch.sparkSession).filter(F.col("bucket").isin(buckets)).join(
+            rows.select("month", "bucket").distinct(), ["month", "bucket"], "left_semi")
+        fresh = new_rows(rows, stored, by=[USER]).hint("rebalance", "month", "bucket")
+        fresh.write.mode("append").partitionBy("month", "bucket").parquet(self.path)
+        delete_paths(batch.sparkSession, [path])
         return buckets
 
 

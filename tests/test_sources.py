@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from roamlog.operators import places, tips
@@ -18,8 +19,8 @@ def test_csv_with_bom_quotes_line_breaks_and_missing_columns(spark, tmp_path):
 def test_missing_files_are_empty(spark, tmp_path):
     gone = str(tmp_path / "none")
     assert R.read_checkins(spark, gone).isEmpty() and R.read_tips(spark, gone).isEmpty()
-    assert R.read_lookup(spark, gone + ".json").isEmpty() and R.read_groups(gone + ".json", "g") == {}
-    assert R.read_settings(gone + ".yaml") == {"home_city": "", "min_checkins": 5}
+    assert R.read_lookup(spark, gone + ".json").isEmpty() and R.read_groups(spark, gone + ".json", "g") == {}
+    assert R.read_settings(spark, gone + ".yaml") == {"home_city": "", "min_checkins": 5}
 
 
 def test_tips_array_and_broken_file(spark, tmp_path):
@@ -43,7 +44,10 @@ def test_lookup_kinds(spark, tmp_path):
     assert [tuple(r) for r in R.read_lookup(spark, str(j), "list", "list").collect()] == [("7", 0), ("8", 1)]
     s = tmp_path / "s.yaml"
     s.write_text("trip_detection:\n  home_city: Rome\n  min_checkins: 3\n")
-    assert R.read_settings(str(s)) == {"home_city": "Rome", "min_checkins": 3}
+    assert R.read_lookup(spark, f"file://{j}", "list", "list").count() == 2
+    with pytest.raises(Exception, match="scheme"):
+        R.read_lookup(spark, "nosuch://host/a.json")
+    assert R.read_settings(spark, str(s)) == {"home_city": "Rome", "min_checkins": 3}
 
 
 def test_review_rows(spark, tmp_path):

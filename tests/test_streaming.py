@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from roamlog.streaming import ingest
 
 
-def doc(i, venue, ts):
-    return {"user_id": "u", "id": str(i), "createdAt": ts, "user": {"id": "u"}, "venue": {"id": venue, "name": "N" + venue}}
+def doc(i, venue, ts, user="u"):
+    return {"user_id": user, "id": str(i), "createdAt": ts, "user": {"id": user}, "venue": {"id": venue, "name": "N" + venue}}
 
 
-DOCS = [doc(i, f"v{i % 4}", 1_700_000_000 + i * 60) for i in range(40)]
+DOCS = [doc(i, f"v{i % 4}", 1_700_000_000 + i * 60, f"u{i % 4}") for i in range(40)]
 
 
 def land(path, batches):
@@ -33,16 +33,24 @@ def test_split_batches_equal_one_batch(spark, tmp_path):
     for name, batches in {"one": [DOCS], "many": [DOCS[:7], DOCS[5:20], DOCS[20:], DOCS[:3]]}.items():
         store = ingest.LogStore(str(tmp_path / f"store-{name}"), buckets=4)
         land(tmp_path / name, batches)
-        drain(spark, tmp_path / name, store, tmp_path / f"off-{name}", watermark=None)
+        drain(spark, tmp_path / name, store, tmp_path / f"off-{name}")
         assert keys(spark, store) == want
 
 
+def test_late_rows_and_other_users_are_stored_at_default_settings(spark, tmp_path):
+    store = ingest.LogStore(str(tmp_path / "store"))
+    land(tmp_path / "in", [[doc(1, "v", 1_700_000_000)], [doc(2, "v", 1_600_000_000)], [doc(3, "v", 1_700_000_000, "w"), doc(4, "v", 1_700_000_000)]])
+    drain(spark, tmp_path / "in", store, tmp_path / "off")
+    assert sorted((r.user_id, r.date) for r in store.read(spark).collect()) == [
+        ("u", "1600000000"), ("u", "1700000000"), ("w", "1700000000")]
+
+
 def test_restart_continues_and_late_rows_are_merged(spark, tmp_path):
     store = ingest.LogStore(str(tmp_path / "store"), buckets=4)
     land(tmp_path / "in", [DOCS[20:]])
     drain(spark, tmp_path / "in", store, tmp_path / "off")
     land(tmp_path / "in", [DOCS[:25]])
-    drain(spark, tmp_path / "in", store, tmp_path / "off", watermark="30 days")
+    drain(spark, tmp_path / "in", store, tmp_path / "off")
     assert len(keys(spark, store)) == 40
 
 
@@ -51,7 +59,7 @@ def test_failed_refresh_is_repeated_and_only_touched_buckets_are_replaced(spark,
     seen = []
 
     def counts(rows):
-        return rows.groupBy("bucket", "venue_id").agg(F.count("*").alias("n"))
+        return rows.groupBy("bucket", "user_id").agg(F.count("*").alias("n"))
 
     replace = ingest.refresher(counts, out)
 
@@ -63,10 +71,10 @@ def test_failed_refresh_is_repeated_and_only_touched_buckets_are_replaced(spark,
 
     land(tmp_path / "in", [DOCS[:10]])
     with pytest.raises(Exception, match="lost"):
-        drain(spark, tmp_path / "in", store, tmp_path / "off", failing, watermark=None)
-    drain(spark, tmp_path / "in", store, tmp_path / "off", failing, watermark=None)
+        drain(spark, tmp_path / "in", store, tmp_path / "off", failing)
+    drain(spark, tmp_path / "in", store, tmp_path / "off", failing)
     assert seen[0] == seen[1] and len(keys(spark, store)) == 10
-    land(tmp_path / "in", [[doc(99, "v1", 1_800_000_000)]])
-    drain(spark, tmp_path / "in", store, tmp_path / "off", failing, watermark=None)
+    land(tmp_path / "in", [[doc(99, "v1", 1_800_000_000, "u1")]])
+    drain(spark, tmp_path / "in", store, tmp_path / "off", failing)
     assert len(seen[2]) == 1
-    assert {r.venue_id: r.n for r in spark.read.parquet(out).collect()} == {"v0": 3, "v1": 4, "v2": 2, "v3": 2}
+    assert {r.user_id: r.n for r in spark.read.parquet(out).collect()} == {"u0": 3, "u1": 4, "u2": 2, "u3": 2}
