@@ -2,9 +2,9 @@
 
 ``Window.partitionBy(user)`` puts a whole user in one task. Here a log is cut into time chunks
 ``(by, floor(ts / width))``: windows run inside a chunk, one summary row per chunk carries the
-running state across chunks, and the two are joined on the chunk key. The width is coarse for
-ordinary logs, so summaries are few, and narrow for the heavy ones, so that one user with a
-third of all rows is spread over as many tasks as the rows need.
+running state across chunks, and the two are joined on the chunk key. Chunks are wide where rows are sparse,
+so summaries are few, and narrow where they are dense, so that one user with a third of all
+rows, or a burst of them in one day, is spread over as many tasks as the rows need.
 """
 from __future__ import annotations
 
@@ -12,9 +12,12 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from roamlog.session import stage
+
 DAY = 86_400
-COARSE = 28 * DAY
-HEAVY_ROWS = 1_000_000
+#: Widths of chunks in seconds, each cut into the next where it is dense.
+WIDTHS = [28 * DAY, DAY, 3600, 60, 1]
+CHUNK_ROWS = 1_000_000
 _CHUNK = "_chunk"
 
 
@@ -27,26 +30,30 @@ def _by(by: Iterable[str]) -> list[Column]:
 
 
 def with_chunk(df: DataFrame, by: list[str], ts: str = "ts", chunk_seconds: int | None = None) -> DataFrame:
-    """Adds ``_chunk``, increasing with time in each log, sized by how dense the log is.
+    """Adds ``_chunk``, increasing with time in each log: the start of a stretch of time sized by its rows.
 
-    A log of more than ``HEAVY_ROWS`` rows gets chunks that hold that many on average. The
-    table of such logs has at most (all rows / ``HEAVY_ROWS``) rows, which bounds the broadcast;
-    it is found by a count that reads the key and time columns only.
+    Chunks are four weeks wide. One that would hold more than ``CHUNK_ROWS`` rows is cut into days,
+    such a day into hours, and so on down to a second, so that a burst inside a quiet log is split
+    like any other. Only dense stretches are listed (rows / ``CHUNK_ROWS`` at most on each level);
+    the list is staged, so the join that needs it is planned with its size known, and the search
+    ends at the first level without any.
     """
     if _CHUNK in df.columns:
         return df
     if chunk_seconds is not None:
         return df.withColumn(_CHUNK, chunk_of(F.col(ts), chunk_seconds))
-    span = F.max(ts) - F.min(ts) + 1
-    width = F.greatest(F.lit(1), F.floor(span * F.lit(float(HEAVY_ROWS)) / F.count("*")).cast("bigint")).alias("_width")
-    if not by:
-        heavy = df.agg(F.when(F.count("*") > HEAVY_ROWS, F.least(width, F.lit(COARSE))).alias("_width"))
-        sized = df.withColumn("_width", heavy.scalar())
-    else:
-        heavy = df.groupBy(*by).agg(F.count("*").alias("_n"), width).filter(F.col("_n") > HEAVY_ROWS).drop("_n")
-        sized = df.join(F.broadcast(heavy), by, "left")
-    wide = F.least(F.coalesce("_width", F.lit(COARSE)), F.lit(COARSE))
-    return sized.withColumn(_CHUNK, F.floor(F.col(ts) / wide).cast("bigint")).drop("_width")
+    out = df.withColumn(_CHUNK, chunk_of(F.col(ts), WIDTHS[0]) * WIDTHS[0])
+    times = df.select(*by, F.col(ts).alias("_t"))
+    for width, finer in zip(WIDTHS, WIDTHS[1:]):
+        cell = (chunk_of(F.col("_t"), width) * width).alias("_cell")
+        dense = stage(times.groupBy(*by, cell).agg(F.count("*").alias("_n")).filter(F.col("_n") > CHUNK_ROWS).drop("_n"), "dense")
+        if dense.isEmpty():
+            break
+        times = times.withColumn("_cell", cell).join(dense, [*by, "_cell"], "left_semi").drop("_cell")
+        out = out.withColumn("_cell", chunk_of(F.col(ts), width) * width).join(
+            dense.withColumn("_dense", F.lit(True)), [*by, "_cell"], "left").withColumn(
+            _CHUNK, F.when(F.col("_dense"), chunk_of(F.col(ts), finer) * finer).otherwise(F.col(_CHUNK))).drop("_cell", "_dense")
+    return out
 
 
 def _spread(df: DataFrame, keys: list[str]) -> DataFrame:

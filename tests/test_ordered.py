@@ -34,7 +34,7 @@ def brute(rows):
 @pytest.mark.parametrize("chunk", [None, 3600, 7 * O.DAY, 10**9])
 @pytest.mark.parametrize("heavy", [20, 10**6])
 def test_scan_log_matches_brute_force(spark, monkeypatch, chunk, heavy):
-    monkeypatch.setattr(O, "HEAVY_ROWS", heavy)
+    monkeypatch.setattr(O, "CHUNK_ROWS", heavy)
     rows = make_log(1)
     df = frame(spark, rows)
     got = O.scan_log(df, ["u"], {"a": F.col("kind") == "a"}, {"b": F.col("kind") == "b"}, timed={"a"}, chunk_seconds=chunk)
@@ -52,8 +52,21 @@ def test_marks_on_numbered_rows_agree_with_the_scan(spark):
     assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
 
 
+def test_a_burst_in_a_quiet_log_is_split(spark, monkeypatch):
+    monkeypatch.setattr(O, "CHUNK_ROWS", 20)
+    rng = random.Random(5)
+    rows = [(1, rng.randrange(4000 * O.DAY), f"q{i:03d}", "a") for i in range(100)]
+    rows += [(1, 2000 * O.DAY + rng.randrange(7200), f"x{i:03d}", rng.choice("ab")) for i in range(400)]
+    cut = O.with_chunk(frame(spark, rows), ["u"])
+    assert max(r["count"] for r in cut.groupBy("_chunk").count().collect()) < 60
+    order = [r._chunk for r in cut.orderBy("ts").collect()]
+    assert order == sorted(order)
+    got = O.scan_log(frame(spark, rows), ["u"], {"a": F.col("kind") == "a"}, {"b": F.col("kind") == "b"}).collect()
+    assert {r.checkin_id: (r.idx, r.next_a, r.prev_b) for r in got} == {k: (v[0], v[2], v[4]) for k, v in brute(rows).items()}
+
+
 def test_heavy_logs_get_narrow_chunks(spark, monkeypatch):
-    monkeypatch.setattr(O, "HEAVY_ROWS", 50)
+    monkeypatch.setattr(O, "CHUNK_ROWS", 50)
     cut = O.with_chunk(frame(spark, make_log(3)), ["u"]).groupBy("u", "_chunk").count().collect()
     assert max(r["count"] for r in cut if r.u == 0) < 100
     assert len([r for r in cut if r.u == 0]) >= 2
