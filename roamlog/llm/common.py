@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,14 +60,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             yield batch.slice(start)
 
 
-def is_empty(df: DataFrame) -> bool:
-    return not df.take(1)
+def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """At most ``rows`` rows of ``df``, chosen and ordered by a hash of ``columns``, the same on every run.
+
+    A share is kept by the hash first, so that the ordered pick sees little more than it returns.
+    """
+    total, steps = df.count(), 1 << 20
+    h = F.xxhash64(*columns)
+    if total > rows:
+        df = df.filter(F.pmod(h, F.lit(steps)) < max(1, int(1.05 * rows / total * steps)))
+    return df.orderBy(h, *columns).limit(rows)
 
 
 def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
     """``_key``: one value per distinct (doc_id, text), so that a repeated id with another text stays apart."""
     return df.withColumn("_key", F.xxhash64(*columns))
-
-
-def arrow_schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)  # noqa: SLF001

@@ -29,7 +29,7 @@ from roamlog.session import stage
 
 STATES, ROUNDS, SEGMENT = 8, 4, 512
 OWN_WORDS, BUCKETS = 16_384, 4_096
-#: Most frequent words whose counts go to every task (about 30 bytes each); the counts of others are joined.
+#: Most words, by falling frequency, whose counts go to every task (about 30 bytes each); those of others are joined.
 TOP_WORDS = 200_000
 #: Distinct words a task counts before it passes them on.
 COUNTER_WORDS = 500_000
@@ -77,9 +77,24 @@ class Counts:
         return OWN_WORDS + 1 + BUCKETS
 
 
+def _frequency_bin() -> Column:
+    """Exact below 1024, then 64 bins for each doubling: a few thousand bins at any size."""
+    n = F.col("n")
+    return F.when(n < 1024, n).otherwise(1024 + F.floor(64 * (F.log2(n) - 10))).cast("long")
+
+
 def summarise(vocabulary: DataFrame, n_docs: int) -> Counts:
     """``vocabulary`` (word, n) is a staged table; only its frequent head and sums per bucket reach the driver."""
-    head = [(r.word.encode(), r.n) for r in vocabulary.orderBy(F.desc("n"), "word").limit(TOP_WORDS).collect()]
+    # Frequencies are counted in bins to find how frequent a word must be to belong to the head.
+    bins = vocabulary.groupBy(_frequency_bin().alias("b")).agg(F.count("*").alias("words")).orderBy(F.desc("b")).collect()
+    room, least = TOP_WORDS, None
+    for r in bins:
+        room -= r.words
+        if room < 0:
+            break
+        least = r.b
+    head = [] if least is None else [(r.word.encode(), r.n) for r in vocabulary.filter(_frequency_bin() >= least).collect()]
+    head.sort(key=lambda x: (-x[1], x[0]))
     total = vocabulary.agg(F.count("*").alias("words"), F.sum("n").alias("n")).head()
     own = {w: k for k, (w, _) in enumerate(head[:OWN_WORDS])}
     bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from roamlog.llm.common import query, table, utf8
+from roamlog.llm.common import bounded_sample, query, table, utf8
 from roamlog.session import stage
 
 #: Most labelled rows the forest is fitted on.
@@ -204,7 +204,7 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     """
     names = [f"_{c}" for c in COUNTS + OTHER]
     rows = labelled(stats, labels, id_col, label).filter(~base_failed())
-    picked = rows.orderBy(F.xxhash64(F.col(id_col), F.lit(1)), *names).limit(sample_rows).select("_label", *names).collect()
+    picked = bounded_sample(rows, sample_rows, id_col, "_label", *names).select("_label", *names).collect()
     sample = np.array(picked, np.int64).reshape(len(picked), 1 + len(names))
     if np.count_nonzero(sample[:, :1] > 0) < MIN_GOOD:
         return QualityModel(None, 1.0)

@@ -21,7 +21,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roamlog.llm.common import query, table, with_row_key
+from roamlog.llm.common import bounded_sample, query, table, with_row_key
 from roamlog.session import stage
 
 #: Most labelled findings the forest is fitted on.
@@ -109,7 +109,7 @@ def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, t
         "label = other").drop("other")
     same = [rows["id"].eqNullSafe(labels["id"]), rows["start"] == labels["start"]]
     known = rows.join(labels, reduce(lambda a, b: a & b, same)).select("label", *FEATURES)
-    sample = stage(known.orderBy(F.xxhash64(*known.columns), *known.columns).limit(train_rows).coalesce(1), "findings")
+    sample = stage(bounded_sample(known, train_rows, *known.columns).coalesce(1), "findings")
     kinds = sorted(r.label for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
         score = F.lit(kinds[0] if kinds else None).cast("double")
