@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlog.llm.common import chunks, query, table, utf8, with_row_key
 from roamlog.llm.minhash import mixed
-from roamlog.session import stage
+from roamlog.session import delete_paths, stage, stage_apart
 
 LENGTH, ANCHOR = 200, 48
 BATCHES = 4
@@ -126,23 +126,29 @@ def suffix_samples(docs: DataFrame) -> DataFrame:
 
 
 class SuffixLevels:
-    """The family of levels: staged tables (key, n) of anchors, each with its size in batches."""
+    """The family of levels: tables (key, n) of anchors in the shared folder, each with its size in batches."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, str, DataFrame]] = []
+
+    def drop(self) -> None:
+        """Delete the files of the family."""
+        delete_paths(self.spark, [path for _, path, _ in self.levels])
+        self.levels = []
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Take in a batch of suffixes (key); returns the keys it shares with itself or with an earlier level."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            (size, one, a), (_, other, b) = self.levels.pop(), self.levels.pop()
             both = a.unionByName(b).groupBy("key").agg(F.sum("n").alias("n"))
-            self.levels.append((2 * size, stage(both, "suffix-level")))
-        new = stage(keys.groupBy("key").agg(F.count("*").alias("n")), "suffix-level")
+            self.levels.append((2 * size, *stage_apart(both, "suffix-level")))
+            delete_paths(self.spark, [one, other])
+        path, new = stage_apart(keys.groupBy("key").agg(F.count("*").alias("n")), "suffix-level")
         shared = new.filter("n > 1").select("key")
-        for _, level in self.levels:
+        for _, _, level in self.levels:
             shared = shared.unionByName(new.select("key").join(level.select("key"), "key"))
-        self.levels.append((1, new))
+        self.levels.append((1, path, new))
         return stage(shared.distinct(), "shared-anchors")
 
 
@@ -152,7 +158,7 @@ def repeated_strings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
     (starts and ends of removed runs, in bytes) and ``kept`` (the remaining bytes)."""
     spark = docs.sparkSession
     rows = with_row_key(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "id", "text")
-    samples = stage(suffix_samples(rows), "suffixes")
+    samples_path, samples = stage_apart(suffix_samples(rows), "suffixes")
     family, shared = SuffixLevels(spark), []
     for k in range(batches):
         batch = samples.filter(F.pmod(F.xxhash64("_key"), F.lit(batches)) == k)
@@ -160,18 +166,21 @@ def repeated_strings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
     anchors = shared[0]
     for more in shared[1:]:
         anchors = anchors.unionByName(more)
-    anchors = stage(anchors.distinct(), "shared-anchors")
+    anchors_path, anchors = stage_apart(anchors.distinct(), "shared-anchors")
+    family.drop()
     # Runs with a shared anchor, counted by their whole stretch.
     each = samples.select("_key", F.posexplode(F.arrays_zip("keys", "stretches")).alias("i", "r")).select(
         "_key", "i", F.col("r.keys").alias("key"), F.col("r.stretches").alias("stretch"))
-    some = stage(each.join(anchors, "key"), "shared-runs")
+    some_path, some = stage_apart(each.join(anchors, "key"), "shared-runs")
+    delete_paths(spark, [samples_path, anchors_path])
     stretches = some.groupBy("key", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("_key", "i")).alias("one"))
     kinds = stretches.groupBy("key").agg(F.count("*").alias("kinds"))
-    stretches = stage(stretches.join(kinds, "key"), "stretches")
+    stretches_path, stretches = stage_apart(stretches.join(kinds, "key"), "stretches")
     judged = some.join(stretches, ["key", "stretch"]).select(
         "_key", "i", (F.col("n") > 1).alias("whole"),
         ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("_key", "i") == F.col("one")))).alias("look"))
     per_row = stage(judged.distinct().groupBy("_key").agg(F.collect_list(F.struct("i", "whole", "look")).alias("runs")), "runs-of-rows")
+    delete_paths(spark, [some_path, stretches_path])
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def first(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,57 +188,57 @@ def repeated_strings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
         hasher = Hasher()
         for b in chunks(batches_, "text"):
             out = _Results()
-            texts, starts, hashes, spans = [], [], [], []
+            texts, sought, hashes, spans = [], [], [], []
             for key, t, runs in zip(b.column("_key"), utf8(b.column("text")), b.column("runs")):
-                look, low, high = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-                hashed = np.empty(0, np.int64)
+                low = high = look_low = look_high = hashed = np.empty(0, np.int64)
                 if runs.is_valid:
                     r = Runs(t, hasher)
                     i, whole, seek = (v.to_numpy(zero_copy_only=False) for v in runs.values.flatten())
                     low, high = r.low[i[whole]], r.high[i[whole]] + LENGTH
-                    look = np.unique(_strings_of(r, i[seek]))
-                    hashed = r.string_hashes(look) if len(look) else hashed
-                if len(look):
+                    wanted = np.unique(i[seek])
+                    look_low, look_high = r.low[wanted], r.high[wanted]
+                    if len(wanted):
+                        hashed = r.string_hashes(_starts(look_low, look_high))
+                if len(hashed):
                     out.skip()
                 else:
                     out.add(t, low, high)
-                texts.append(t if len(look) else None)
-                starts.append(look)
+                texts.append(t if len(hashed) else None)
+                sought.append(np.concatenate([look_low, look_high]))
                 hashes.append(hashed)
                 spans.append(np.concatenate([low, high]))
             yield pa.RecordBatch.from_arrays([
-                b.column("_key"), b.column("id"), *out.arrays(), pa.array(texts, pa.binary()), _lists(starts, pa.int64()),
+                b.column("_key"), b.column("id"), *out.arrays(), pa.array(texts, pa.binary()), _lists(sought, pa.int64()),
                 _lists(hashes, pa.int64()), _lists(spans, pa.int64())],
-                names=["_key", "id", *_Results.NAMES, "text", "starts", "hashes", "whole"])
+                names=["_key", "id", *_Results.NAMES, "text", "sought", "hashes", "whole"])
 
     # Texts are shuffled once, at every size alike, and streamed past what is known of their runs.
     half = stage(rows.join(per_row.hint("shuffle_hash"), "_key", "left").select("_key", "id", "text", "runs").mapInArrow(
-        first, f"_key long, id {id_type}, {_Results.DDL}, text binary, starts array<long>, hashes array<long>, whole array<long>"), "judged-rows")
-    strings = half.filter("text IS NOT NULL").select("_key", F.explode(F.arrays_zip("starts", "hashes")).alias("s")).select(
-        "_key", F.col("s.starts").alias("start"), F.col("s.hashes").alias("hash"))
+        first, f"_key long, id {id_type}, {_Results.DDL}, text binary, sought array<long>, hashes array<long>, whole array<long>"), "judged-rows")
+    strings = half.filter("text IS NOT NULL").select("_key", F.posexplode("hashes").alias("i", "hash"))
     twice = stage(strings.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "repeated-strings")
-    found = strings.join(twice, "hash").select("_key", "start").distinct().groupBy("_key").agg(F.collect_list("start").alias("found"))
+    found = strings.join(twice, "hash").select("_key", "i").distinct().groupBy("_key").agg(F.collect_list("i").alias("found"))
 
     def second(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches_, "text"):
             out = _Results()
-            for t, spans, starts in zip(b.column("text").to_pylist(), b.column("whole"), b.column("found")):
-                whole = spans.values.to_numpy()
-                more = starts.values.to_numpy() if starts.is_valid else np.empty(0, np.int64)
-                out.add(t, np.concatenate([whole[: len(whole) // 2], more]), np.concatenate([whole[len(whole) // 2 :], more + LENGTH]))
+            for t, spans, sought, found_ in zip(b.column("text").to_pylist(), *(b.column(c) for c in ("whole", "sought", "found"))):
+                (low, high), (look_low, look_high) = (v.values.to_numpy().reshape(2, -1) for v in (spans, sought))
+                more = _starts(look_low, look_high)[found_.values.to_numpy()] if found_.is_valid else low[:0]
+                out.add(t, np.concatenate([low, more]), np.concatenate([high, more + LENGTH]))
             yield pa.RecordBatch.from_arrays([b.column("id"), *out.arrays()], names=["id", *_Results.NAMES])
 
     rest = half.filter("text IS NOT NULL").join(stage(found, "found-strings").hint("shuffle_hash"), "_key", "left").select(
-        "id", "text", "whole", "found").mapInArrow(second, f"id {id_type}, {_Results.DDL}")
+        "id", "text", "whole", "sought", "found").mapInArrow(second, f"id {id_type}, {_Results.DDL}")
     out = half.filter("text IS NULL").select("id", *_Results.NAMES).unionByName(rest)
     extra = ["spans", "kept"] if with_text else []
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)
 
 
-def _strings_of(runs: Runs, wanted: np.ndarray) -> np.ndarray:
-    """Starts of all strings in the runs ``wanted``."""
-    size = runs.high[wanted] - runs.low[wanted] + 1
-    return np.repeat(runs.low[wanted] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+def _starts(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All starts of strings in the runs ``low``..``high``, in order."""
+    size = high - low + 1
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class _Results:
