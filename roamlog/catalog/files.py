@@ -52,11 +52,11 @@ def _(spark, sf):
     return R.read_checkins_parquet(spark, path, extra=U).select(*_KEEP)
 
 
-@query("read_tips_json", tips("SELECT id, ts, length(text) AS chars, lat, closed, agree_count FROM tips WHERE lat IS NOT NULL"))
+@query("read_tips_json", tips("SELECT id, ts, length(text) AS chars, lat, closed, agree_count FROM tips"))
 def _(spark, sf):
     path = _path(spark, "tips")
     X.tips(spark, sf).write.json(path)
-    read = R.read_tips(spark, path, multiline=False).filter("lat IS NOT NULL")
+    read = R.read_tips(spark, path, multiline=False)
     return read.select("id", "ts", F.length("text").alias("chars"), "lat", "closed", "agree_count")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roamlog.functions import scalars as S
 from roamlog.operators.common import first_seen, place_key, top_k, utc_date, utc_hour, utc_month, when_seen, with_max
 from roamlog.operators.ordered import Desc, chunk_of, numbered
+from roamlog.session import stage
 
 
 def _dated(ck: DataFrame) -> DataFrame:
@@ -17,20 +18,24 @@ def _count(ck: DataFrame, by: list[str], name: str, key: Column) -> DataFrame:
 
 
 def summary(ck: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Total rows, first and last UTC day, distinct countries, cities and places."""
+    """Total rows, first and last UTC day, distinct countries, cities and places.
+
+    Rows are counted per distinct place first, so the distinct counts copy those and not all rows.
+    """
     by = by or []
-    day = utc_date(F.col("ts"))
     located_without_id = (F.col("venue_id") == "") & F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    return ck.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        F.min(day).cast("string").alias("date_min"),
-        F.max(day).cast("string").alias("date_max"),
-        F.count_distinct(F.nullif("country", F.lit(""))).alias("countries"),
-        F.count_distinct(F.nullif("city", F.lit(""))).alias("cities"),
-        (
-            F.count_distinct(F.nullif("venue_id", F.lit("")))
-            + F.count_distinct(F.when(located_without_id, F.struct(F.round("lat", 5), F.round("lng", 5))))
-        ).alias("unique_places"),
+    places = ck.groupBy(
+        *by, F.nullif("country", F.lit("")).alias("_country"), F.nullif("city", F.lit("")).alias("_city"),
+        F.nullif("venue_id", F.lit("")).alias("_venue"),
+        F.when(located_without_id, F.struct(F.round("lat", 5), F.round("lng", 5))).alias("_spot"),
+    ).agg(F.count("*").alias("_n"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    return places.groupBy(*by).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total"),
+        utc_date(F.min("_first")).cast("string").alias("date_min"),
+        utc_date(F.max("_last")).cast("string").alias("date_max"),
+        F.count_distinct("_country").alias("countries"),
+        F.count_distinct("_city").alias("cities"),
+        (F.count_distinct("_venue") + F.count_distinct("_spot")).alias("unique_places"),
     )
 
 
@@ -220,6 +225,8 @@ COUNTRY_SORTS = {
 def rank_list(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rank and share of the top value for a ``name, n, first_ts`` list of any length."""
     by = by or []
+    # Staged: rows, offsets and the maximum would each compute the list anew.
+    df = stage(df, "list")
     ranked = numbered(
         df, by, [Desc(F.col("n")), chunk_of(F.col("first_ts"))], [F.asc("first_ts"), F.asc("name")], "rank"
     )

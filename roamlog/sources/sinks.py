@@ -13,18 +13,19 @@ from roamlog.schema import CHECKIN_FIELDS
 
 def write_checkins(df: DataFrame, path: str, fmt: str = "parquet", extra: list[str] | None = None,
                    mode: str = "errorifexists") -> None:
-    """Stored columns in fixed order; Parquet is partitioned by UTC year, files sorted by time."""
+    """Stored columns in fixed order, in order of time from file to file; Parquet is partitioned by UTC year.
+
+    Ranges of time are dealt to tasks by their rows, so a full year is spread over many of them.
+    """
     cols = [*CHECKIN_FIELDS, *(extra or [])]
     out = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    time, tie = S.to_long(F.col("date")), F.xxhash64("venue_id", "checkin_id")
     if fmt == "csv":
-        out.sortWithinPartitions(S.to_long(F.col("date"))).write.mode(mode).csv(
+        out.repartitionByRange(time, tie).sortWithinPartitions(time, tie).write.mode(mode).csv(
             path, header=True, escape='"', emptyValue="", encoding="UTF-8")
         return
     year = F.coalesce(F.year(utc_date(S.to_long(F.col("date")))), F.lit(0))
-    # Spread each year over tasks by venue and time so that no year becomes one task.
-    out.withColumn("year", year).repartition("year", F.pmod(F.xxhash64("venue_id", "date"), F.lit(64))).sortWithinPartitions(
-        "year", S.to_long(F.col("date"))
-    ).write.mode(mode).partitionBy("year").format(fmt).save(path)
+    out.withColumn("year", year).repartitionByRange("year", time, tie).sortWithinPartitions("year", time, tie).write.mode(mode).partitionBy("year").format(fmt).save(path)
 
 
 def write_atomic(df: DataFrame, path: str, fmt: str = "parquet", **options: str) -> None:
