@@ -137,6 +137,19 @@ def _(spark, sf):
     return T.trip_summary(_detect(spark, sf)).drop("tags", "start_idx", "end_idx", "start_ts", "name_ts")
 
 
+@query("trip_summary_curated", _sql("""
+SELECT sm.user_id, sm.trip_id, checkin_count, start_date, end_date, countries, cities, start_year, duration, unique_places, t.start_idx, t.end_idx, t.start_ts, t.start_ts AS name_ts,
+  CASE WHEN t.start_ts % 3 = 0 THEN 'Tour ' || CAST(t.start_ts AS VARCHAR) ELSE name END AS name, CASE WHEN t.start_ts % 5 = 0 THEN 'hiking | sea' ELSE '' END AS tags
+FROM sm JOIN trips t ON t.user_id = sm.user_id AND t.trip_id = sm.trip_id""", rows=True))
+def _(spark, sf):
+    """Names and tags from curated tables, with the positions and times of the trips."""
+    starts = _detect(spark, sf).intervals.select(*U, "start_ts").distinct()
+    names = starts.filter("start_ts % 3 = 0").select(*U, F.col("start_ts").alias("name_ts"), F.concat(F.lit("Tour "), "start_ts").alias("name"))
+    tags = starts.filter("start_ts % 5 = 0").withColumn("tags", F.array(F.lit("hiking"), F.lit("sea")))
+    found = T.detect(X.checkins(spark, sf), U, "HOME", tables=T.TripTables(names=names, tags=tags))
+    return T.trip_summary(found).drop("min_lat", "max_lat", "min_lng", "max_lng")
+
+
 @query("trip_checkins", _sql("""
 SELECT user_id, trip_id, idx, ts, checkin_id, strftime(l, '%Y-%m-%d') AS date, strftime(l, '%H:%M') AS time, strftime(l, '%d %b %Y, %H:%M') AS datetime,
   venue, venue_id, city, country, category, round(lat, 5) AS lat, round(lng, 5) AS lng FROM tr""", rows=True))
