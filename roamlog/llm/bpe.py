@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from roamlog.llm.common import chunks, query, table, utf8
+from roamlog.llm.common import chunks, kept, query, table, utf8
 
 #: Largest tokenizer file that is broadcast.
 MAX_FILE_BYTES = 64 << 20
@@ -248,7 +248,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text",
     rules_text = load_rules(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(rules_text.value)
+        rules = kept(rules_text, Rules)
         for b in chunks(batches, text):
             ids = encode_texts([t.decode() for t in utf8(b.column(text))], rules)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
@@ -257,8 +257,8 @@ def encode(docs: DataFrame, tokenizer: str, keep: list[str], text: str = "text",
                 columns.append(pa.array([decode_ids(x, rules) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "ids", *["decoded"] * decode])
 
-    kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{kept}, ids array<int>" + ", decoded string" * decode)
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, f"{fields}, ids array<int>" + ", decoded string" * decode)
 
 
 def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,7 +266,7 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rules_text = load_rules(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(rules_text.value)
+        rules = kept(rules_text, Rules)
         decimal = [str(i) for i in range(rules.size)]
         for b in chunks(batches, text):
             ids = encode_texts([t.decode() for t in utf8(b.column(text))], rules)

@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +73,13 @@ def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     return df.orderBy(h, *columns).limit(rows)
 
 
+def kept(sent: Broadcast, make: Callable):
+    """``make(sent.value)``, made once in each Python worker and kept with the broadcast for its later tasks."""
+    if not hasattr(sent, "made"):
+        sent.made = make(sent.value)
+    return sent.made
+
+
 def with_row_key(df: DataFrame, *columns: str) -> DataFrame:
     """``_key``: one value per distinct (doc_id, text), so that a repeated id with another text stays apart."""
     return df.withColumn("_key", F.xxhash64(*columns))

@@ -26,12 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roamlog.llm.bpe import byte_letters, load_rules
-from roamlog.llm.common import chunks, query, table, utf8
+from roamlog.llm.common import chunks, kept, query, table, utf8
 from roamlog.session import drop_staged, stage, stage_root, staged_count
 
 END_ID = 1
 #: Pieces whose ids a task remembers; the memory starts anew beyond that.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
 #: Pieces handed to the tokenizer at once; its results are bulky until their ids are taken.
 SLICE_PIECES = 5_000
 #: Bytes of ids a part of the files should hold.
@@ -108,19 +108,19 @@ class WordCoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.model = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
-        for t in (self.whole, self.model):
-            t.no_truncation()
-            t.no_padding()
+        self.spec, self.whole = spec, None
+        self.model = Tokenizer.from_str(spec)
+        self.model.no_truncation()
+        self.model.no_padding()
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        vocabulary = self.whole.get_vocab()
+        vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         letters = {b: c for c, b in byte_letters().items()}
         self.shown = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -143,6 +143,12 @@ class WordCoder:
                 raise ValueError("the tokenizer's pieces have no end mark")
             sizes.append(np.diff(np.concatenate([[-1], last])))
             flats.append(ids)
+        if odd and self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.spec)
+            self.whole.no_truncation()
+            self.whole.no_padding()
         for k in range(0, len(odd), SLICE_PIECES):
             for e in self.whole.encode_batch_fast([pieces[j] for j in odd[k : k + SLICE_PIECES]], add_special_tokens=False):
                 sizes.append(np.array([len(e.ids)]))
@@ -199,9 +205,9 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     spec = load_rules(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(spec.value)
-        kind = id_type(coder.whole.get_vocab_size())
-        for b in chunks(batches, "text"):
+        coder = kept(spec, WordCoder)
+        kind = id_type(coder.model.get_vocab_size())
+        for b in chunks(batches, "text", 4 << 20):
             ids = coder.encode(utf8(b.column("text")))
             yield pa.RecordBatch.from_arrays([
                 b.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
