@@ -57,6 +57,16 @@ def read_tips(spark: SparkSession, path: str, multiline: bool = True) -> DataFra
     return raw.filter("_bad IS NULL").drop("_bad")
 
 
+def broken_tips(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that :func:`read_tips`, reading one object per line, sets aside: ``line``, as they are."""
+    schema = T.StructType([*TIP_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], "line string")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.withColumn("_p", parsed).filter("_p._bad IS NOT NULL").select(F.col("value").alias("line"))
+
+
 def _load(spark: SparkSession, path: str) -> object:
     """A small JSON or YAML file from any file system Spark reads; None only if it is absent."""
     if not exists(spark, path):

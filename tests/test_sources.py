@@ -153,3 +153,10 @@ def test_latest_and_uncovered(spark):
     assert sorted(r.checkin_id for r in places.latest_by_venue(log).collect()) == ["27", "28", "29"]
     t = spark.createDataFrame([("v1",), ("",)], "venue_id string")
     assert sorted(r.venue_id for r in tips.uncovered_venues(log, t).collect()) == ["v0", "v2"]
+
+
+def test_broken_tip_lines_are_set_aside(spark, tmp_path):
+    p = tmp_path / "tips.json"
+    p.write_text('{"id": "1", "ts": 5}\nnot json\n\n{"id": "2", "ts": "x"}\n')
+    assert [r.id for r in R.read_tips(spark, str(p), multiline=False).collect()] == ["1"]
+    assert sorted(r.line for r in R.broken_tips(spark, str(p)).collect()) == sorted(["not json", '{"id": "2", "ts": "x"}'])
