@@ -61,15 +61,17 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             yield batch.slice(start)
 
 
-def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+def bounded_sample(df: DataFrame, rows: int, *columns: str, total: int | None = None) -> DataFrame:
     """At most ``rows`` rows of ``df``, chosen and ordered by a hash of ``columns``, the same on every run.
 
-    A share is kept by the hash first, so that the ordered pick sees little more than it returns.
+    Rows with equal ``columns`` are chosen together, so the columns must tell the rows apart. A share is kept by the hash
+    first, so that the ordered pick sees little more than it returns. ``total`` is the number of rows, if it is known.
     """
-    total, steps = df.count(), 1 << 20
+    total, steps = df.count() if total is None else total, 1 << 20
     h = F.xxhash64(*columns)
     if total > rows:
-        df = df.filter(F.pmod(h, F.lit(steps)) < max(1, int(1.05 * rows / total * steps)))
+        share = max(1.05 * rows, rows + 7 * rows**0.5) / total
+        df = df.filter(F.pmod(h, F.lit(steps)) < max(1, int(share * steps)))
     return df.orderBy(h, *columns).limit(rows)
 
 

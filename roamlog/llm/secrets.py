@@ -4,8 +4,9 @@ Candidates are runs of at least 16 key-like characters with a digit, and quoted
 candidate by its length, character classes and transitions, how much of it a dictionary covers, its path and the
 neighbouring words. The dictionary is made of words seen around candidates, so its counting covers all documents.
 
-The forest learns from labelled findings (id, start, is_secret); at most ``TRAIN_ROWS`` of them, chosen by a hash, are
-used. Where no findings are given, :func:`evident_findings` labels the candidates whose surroundings leave no doubt.
+The forest learns from labelled findings (id, start, is_secret); at most ``TRAIN_ROWS`` of them, chosen by a hash of
+their place, are used. Each kind has half of these rows, and what the other leaves; weights keep the shares of the kinds.
+Where no findings are given, :func:`evident_findings` labels the candidates whose surroundings leave no doubt.
 With findings of one kind only every candidate gets that kind; with none at all nothing can be removed, so every
 candidate counts as a secret and has a null score.
 
@@ -102,20 +103,33 @@ def evident_findings(rows: DataFrame) -> DataFrame:
     return rows.select("id", "start", F.when(sure, True).when(other, False).alias("is_secret")).filter("is_secret IS NOT NULL")
 
 
+def training_rows(known: DataFrame, rows: int) -> DataFrame:
+    """(_key, start, label, FEATURES, weight): at most ``rows`` findings, both kinds among them if both are known."""
+    found = stage(known.groupBy("_key", "start", "label", *FEATURES).agg(F.count("*").alias("copies")), "known")
+    totals = {r["label"]: r["count"] for r in found.groupBy("label").count().collect()}
+    parts = []
+    for label, total in sorted(totals.items()):
+        most = max(rows // 2, rows - (sum(totals.values()) - total), 1)
+        weight = F.col("copies") * F.lit(max(total / most, 1.0))
+        part = bounded_sample(found.filter(F.col("label") == label), most, "_key", "start", *FEATURES, total=total)
+        parts.append(part.withColumn("weight", weight).drop("copies"))
+    return reduce(DataFrame.unionByName, parts) if parts else found.withColumn("weight", F.lit(1.0)).drop("copies")
+
+
 def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 40, depth: int = 6) -> DataFrame:
     """Adds ``score`` (the forest's share of votes for a secret) and ``is_secret``. ``rows`` is a staged table."""
     labels = findings.filter("is_secret IS NOT NULL").groupBy("id", "start").agg(
         F.min(F.col("is_secret").cast("double")).alias("label"), F.max(F.col("is_secret").cast("double")).alias("other")).filter(
-        "label = other").drop("other")
-    same = [rows["id"].eqNullSafe(labels["id"]), rows["start"] == labels["start"]]
-    known = rows.join(labels, reduce(lambda a, b: a & b, same)).select("label", *FEATURES)
-    sample = stage(bounded_sample(known, train_rows, *known.columns).coalesce(1), "findings")
+        "label = other").select(F.col("id").alias("_id"), F.col("start").alias("_start"), "label")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_start"))
+    known = rows.join(labels, same).select("_key", "start", "label", *FEATURES)
+    sample = stage(training_rows(known, train_rows).coalesce(1), "findings")
     kinds = sorted(r.label for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
         score = F.lit(kinds[0] if kinds else None).cast("double")
         return rows.withColumn("score", score).withColumn("is_secret", F.coalesce(score >= 0.5, F.lit(True)))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=5,
+    forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=5,
                                     probabilityCol="_votes", rawPredictionCol="_raw", predictionCol="_guess")
     model = forest.fit(vector.transform(sample))
     scored = model.transform(vector.transform(rows)).withColumn("score", F.round(vector_to_array("_votes")[1], 9))

@@ -131,6 +131,31 @@ def test_secrets(spark):
     assert {r.value for r in other if r.doc_id < 40 and r.is_secret} == {card}
 
 
+def test_secret_training_rows(spark):
+    """Copies of one vector neither leave the sample together nor take the places of others."""
+    vector = {c: 0.0 for c in secrets.FEATURES}
+    rows = [(k, k, 0.0, {**vector, "length": 16.0}) for k in range(3000)] + [(k, k, 0.0, {**vector, "length": 20.0}) for k in range(3000, 6000)]
+    rows += [(k, k, 1.0, {**vector, "length": 40.0}) for k in range(6000, 6025)]
+    known = spark.createDataFrame([(a, b, y, *v.values()) for a, b, y, v in rows], ["_key", "start", "label", *vector])
+    got = secrets.training_rows(known, 100).collect()
+    n = Counter((r.label, r.length) for r in got)
+    assert n[1.0, 40.0] == 25 and n[0.0, 16.0] + n[0.0, 20.0] == 75 and min(n[0.0, 16.0], n[0.0, 20.0]) > 20
+    assert math.isclose(sum(r.weight for r in got if not r.label), 6000) and sum(r.weight for r in got if r.label) == 25
+    assert len({(r._key, r.start) for r in got}) == 100
+
+
+def test_secrets_with_few_training_rows(spark):
+    """Far fewer training rows than copies of one vector: card numbers stay, keys go."""
+    key, card = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "4952935900253052"
+    rows = [(k, f'card {card} of the owner', "src") for k in range(400)]
+    rows += [(1000 + k, f'token = "{key[k:] + key[:k]}"', "src") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.stage(secrets.described(secrets.candidates(docs)), "described")
+    for most in (6, 12, 20):
+        got = secrets.judged(found, secrets.evident_findings(found), most).collect()
+        assert {(r.id >= 1000, r.is_secret) for r in got} == {(True, True), (False, False)}, most
+
+
 def test_bpe_equals_the_library(docs, texts):
     rules, library = bpe.Rules(open(BYTES, encoding="utf-8").read()), Tokenizer.from_file(BYTES)
     rng = random.Random(1)
