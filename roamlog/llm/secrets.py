@@ -1,14 +1,16 @@
 """Secret scan: candidates by pattern, a random forest to remove false positives. DataFrame functions only.
 
-Candidates are runs of at least 16 key-like characters with a digit, and quoted values after = or :. The forest judges a
-candidate by its length, character classes and transitions, how much of it a dictionary covers, its path and the
-neighbouring words. The dictionary is made of words seen around candidates, so its counting covers all documents.
+Candidates are runs of at least 16 key-like characters with a digit, quoted values of at least 8 characters after = or :,
+unquoted ones after = or : and the name of a credential, and strings of a known key's shape. The forest judges a candidate
+by its length, character classes and transitions, how much of it a dictionary covers, its path and the neighbouring words.
+The dictionary is made of the words that stand by themselves in all documents.
 
 The forest learns from labelled findings (id, start, is_secret); at most ``TRAIN_ROWS`` of them, chosen by a hash of
 their place, are used. Each kind has half of these rows, and what the other leaves; weights keep the shares of the kinds.
-Where no findings are given, :func:`evident_findings` labels the candidates whose surroundings leave no doubt.
-With findings of one kind only every candidate gets that kind; with none at all nothing can be removed, so every
-candidate counts as a secret and has a null score.
+Where no findings are given, :func:`evident_findings` labels the candidates that leave no doubt. These keep their
+label and the forest judges the others, which it also learns from each evident secret without its surroundings: a key is
+one wherever it is pasted. With given findings of one kind only every candidate gets that kind. Where there is nothing to
+tell the kinds apart by, nothing can be removed: every candidate that has no label counts as a secret.
 
 Null and empty texts have no candidates. Rows that repeat an id are told apart by their text; equal rows give equal
 findings, each once per row. A null path counts as an empty one.
@@ -29,12 +31,19 @@ from roamlog.session import stage
 TRAIN_ROWS = 20_000
 #: Characters of context kept on each side of a candidate.
 CONTEXT = 64
-#: Times a word is seen around candidates before it is in the dictionary.
+#: Times a word is seen in the documents before it is in the dictionary.
 DICTIONARY_COUNT = 3
 REDACTED = "<SECRET>"
 
-CANDIDATE = (r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"""
-             r"""|(?<=[=:][ \t]{0,3}["'])[^"'\s]{8,}(?=["'])""")
+#: Keys that are told by their shape, wherever they stand.
+KEY_SHAPE = (r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"
+             r"|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}"
+             r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?:" + KEY_SHAPE + r")"
+             r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"""
+             r"""|(?<=[=:][ \t]{0,3}["'])[^"'\s]{8,}(?=["'])"""
+             r"""|(?<=(?i:secret|token|passw|password|passwd|passphrase|pwd|key|credentials?|auth)[ \t]{0,3}[=:][ \t]{0,3})"""
+             r"""[^\s"'<>,;&]{7,}[^\s"'<>,;&.:!?)\]}]""")
 CREDENTIAL_WORD = r"(?i)(secret|token|passw|pwd|passphrase|credential|api.?key|access.?key|private.?key|auth|bearer)"
 HASH_WORD = r"(?i)(sha-?\d|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|integrity|fingerprint|\bid\b)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|change.?me|x{4}|your[_-]|redacted|fake|1234567|abcdef)"
@@ -45,6 +54,8 @@ CODE_PATH = r"(?i)\.(env|cfg|conf|ini|ya?ml|json|toml|properties|py|js|java|go|r
 
 FEATURES = ["length", "digits", "uppers", "lowers", "hex", "class_changes", "case_changes", "distinct", "dictionary",
             "assigned", "quoted", "credential", "hash_word", "placeholder", "in_url", "test_path", "code_path"]
+#: Those of them that tell where a candidate stands.
+SURROUNDINGS = ["assigned", "quoted", "credential", "hash_word", "in_url", "test_path", "code_path"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
@@ -71,13 +82,17 @@ def _flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def described(found: DataFrame) -> DataFrame:
-    """Candidates with the columns of ``FEATURES``. ``found`` is a staged table."""
+def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(part): the words of a-z that stand by themselves in the texts, ``DICTIONARY_COUNT`` times at least."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"""[\s.,;:!?()\[\]{}<>"']+""")).alias("part"))
+    return words.filter(F.col("part").rlike("^[a-z]{3,}$")).groupBy("part").agg(F.count("*").alias("n")).filter(
+        F.col("n") >= DICTIONARY_COUNT).select("part")
+
+
+def described(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates with the columns of ``FEATURES``. ``found`` is a staged table, ``words`` a dictionary."""
     v, before, after = F.col("value"), F.col("before"), F.col("after")
     path = F.coalesce(F.col("path").cast("string"), F.lit(""))
-    around = F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"\p{L}{3,}"), F.lit(0)))
-    words = found.select(around.alias("part")).groupBy("part").agg(F.count("*").alias("n")).filter(
-        F.col("n") >= DICTIONARY_COUNT).select("part")
     parts = found.select("_row", "k", F.explode(F.regexp_extract_all(F.lower(v), F.lit("[a-z]{3,}"), F.lit(0))).alias("part"))
     covered = parts.join(words, "part").groupBy("_row", "k").agg(F.sum(F.length("part")).alias("covered"))
     near = F.concat(F.substring(before, -40, 40), F.lit(" "), F.substring(after, 1, 20))
@@ -96,11 +111,21 @@ def described(found: DataFrame) -> DataFrame:
         _flag(path.rlike(TEST_PATH)).alias("test_path"), _flag(path.rlike(CODE_PATH)).alias("code_path"))
 
 
+def evident(rows: DataFrame) -> DataFrame:
+    """Adds ``evident``: true for known shapes and what is assigned to a credential's name, false for placeholders, numbers,
+    words, and what is called a hash or id; null for all else, such as a key in plain text."""
+    v, bare = F.col("value"), (F.col("credential") == 0) & (F.col("assigned") == 0)
+    whole = F.coalesce(v.rlike("^(?:" + KEY_SHAPE + ")"), F.lit(False))
+    named = (F.col("credential") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5) & (
+        (F.col("quoted") > 0) | (F.col("digits") > 0))
+    called = (F.col("credential") == 0) & (F.col("hash_word") > 0)
+    plain = bare & (v.rlike("^[0-9+/_-]+$") | (F.col("dictionary") >= 0.5))
+    return rows.withColumn("evident", F.when(v.rlike(PLACEHOLDER), False).when(whole | named, True).when(called | plain, False))
+
+
 def evident_findings(rows: DataFrame) -> DataFrame:
-    """Labels where the surroundings leave no doubt: assigned to a credential's name, or plainly something else."""
-    sure = (F.col("credential") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5)
-    other = (F.col("credential") == 0) & ((F.col("assigned") == 0) | (F.col("hash_word") > 0)) | (F.col("placeholder") > 0)
-    return rows.select("id", "start", F.when(sure, True).when(other, False).alias("is_secret")).filter("is_secret IS NOT NULL")
+    """The labels of :func:`evident` as findings."""
+    return evident(rows).select("id", "start", F.col("evident").alias("is_secret")).filter("is_secret IS NOT NULL")
 
 
 def training_rows(known: DataFrame, rows: int) -> DataFrame:
@@ -116,8 +141,11 @@ def training_rows(known: DataFrame, rows: int) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else found.withColumn("weight", F.lit(1.0)).drop("copies")
 
 
-def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 40, depth: int = 6) -> DataFrame:
-    """Adds ``score`` (the forest's share of votes for a secret) and ``is_secret``. ``rows`` is a staged table."""
+def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 40, depth: int = 6,
+           bare: bool = False) -> DataFrame:
+    """Adds ``score`` (the forest's share of votes for a secret) and ``is_secret``. ``rows`` is a staged table.
+
+    With ``bare`` the forest also learns from each secret without its surroundings."""
     labels = findings.filter("is_secret IS NOT NULL").groupBy("id", "start").agg(
         F.min(F.col("is_secret").cast("double")).alias("label"), F.max(F.col("is_secret").cast("double")).alias("other")).filter(
         "label = other").select(F.col("id").alias("_id"), F.col("start").alias("_start"), "label")
@@ -126,11 +154,15 @@ def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, t
     sample = stage(training_rows(known, train_rows).coalesce(1), "findings")
     kinds = sorted(r.label for r in sample.select("label").distinct().collect())
     if len(kinds) < 2:
-        score = F.lit(kinds[0] if kinds else None).cast("double")
+        # Evident findings that are all false say nothing about the candidates left without a label.
+        score = F.lit(kinds[0] if kinds and not (bare and kinds == [0.0]) else None).cast("double")
         return rows.withColumn("score", score).withColumn("is_secret", F.coalesce(score >= 0.5, F.lit(True)))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="_features", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=5,
                                     probabilityCol="_votes", rawPredictionCol="_raw", predictionCol="_guess")
+    if bare:
+        alone = [F.lit(0.0).alias(c) if c in SURROUNDINGS else F.col(c) for c in sample.columns]
+        sample = sample.unionByName(sample.filter("label = 1").select(*alone))
     model = forest.fit(vector.transform(sample))
     scored = model.transform(vector.transform(rows)).withColumn("score", F.round(vector_to_array("_votes")[1], 9))
     return scored.drop("_features", "_votes", "_raw", "_guess").withColumn("is_secret", F.col("score") >= 0.5)
@@ -139,8 +171,12 @@ def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, t
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text: str = "text",
          path: str = "source") -> DataFrame:
     """Per candidate: ``_key``, ``id_col``, ``start``, ``n_chars``, ``value``, ``score`` and ``is_secret``."""
-    rows = stage(described(candidates(docs, id_col, text, path)), "described")
-    scored = judged(rows, evident_findings(rows) if findings is None else findings)
+    rows = stage(described(candidates(docs, id_col, text, path), dictionary(docs, text)), "described")
+    if findings is None:
+        scored = evident(judged(rows, evident_findings(rows), bare=True))
+        scored = scored.withColumn("is_secret", F.coalesce("evident", "is_secret"))
+    else:
+        scored = judged(rows, findings)
     return scored.select("_key", F.col("id").alias(id_col), "start", F.length("value").cast("long").alias("n_chars"), "value",
                          "score", "is_secret")
 

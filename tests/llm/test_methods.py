@@ -150,12 +150,33 @@ def test_secrets_with_few_training_rows(spark):
     rows = [(k, f'card {card} of the owner', "src") for k in range(400)]
     rows += [(1000 + k, f'token = "{key[k:] + key[:k]}"', "src") for k in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = secrets.stage(secrets.described(secrets.candidates(docs)), "described")
+    found = secrets.stage(secrets.described(secrets.candidates(docs), secrets.dictionary(docs)), "described")
     for most in (6, 12, 20):
         got = secrets.judged(found, secrets.evident_findings(found), most).collect()
         assert {(r.id >= 1000, r.is_secret) for r in got} == {(True, True), (False, False)}, most
 
 
+def test_secrets_without_a_name(spark):
+    """Keys in prose, lists and tables, and unquoted values, are secrets; numbers, words and named hashes are not."""
+    rng = random.Random(8)
+
+    def run(n, of="0123456789abcdef"):
+        return "".join(rng.choice(of) for _ in range(n))
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = {100: "AKIA" + run(16, letters), 101: "ghp_" + run(36, letters + "0123456789abcdef"), 102: run(40), 103: "Tr0ub4dor", 104: run(32)}
+    rows = [(k, f'the garden path token = "{run(40)}" and card {4952935900253052 + k} here', "src") for k in range(40)]
+    rows += [(k + 40, f"commit {run(40)} of the garden path", "src") for k in range(20)]
+    rows += [(100, f"please use {keys[100]} for now", "src"), (101, f"- one\n- {keys[101]}\n- two", "src"),
+             (102, f"for example {keys[102]} was pasted", "src"), (103, f"password={keys[103]}.", "src"), (104, f"| a | {keys[104]} |", "src"),
+             (105, "the-garden-path-to-the-garden-2024 was read", "src")]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.value for r in found if r.doc_id >= 100 and r.is_secret} == keys
+    assert {r.doc_id for r in found if r.doc_id == 105 and not r.is_secret} == {105}
+    assert not any(r.is_secret for r in found if 40 <= r.doc_id < 60 or r.value.isdigit())
+    assert secrets.dictionary(spark.createDataFrame([("word other word",), ("word é",)], "text string")).collect() == [("word",)]
+
+
 def test_bpe_equals_the_library(docs, texts):
     rules, library = bpe.Rules(open(BYTES, encoding="utf-8").read()), Tokenizer.from_file(BYTES)
     rng = random.Random(1)
