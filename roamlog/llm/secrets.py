@@ -39,10 +39,10 @@ REDACTED = "<SECRET>"
 KEY_SHAPE = (r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"
              r"|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}"
              r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?:" + KEY_SHAPE + r")"
-             r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"""
-             r"""|(?<=[=:][ \t]{0,3}["'])[^"'\s]{8,}(?=["'])"""
-             r"""|(?<=(?i:secret|token|passw|password|passwd|passphrase|pwd|key|credentials?|auth)[ \t]{0,3}[=:][ \t]{0,3})"""
+CANDIDATE = (r"(?<![A-Za-z0-9+/_-])(?:" + KEY_SHAPE + r"|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2})"
+             r"""|(?<=["'])(?<=[=:][ \t]{0,3}["'])[^"'\s]{8,}(?=["'])"""
+             # The short tests come first: the long one looks back at few places only.
+             r"""|(?<=[=: \t])(?<=[=:][ \t]{0,3})(?<=(?i:secret|token|passw|password|passwd|passphrase|pwd|key|credentials?|auth)[ \t]{0,3}[=:][ \t]{0,3})"""
              r"""[^\s"'<>,;&]{7,}[^\s"'<>,;&.:!?)\]}]""")
 CREDENTIAL_WORD = r"(?i)(secret|token|passw|pwd|passphrase|credential|api.?key|access.?key|private.?key|auth|bearer)"
 HASH_WORD = r"(?i)(sha-?\d|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|integrity|fingerprint|\bid\b)"
