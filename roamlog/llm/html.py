@@ -2,11 +2,14 @@
 
 A page is read as a stream of tags. Its text comes from the article elements, else from main, else from the body, without
 the parts that are never article text: menus, headers, footers, sidebars, forms, scripts, styles, adverts, notices and
-reader comments, told by their elements or by the words of their class and id. What remains may still hold boxes that the
-site puts on many pages. So the subtree of every container element is hashed, Spark counts on how many different pages of
-a host each hash occurs, and subtrees that recur on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages
-are deleted. Copies of one page count once, and a subtree that holds more than half of a page's text is not a template.
-Plain text elements (p, h1, li, ...) are never deleted on their own: passages may repeat.
+reader comments, told by their elements or by a whole class, id or role of one word. Such a name never drops html, body,
+main or article, nor what surrounds main, nor what surrounds the only articles of a page that has less other text.
+
+What remains may still hold boxes that the site puts on many pages. So every element of the whole page but single text
+elements is hashed with its subtree, Spark counts on how many different pages of a host each hash occurs, and subtrees that
+recur on at least ``MIN_PAGES`` pages are deleted, whatever part of a page they are. Pages with the same article text count
+as one, so an article that is found under many addresses stays. Plain text elements (p, h1, li, ...) are never deleted on
+their own: passages may repeat.
 
 Blocks are cut at elements that are not inline. White space in a block becomes one space; blocks are joined by line feeds.
 
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from roamlog.llm.common import chunks, query, table
 from roamlog.session import stage
 
-MIN_PAGES, MIN_SHARE = 5, 0.3
+MIN_PAGES = 5
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
@@ -38,7 +41,11 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising b
                           "consent notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs header "
                           "footer masthead comment comments disqus replies share sharing social related recommended "
                           "popup modal newsletter subscribe pagination pager widget toolbar".split())
-CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset".split())
+#: Elements that are not hashed: single texts, whose passages may repeat, and what holds the page or its article.
+UNCOUNTED = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary legend "
+                               "html head body main article".split())
+#: Elements that no class, id or role drops.
+NEVER_NAMED = frozenset("html body main article".split())
 #: Elements that an opening tag of a block ends where they are open.
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
@@ -49,38 +56,38 @@ TOKEN = re.compile(
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def is_dropped(name: str, attrs: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attrs or "=" not in attrs:
+def is_named(name: str, attrs: str) -> bool:
+    """Whether a class, id or role of the element is one of the words."""
+    if name in NEVER_NAMED or not attrs or "=" not in attrs:
         return False
-    words = re.split(r"[^a-z]+", " ".join(a or b or c for a, b, c in NAMED.findall(attrs)).lower())
+    words = " ".join(a or b or c for a, b, c in NAMED.findall(attrs)).lower().split()
     return not DROPPED_WORDS.isdisjoint(words)
 
 
-def read_page(page: str) -> list[tuple[str, str, list[int]]]:
-    """Blocks of a page in order: (zone, text, hashes of the containers around it); zone is article, main or body."""
+def read_page(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """Blocks of the page's zone in order, (text, hashes of the elements around it), and the hashes of all elements."""
     blocks: list[tuple[str, str, list]] = []
-    stack: list[list] = []  # name, zone before it, whether it is dropped, container [start, end]
+    stack: list[list] = []  # name, state before it, [start, end] if it is hashed
+    spans: list[list[int]] = []
     text: list[str] = []
-    zone, dropped, at = "body", 0, 0
+    # Veiled is an article inside an element that its name would drop.
+    zone, veiled, dropped, named, at = "body", False, 0, 0, 0
 
     def end_block() -> None:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                blocks.append((zone, line, [e[3] for e in stack if e[3]]))
+                blocks.append((zone, veiled, line, [e[2] for e in stack if e[2]]))
             text.clear()
 
     def pop(position: int) -> None:
-        nonlocal zone, dropped
-        name, zone, gone, span = stack.pop()
-        dropped -= gone
+        nonlocal zone, veiled, dropped, named
+        _, (zone, veiled, dropped, named), span = stack.pop()
         if span:
             span[1] = position
 
     for m in TOKEN.finditer(page):
-        if not dropped and m.start() > at:
+        if not (dropped or named) and m.start() > at:
             text.append(page[at : m.start()])
         at = m.end()
         name = m["name"]
@@ -89,18 +96,18 @@ def read_page(page: str) -> list[tuple[str, str, list[int]]]:
         name = name.lower()
         if m["close"]:
             if any(e[0] == name for e in stack):
-                if name not in INLINE and not dropped:
+                if name not in INLINE and not (dropped or named):
                     end_block()
                 while True:
                     last = stack[-1][0]
                     pop(m.end() if last == name else m.start())
                     if last == name:
                         break
-            elif name == "p" and not dropped:
+            elif name == "p" and not (dropped or named):
                 end_block()
             continue
         if name not in INLINE:
-            if not dropped:
+            if not (dropped or named):
                 end_block()
             # An open paragraph ends here, with the inline elements that were left open in it.
             for k in range(len(stack) - 1, -1, -1):
@@ -110,40 +117,35 @@ def read_page(page: str) -> list[tuple[str, str, list[int]]]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        elif name == "br" and not dropped:
+        elif name == "br" and not (dropped or named):
             text.append(" ")
         if name in VOID or m["attrs"].endswith("/"):
             continue
-        gone = is_dropped(name, m["attrs"])
-        span = [m.start(), len(page)] if name in CONTAINERS and not dropped and not gone else None
-        stack.append([name, zone, gone, span])
-        dropped += gone
-        if name == "article" or name == "main" and zone == "body":
-            zone = name
-    if not dropped and at < len(page):
+        span = None
+        if name not in UNCOUNTED:
+            span = [m.start(), len(page)]
+            spans.append(span)
+        stack.append([name, (zone, veiled, dropped, named), span])
+        dropped += name in DROPPED
+        named += is_named(name, m["attrs"])
+        if name == "article":
+            zone, veiled, named = name, veiled or named > 0, 0
+        elif name == "main":
+            zone, veiled, named = zone if zone == "article" else name, False, 0
+    if not (dropped or named) and at < len(page):
         text.append(page[at:])
     end_block()
-    hashes: dict[int, int] = {}
-    for _, _, spans in blocks:
-        for span in spans:
-            if id(span) not in hashes:
-                hashes[id(span)] = xxhash.xxh3_64_intdigest(page[span[0] : span[1]].encode("utf-8", "surrogatepass")) >> 1
-    found = [(z, line, [hashes[id(s)] for s in spans]) for z, line, spans in blocks]
-    best = next((z for z in ("article", "main") if any(b[0] == z for b in found)), None)
-    return [b for b in found if b[0] == best] if best else found
-
-
-def templates_of(lines: list[str], around: list[list[int]]) -> list[int]:
-    """Hashes of containers that could be a template: those with at most half of the page's text."""
-    total, held = sum(map(len, lines)), {}
-    for line, hashes in zip(lines, around):
-        for h in set(hashes):
-            held[h] = held.get(h, 0) + len(line)
-    return [h for h, n in held.items() if 2 * n <= total]
+    hashes = {id(s): xxhash.xxh3_64_intdigest(page[s[0] : s[1]].encode("utf-8", "surrogatepass")) >> 1 for s in spans}
+    size = {k: sum(len(b[2]) for b in blocks if b[:2] == k) for k in {b[:2] for b in blocks}}
+    best = next((k for k in (("article", False), ("main", False)) if k in size), ("body", False))
+    if best[0] == "body" and size.get(("article", True), 0) > size.get(best, 0):
+        best = ("article", True)
+    found = [(line, [hashes[id(s)] for s in around]) for *k, line, around in blocks if tuple(k) == best]
+    return found, sorted(set(hashes.values()))
 
 
 def parsed(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The rows of ``pages`` (without the html) with host, digest, lines, the containers around each, and candidates."""
+    """The rows of ``pages`` (without the html) with host, digest of the lines, lines, the elements around each, and all elements."""
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.struct(*keep).alias("page"), host.alias("host"), F.col(html).alias("html"))
@@ -152,34 +154,33 @@ def parsed(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
         for b in chunks(batches, "html"):
             texts = [x or "" for x in b.column("html").to_pylist()]
             read = [read_page(x) for x in texts]
-            lines = [[line for _, line, _ in r] for r in read]
-            around = [[hashes for _, _, hashes in r] for r in read]
+            lines = [[line for line, _ in r] for r, _ in read]
+            around = [[hashes for _, hashes in r] for r, _ in read]
             yield pa.RecordBatch.from_arrays([
-                b.column("page"), b.column("host"), pa.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) >> 1 for x in texts], pa.int64()),
+                b.column("page"), b.column("host"),
+                pa.array([xxhash.xxh3_64_intdigest("\n".join(x).encode("utf-8", "surrogatepass")) >> 1 for x in lines], pa.int64()),
                 pa.array(lines, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int64()))),
-                pa.array([templates_of(*x) for x in zip(lines, around)], pa.list_(pa.int64()))],
-                names=["page", "host", "digest", "lines", "around", "candidates"])
+                pa.array([hashes for _, hashes in read], pa.list_(pa.int64()))],
+                names=["page", "host", "digest", "lines", "around", "elements"])
 
     kind = rows.schema["page"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page {kind}, host string, digest long, lines array<string>, around array<array<long>>, candidates array<long>")
+    return rows.mapInArrow(run, f"page {kind}, host string, digest long, lines array<string>, around array<array<long>>, elements array<long>")
 
 
-def templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(read: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash) of the subtrees that recur on a host. ``read`` is a staged table."""
-    pages = read.groupBy("host", "digest").agg(F.count("*").alias("n")).groupBy("host").agg(F.count("*").alias("pages"))
-    found = read.select("host", "digest", F.explode("candidates").alias("hash")).distinct().groupBy("host", "hash").agg(
-        F.count("*").alias("on"))
-    return found.filter(F.col("on") >= min_pages).join(pages, "host").filter(
-        F.col("on") >= min_share * F.col("pages")).select("host", "hash")
+    found = read.select("host", "digest", F.explode("elements").alias("hash")).distinct()
+    return found.groupBy("host", "hash").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages).select("host", "hash")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The columns of ``pages`` except the html, with ``text`` and ``n_chars`` (columns of these names are replaced)."""
     read = stage(parsed(pages, html, url).withColumn("_row", F.monotonically_increasing_id()), "pages")
-    plain = read.filter("size(candidates) = 0").select("page", F.array_join("lines", "\n").alias("text"))
-    boxed = read.filter("size(candidates) > 0")
+    read = read.withColumn("_boxes", F.array_distinct(F.flatten("around")))
+    plain = read.filter("size(_boxes) = 0").select("page", F.array_join("lines", "\n").alias("text"))
+    boxed = read.filter("size(_boxes) > 0")
     known = stage(templates(read), "templates")
-    gone = boxed.select("_row", "host", F.explode("candidates").alias("hash")).join(known, ["host", "hash"]).groupBy("_row").agg(
+    gone = boxed.select("_row", "host", F.explode("_boxes").alias("hash")).join(known, ["host", "hash"]).groupBy("_row").agg(
         F.collect_set("hash").alias("gone"))
     lines = F.expr("""transform(filter(arrays_zip(lines, around), x -> gone IS NULL OR NOT arrays_overlap(x.around, gone)),
         x -> x.lines)""")

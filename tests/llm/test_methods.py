@@ -272,6 +272,24 @@ def test_site_templates(spark):
     assert got[50] == "Follow this site\nall of it stays here"
 
 
+def test_html_class_words(spark):
+    """Class words drop whole parts only by a whole token, and never what holds the article."""
+    def rows():
+        for attrs in ("class='page has-sidebar'", "class='page sidebar'", "id=header"):
+            yield f"<body {attrs}><p>the text</p><div class='x ad'>buy</div></body>"
+        yield "<body><article class='post related'><p>the text</p><div class=comments>nice</div></article></body>"
+        yield "<body><main class='no-banner'><p>the text</p></main><div>more</div></body>"
+        yield "<body><main class='banner'><p>the text</p></main></body>"
+        yield "<body><div id='content-with-comments'><p>the text</p></div></body>"
+        yield "<body><div class='widget'><article><p>the text</p></article></div><p>end</p></body>"
+        yield "<body><div class='widget'><div><main><p>the text</p></main></div></div><p>a long end of the page</p></body>"
+        yield "<main><p>the text</p><div class='comments'><article>nice</article></div></main>"
+
+    pages = [(k, f"http://h{k}.com/", x) for k, x in enumerate(rows())]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == {k: "the text" for k, _, _ in pages}
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_repeated_strings(spark, docs, texts, batches):
     extra = {900_000: "a" * 1000, 900_001: "ab" * 99 + "a", 900_002: "ab" * 100, 900_003: "é" * 150, 900_004: "b" + "é" * 120}
