@@ -290,6 +290,16 @@ def test_html_class_words(spark):
     assert got == {k: "the text" for k, _, _ in pages}
 
 
+def test_templates_of_whole_pages(spark):
+    """A box on few pages of a host, one longer than the text, and one that is elsewhere outside the article, go."""
+    box, long = "<div><p>Notice of one section</p></div>", f"<section><p>{'Long notice ' * 9}</p></section>"
+    rows = [(k, "http://a.com", f"<article><p>text {k}</p>{box if k < 6 else ''}{long if k < 5 else ''}</article>") for k in range(40)]
+    rows += [(k, "http://b.com", f"<article><p>text {k}</p>{box if k < 102 else ''}</article>{box}") for k in range(100, 108)]
+    rows += [(k, "http://c.com", f"<article><div><p>same text</p></div></article><div>{k}</div>") for k in range(200, 208)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {k: "same text" if k >= 200 else f"text {k}" for k, _, _ in rows}
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_repeated_strings(spark, docs, texts, batches):
     extra = {900_000: "a" * 1000, 900_001: "ab" * 99 + "a", 900_002: "ab" * 100, 900_003: "é" * 150, 900_004: "b" + "é" * 120}
