@@ -5,7 +5,8 @@ is kept. The inverted index lists templates and positions under each kept hash.
 looked up in it, so a shared stretch of GRAM + WINNOW - 1 words is always seen. A hit puts the template on a diagonal of
 the document; hits on diagonals of one bin of ``BAND`` are one candidate, which is aligned word by word inside the band
 (local alignment: 2 for a match, -1 for a mismatch or a gap). Coverage is the share of the template's words that match.
-Of overlapping matches of one template the best is reported.
+A found place is masked and the band aligned again until its best is below the bar, so copies beside each other are all
+found. Of overlapping matches of one template the best is reported, and then the best of those that it leaves.
 
 The index is broadcast while it has at most ``BROADCAST_ROWS`` rows, counted beforehand, and joined by shuffle beyond.
 
@@ -14,6 +15,7 @@ equal matches, each once per row.
 """
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -95,6 +97,26 @@ def align(template: list[str], words: list[str], diagonal: int) -> tuple[int, in
     return best
 
 
+def alignments(template: list[str], words: list[str], diagonal: int, min_coverage: float) -> list[tuple[int, int, int, int]]:
+    """Every alignment of ``align`` near the diagonal that covers enough, best first, none over words of another."""
+    left, found = list(words), []
+    while (best := align(template, left, diagonal))[1] and best[1] / len(template) >= min_coverage:
+        found.append(best)
+        left[best[2] : best[3]] = [None] * (best[3] - best[2])
+    return found
+
+
+def apart(matches: list[dict]) -> list[dict]:
+    """The matches of one template in one row that stay: the best, then the best that overlaps none of them, and so on."""
+    starts, chosen = [], []
+    for m in sorted(matches, key=lambda m: (-m["score"], m["start_word"], m["end_word"])):
+        k = bisect.bisect_left(starts, m["start_word"])
+        if (k == 0 or chosen[k - 1]["end_word"] <= m["start_word"]) and (k == len(starts) or m["end_word"] <= starts[k]):
+            starts.insert(k, m["start_word"])
+            chosen.insert(k, m)
+    return chosen
+
+
 def scan(docs: DataFrame, templates: DataFrame, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text: str = "text",
          name: str = "license", template: str = "text") -> DataFrame:
     """Per match: ``id_col``, license, coverage, matched words, and its span in words and as text."""
@@ -120,28 +142,34 @@ def scan(docs: DataFrame, templates: DataFrame, min_coverage: float = MIN_COVERA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t, near, k, f in zip(*(b.column(c).to_pylist() for c in ("template", "near", "bin", "first"))):
-                score, m, start, end = align(t, near, k * BAND - f + BAND // 2)
-                found.append((score, m, m / len(t), f + start, f + end, " ".join(near[start:end])))
+            found, source = [], []
+            for n, (t, near, k, f) in enumerate(zip(*(b.column(c).to_pylist() for c in ("template", "near", "bin", "first")))):
+                for score, m, start, end in alignments(t, near, k * BAND - f + BAND // 2, min_coverage):
+                    found.append((score, m, m / len(t), f + start, f + end, " ".join(near[start:end])))
+                    source.append(n)
             columns = list(zip(*found)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in ("_row", "id", "license")] + [pa.array(v, kind) for v, kind in zip(columns, kinds)],
+                [b.column(c).take(pa.array(source, pa.int64())) for c in ("_row", "id", "license")] + [pa.array(v, kind) for v, kind in zip(columns, kinds)],
                 names=["_row", "id", "license", "score", "n_matched", "coverage", "start_word", "end_word", "matched"])
 
     aligned = chosen.select("_row", "id", "license", "template", "bin", "first", "near").mapInArrow(
         run, f"_row long, id {id_type}, license string, score long, n_matched long, coverage double, start_word long, end_word long, matched string")
     # Neighbouring bins find the same place: of overlapping matches the best stays.
-    good = aligned.filter(F.col("coverage") >= min_coverage).dropDuplicates(["_row", "license", "start_word", "end_word"])
-    place = Window.partitionBy("_row", "license").orderBy("start_word", "end_word")
-    before, after = (f("struct_", 1).over(place) for f in (F.lag, F.lead))
-    rank = F.struct("score", (-F.col("start_word")).alias("s"), (-F.col("end_word")).alias("e"))
-    good = good.withColumn("struct_", F.struct(rank.alias("rank"), "start_word", "end_word"))
-    worse = F.coalesce((before["end_word"] > F.col("start_word")) & (before["rank"] > F.col("struct_.rank")), F.lit(False)) | F.coalesce(
-        (after["start_word"] < F.col("end_word")) & (after["rank"] > F.col("struct_.rank")), F.lit(False))
-    return good.withColumn("_worse", worse).filter("NOT _worse").select(
-        F.col("id").alias(id_col), "license", F.round("coverage", 9).alias("coverage"), "n_matched", "start_word", "end_word", "matched")
+    names = ["score", "n_matched", "coverage", "start_word", "end_word", "matched"]
+    each = aligned.dropDuplicates(["_row", "license", "start_word", "end_word"]).groupBy("_row", "license").agg(
+        F.first("id").alias("id"), F.collect_list(F.struct(*names)).alias("matches"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.schema.field("matches").type
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("license"), pa.array([apart(m) for m in b.column("matches").to_pylist()], kind)],
+                                             names=["id", "license", "matches"])
+
+    kind = each.schema["matches"].dataType.simpleString()
+    good = each.mapInArrow(choose, f"id {id_type}, license string, matches {kind}").select("id", "license", F.explode("matches").alias("m"))
+    return good.select(F.col("id").alias(id_col), "license", F.round("m.coverage", 9).alias("coverage"), "m.n_matched", "m.start_word",
+                       "m.end_word", "m.matched")
 
 
 @query("op6_license_scan")

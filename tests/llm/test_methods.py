@@ -331,6 +331,20 @@ def test_licenses(spark, docs, texts):
     assert [(x.doc_id, x.license, x.n_matched, x.start_word) for x in r] == [(1, "GPL-3.0-header", len(header) - 2, 7)]
 
 
+def test_licenses_beside_each_other(spark):
+    """Every copy of a notice is found, however close the next one is."""
+    rows, want = [], {}
+    for name in ("MIT", "CC-BY-NC-4.0", "Apache-2.0"):
+        n = len(re.findall("[a-z0-9]+", licenses.TEMPLATES[name].lower()))
+        for copies in (1, 2, 3, 20):
+            for before in (0, 3):
+                want[len(rows)] = [(name, before + n * k, before + n * (k + 1)) for k in range(copies)]
+                rows.append((len(rows), "word " * before + "\n".join([licenses.TEMPLATES[name]] * copies)))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), licenses.default_templates(spark)).collect()
+    got = {k: sorted((r.license, r.start_word, r.end_word) for r in found if r.doc_id == k and r.coverage == 1) for k in want}
+    assert got == want
+
+
 def test_licenses_by_shuffle(spark, docs, monkeypatch):
     first = sorted(map(tuple, licenses.scan(docs, licenses.default_templates(spark)).collect()))
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
