@@ -38,7 +38,7 @@ def compare(spark, con, name, sf_dir):
     kinds = {d[0]: str(d[1]) for d in cur.description}
     if sorted(names) != cols:
         return f"columns {cols} != {sorted(names)}"
-    simple = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    simple = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for f in df.schema.fields:
         if simple.get(f.dataType.simpleString()) != kinds[f.name]:
             return f"type of {f.name}: {f.dataType.simpleString()} != {kinds[f.name]}"
