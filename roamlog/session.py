@@ -49,22 +49,23 @@ def stage_root(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage of a plan that is read by several later branches. The files are
     durable, so a lost executor costs only its own tasks, and each reader prunes columns.
+    ``options`` are those of the Parquet writer.
     """
-    path, table = stage_apart(df, name)
+    path, table = stage_apart(df, name, **options)
     _WRITTEN.append(path)
     return table
 
 
-def stage_apart(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+def stage_apart(df: DataFrame, name: str, **options: object) -> tuple[str, DataFrame]:
     """The same for a table whose path the caller keeps, and deletes with :func:`delete_paths`."""
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path, spark.read.schema(df.schema).parquet(path)
 
 
