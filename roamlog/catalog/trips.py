@@ -126,6 +126,71 @@ def _(spark, sf):
     return T.detect(X.checkins(spark, sf), U, "HOME", tables=T.TripTables(start_overrides=wanted)).intervals.drop("name_ts")
 
 
+def _forced_sql(keys: str, log: str = "SELECT * FROM c") -> str:
+    """Trips whose ends are forced by ``keys``, a text that gives (user_id, k, wanted): run by run from the first."""
+    ride = f"category IN {_in(fixed.DEPARTURE_SERVICES)}"
+    return _sql(f"""
+, fo AS (SELECT user_id, k, (SELECT max(idx) FROM o WHERE o.user_id = ov.user_id AND o.ts <= ov.wanted) AS forced FROM ({keys}) ov)
+, rn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fp) AS rn, coalesce(lag(lp) OVER (PARTITION BY user_id ORDER BY fp), 0) AS before FROM a3)
+, cd AS (
+  SELECT e.user_id, e.fp, e.s_ts, o.idx, o.ts, o.hub, o.venue_id, o.category
+  FROM rn e JOIN o ON o.user_id = e.user_id AND o.idx < e.fp AND o.idx > e.before AND o.idx > coalesce(e.pf, 0) AND o.ts >= e.s_ts - 86400
+  WHERE o.hub OR o.category = 'Fuel Station' OR o.{ride}
+), sp AS (
+  SELECT h.user_id, h.fp, h.idx, h.ts, max(p.idx) AS nx, max(p.ts) AS nts
+  FROM cd h JOIN cd p ON p.user_id = h.user_id AND p.fp = h.fp AND p.hub AND h.hub AND p.idx < h.idx AND NOT (p.venue_id = h.venue_id AND h.venue_id <> '') GROUP BY 1, 2, 3, 4
+), wk AS (
+  SELECT user_id, fp, max(idx) AS idx FROM cd WHERE hub GROUP BY 1, 2
+  UNION ALL
+  SELECT w.user_id, w.fp, s.nx FROM wk w JOIN sp s ON s.user_id = w.user_id AND s.fp = w.fp AND s.idx = w.idx AND s.ts - s.nts <= 10800
+), pc AS (
+  SELECT user_id, fp, lo, lead(lo, 1, 1000000000) OVER (PARTITION BY user_id, fp ORDER BY lo) AS hi
+  FROM (SELECT user_id, fp, 0 AS lo FROM rn UNION SELECT user_id, fp, idx FROM cd)
+), hb AS (
+  SELECT pc.user_id, pc.fp, pc.lo, min(w.idx) AS d FROM pc JOIN wk w ON w.user_id = pc.user_id AND w.fp = pc.fp AND w.idx > pc.lo GROUP BY 1, 2, 3
+), rd AS (
+  SELECT user_id, fp, lo, CASE WHEN s_ts - coalesce(svc_ts, fuel_ts) <= 14400 THEN coalesce(svc, fuel) END AS d FROM (
+    SELECT pc.user_id, pc.fp, pc.lo, s_ts, min(idx) FILTER ({ride}) AS svc, min(ts) FILTER ({ride}) AS svc_ts,
+      max(idx) FILTER (category = 'Fuel Station') AS fuel, max(ts) FILTER (category = 'Fuel Station') AS fuel_ts
+    FROM pc JOIN cd ON cd.user_id = pc.user_id AND cd.fp = pc.fp AND cd.idx > pc.lo WHERE ts // 86400 = s_ts // 86400 GROUP BY 1, 2, 3, 4)
+), ps AS (
+  SELECT pc.*, rn.rn, rn.arr, rn.end1, coalesce(hb.d, rd.d, pc.fp) AS start_idx FROM pc JOIN rn ON rn.user_id = pc.user_id AND rn.fp = pc.fp
+  LEFT JOIN hb ON hb.user_id = pc.user_id AND hb.fp = pc.fp AND hb.lo = pc.lo LEFT JOIN rd ON rd.user_id = pc.user_id AND rd.fp = pc.fp AND rd.lo = pc.lo
+), pe AS (
+  SELECT ps.*, o.ts AS start_ts, greatest(ps.end1, coalesce(fo.forced, 0)) AS end2 FROM ps JOIN o ON o.user_id = ps.user_id AND o.idx = ps.start_idx
+  LEFT JOIN fo ON fo.user_id = ps.user_id AND fo.k = o.ts
+), nx AS (
+  SELECT user_id, idx, ts, min(CASE WHEN home AND category = 'Home (private)' THEN idx END) OVER w AS hp, min(CASE WHEN home AND category = 'Home (private)' THEN ts END) OVER w AS hp_ts,
+    min(CASE WHEN (abroad AND category NOT IN {_in(fixed.ROADSIDE)}) OR category IN {_in(fixed.NIGHTLIFE)} THEN idx END) OVER w AS st
+  FROM o WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), pf AS MATERIALIZED (
+  SELECT pe.*, CASE WHEN nx.hp_ts - nx.ts <= CASE WHEN pe.arr IS NULL THEN 43200 ELSE 18000 END AND (nx.st IS NULL OR nx.st > nx.hp) THEN nx.hp ELSE pe.end2 END AS end_idx
+  FROM pe JOIN nx ON nx.user_id = pe.user_id AND nx.idx = pe.end2
+), sol AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS start_idx, CAST(0 AS BIGINT) AS end_idx, CAST(0 AS BIGINT) AS start_ts FROM rn
+  UNION ALL
+  SELECT pf.user_id, pf.rn, pf.fp, pf.start_idx, pf.end_idx, pf.start_ts FROM sol JOIN pf ON pf.user_id = sol.user_id AND pf.rn = sol.rn + 1 AND sol.end_idx >= pf.lo AND sol.end_idx < pf.hi
+)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start_ts, fp) AS trip_id, start_idx, end_idx, start_ts FROM sol WHERE rn > 0 AND end_idx - start_idx + 1 >= 5""".lstrip(), log)
+
+
+@query("trips_forced_ends", _forced_sql("SELECT user_id, ts AS k, max(ts) + 90000 AS wanted FROM o WHERE ts % 3 > 0 GROUP BY user_id, ts"))
+def _(spark, sf):
+    """Two thirds of all times name an end a day later, so that forced ends follow each other along each log."""
+    ck = X.checkins(spark, sf)
+    ends = ck.filter("ts % 3 > 0").select(*U, F.col("ts").alias("start_ts"), (F.col("ts") + 90000).alias("end_ts"))
+    return T.detect(ck, U, "HOME", tables=T.TripTables(end_overrides=ends)).intervals.drop("name_ts")
+
+
+@query("trips_forced_ends_one_log", "SELECT * EXCLUDE (user_id) FROM (" + _forced_sql(
+    "SELECT user_id, ts AS k, max(ts) + 4000 AS wanted FROM o WHERE ts % 3 > 0 GROUP BY user_id, ts", "SELECT 0 AS user_id, * EXCLUDE (user_id) FROM c") + ")")
+def _(spark, sf):
+    """The same over the rows of all users as one log, where a chain runs through all its trips."""
+    ck = X.checkins(spark, sf).drop("user_id")
+    ends = ck.filter("ts % 3 > 0").select(F.col("ts").alias("start_ts"), (F.col("ts") + 4000).alias("end_ts"))
+    return T.detect(ck, [], "HOME", tables=T.TripTables(end_overrides=ends)).intervals.drop("name_ts")
+
+
 @query("trips_one_log", _sql("SELECT trip_id, start_idx, end_idx, start_ts FROM trips", "SELECT 0 AS user_id, * EXCLUDE (user_id) FROM c"))
 def _(spark, sf):
     return T.detect(X.checkins(spark, sf).drop("user_id"), [], "HOME").intervals.drop("name_ts")

@@ -254,6 +254,38 @@ def numbered(
     )
 
 
+#: Steps that one task composes at once.
+LINKS = 512
+
+
+def carried_states(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Carry a state through a list of functions: adds ``before``, the state in front of each step.
+
+    ``steps`` has ``by``, ``pos`` (1, 2, ... per log) and ``step``, an array that maps a state (an index from 0) to the
+    next one; an array of one value gives it whatever the state is. Each log begins in state 0. Steps are composed in
+    groups of ``LINKS``, the groups' functions are carried the same way, and each group is then walked from its state, so
+    a list of n takes as many rounds as n has digits to the base ``LINKS``.
+    """
+    def follow(state: Column, step: Column) -> Column:
+        return F.when(F.size(step) == 1, step[0]).otherwise(F.get(step, state)).cast("int")
+
+    extra = [c for c in steps.columns if c not in (*by, "pos", "step")]
+    listed = F.struct("pos", F.col("step").cast("array<int>").alias("step"), *extra)
+    group = F.floor((F.col("pos") - 1) / LINKS).alias("_g")
+    packed = stage(steps.groupBy(*by, group).agg(F.array_sort(F.collect_list(listed)).alias("_l")), "links")
+    if packed.filter("_g > 0").isEmpty():
+        entered = packed.withColumn("_in", F.lit(0))
+    else:
+        rest = F.slice("_l", F.lit(2), F.greatest(F.size("_l") - 1, F.lit(0)))
+        whole = F.transform(F.col("_l")[0]["step"], lambda first: F.aggregate(rest, first, lambda state, x: follow(state, x["step"])))
+        above = carried_states(packed.select(*by, (F.col("_g") + 1).alias("pos"), whole.alias("step")), by)
+        entered = packed.join(above.select(*by, (F.col("pos") - 1).alias("_g"), F.col("before").alias("_in")), [*by, "_g"])
+    start = F.array(F.col("_in").cast("int"))
+    states = F.aggregate("_l", start, lambda seen, x: F.concat(seen, F.array(follow(F.element_at(seen, -1), x["step"]))))
+    walked = entered.select(*by, "_l", F.posexplode(F.slice(states, F.lit(1), F.size("_l"))).alias("_i", "before"))
+    return walked.select(*by, F.get("_l", F.col("_i")).alias("_x"), "before").select(*by, "_x.*", "before")
+
+
 class Desc:
     """Marks a leading sort key of :func:`numbered` as descending."""
 

@@ -4,7 +4,8 @@ A trip is an interval ``[start_idx, end_idx]`` over the ordinals of one log. Eve
 lookup of the nearest marked row before or after a position, so two chunked scans
 (:func:`roamlog.operators.ordered.scan_log`) provide all of them. Ends depend only on the run's
 last row; starts depend on the previous run's end. Only the table of forced ends couples a
-start back to an end, and that is solved by repeating until nothing changes.
+start back to an end: each run is then a small function from the end before it to its own, and
+these functions are composed along the log (:func:`roamlog.operators.ordered.carried_states`).
 
 Intervals may overlap (an arrival may reach past a later short run), so membership is a join.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roamlog import fixed
 from roamlog.functions import scalars as S
-from roamlog.operators.ordered import DAY, chunk_of, mark_neighbours, numbered, scan_log, with_chunk
+from roamlog.operators.ordered import DAY, carried_states, chunk_of, mark_neighbours, numbered, scan_log, with_chunk
 from roamlog.session import stage
 
 HOUR = 3600
@@ -189,14 +190,17 @@ def _home_arrival(runs: DataFrame, ordered: DataFrame, by: list[str], position:
     )
 
 
-def _starts(runs: DataFrame, ends: DataFrame, linked: DataFrame, by: list[str]) -> DataFrame:
-    """Adds ``prev_end``, ``start1`` and ``start1_ts`` (departure rules) to ``runs``.
-
-    ``ends(lp, end_idx)`` are the final ends of all runs.
-    """
+def _after(runs: DataFrame, ends: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``prev_end``, the final end of the run before (0 for the first). ``ends(lp, end_idx)``."""
     before = ends.select(*by, F.col("lp").alias("prev_lp"), F.col("end_idx").alias("prev_end"))
-    runs = runs.join(before, [*by, "prev_lp"], "left").withColumn("prev_end", F.coalesce("prev_end", F.lit(0)))
+    return runs.join(before, [*by, "prev_lp"], "left").withColumn("prev_end", F.coalesce("prev_end", F.lit(0)))
+
+
+def _starts(runs: DataFrame, linked: DataFrame, by: list[str], variant: list[str] | None = None) -> DataFrame:
+    """Adds ``start1`` and ``start1_ts`` (departure rules) to ``runs``, which carry ``prev_end``.
 
+    ``variant`` names the columns that tell apart rows of one run with different ends before it.
+    """
     # A row can only open the next kept run, so candidates never multiply.
     services = F.col("category").isin(fixed.DEPARTURE_SERVICES)
     fuel = F.col("category") == fixed.DEPARTURE_FUEL
@@ -206,8 +210,8 @@ def _starts(runs: DataFrame, ends: DataFrame, linked: DataFrame, by: list[str])
         & (F.col("next_foreign").isNull() | (F.col("next_foreign") >= F.col("next_kept")))
     ).select(*by, F.col("next_kept").alias("fp"), "idx", "ts", "venue_id", "is_hub",
              services.alias("is_service"), fuel.alias("is_fuel"))
-    keys = [*by, "fp"]
-    near = near.join(runs.select(*keys, "prev_end", "start_ts"), keys).filter(F.col("idx") > F.col("prev_end"))
+    keys = [*by, "fp", *(variant or [])]
+    near = near.join(runs.select(*keys, "prev_end", "start_ts"), [*by, "fp"]).filter(F.col("idx") > F.col("prev_end"))
 
     back = Window.partitionBy(*keys).orderBy(F.desc("idx"))
     later_venue = F.lag("venue_id").over(back)
@@ -247,29 +251,49 @@ def _starts(runs: DataFrame, ends: DataFrame, linked: DataFrame, by: list[str])
 
 def _forced_ends(runs: DataFrame, ordered: DataFrame, linked: DataFrame, by: list[str],
                  overrides: DataFrame) -> DataFrame:
-    """Solve starts and forced ends together.
+    """Solve starts and forced ends together, however many follow each other.
 
-    A forced end is keyed by a start, and a moved end can move the start of the next run only.
-    After one pass over all runs, each further pass redoes just the runs behind a moved end, and
-    stops when none moved. Passes are as many as forced ends follow each other directly.
+    A forced end is keyed by a start, and a moved end can move the start of the next run only. So a
+    run has few possible ends: its own (state 0), and one per forced end keyed by a row that may
+    open it. For each possible end of the run before, its start, and by it its own state, are found
+    at once; what is left is to carry states through these functions. Several ends for one start:
+    the latest counts.
     """
-    keys = [*by, "fp"]
-    forced = _rank_at(ordered, by, overrides.select(*by, F.col("start_ts").alias("start1_ts"), "end_ts"),
-                      F.col("end_ts") + 1, "forced").select(*by, "start1_ts", "forced")
-
-    def settle(part: DataFrame, ends: DataFrame) -> DataFrame:
-        s = _starts(part, ends, linked, by).join(forced, [*by, "start1_ts"], "left")
-        s = s.withColumn("end2", F.greatest(F.col("end1"), F.coalesce("forced", F.col("end1")))).drop("forced", "end_idx")
-        return stage(_home_arrival(s, ordered, by, "end2").drop("end2"), "trip-ends")
-
-    settled = settle(runs, runs)
-    moved = settled.join(runs.select(*keys, F.col("end_idx").alias("_was")), keys).filter("end_idx <> _was")
-    while not moved.isEmpty():
-        behind = runs.join(moved.select(*by, F.col("lp").alias("prev_lp")), [*by, "prev_lp"], "left_semi")
-        again = settle(behind, settled)
-        moved = again.join(settled.select(*keys, F.col("end_idx").alias("_was")), keys).filter("end_idx <> _was")
-        settled = settled.join(again.select(*keys), keys, "left_anti").unionByName(again)
-    return settled
+    run = [*by, "fp"]
+    keyed = overrides.groupBy(*by, F.col("start_ts").cast("bigint").alias("start1_ts")).agg(F.max("end_ts").alias("end_ts"))
+    forced = _rank_at(ordered, by, keyed, F.col("end_ts") + 1, "forced").select(*by, "start1_ts", "forced")
+
+    own = linked.filter("run_start").select(*by, F.col("ts").alias("start1_ts"), F.col("idx").alias("fp"))
+    opening = linked.filter(F.col("candidate") & F.col("next_kept").isNotNull()).select(
+        *by, F.col("ts").alias("start1_ts"), F.col("next_kept").alias("fp"))
+    ends = own.unionByName(opening).join(forced, [*by, "start1_ts"]).distinct().join(runs.drop("end_idx"), run).withColumns({
+        "end2": F.greatest("end1", "forced"),
+        "state": F.row_number().over(Window.partitionBy(*run).orderBy("start1_ts")),
+    })
+    ends = _home_arrival(ends, ordered, by, "end2").select(*run, "lp", "state", "start1_ts", "end_idx")
+    states = stage(ends.unionByName(runs.select(
+        *run, "lp", F.lit(0).alias("state"), F.lit(None).cast("bigint").alias("start1_ts"), "end_idx")), "run-states")
+
+    before = states.select(*by, F.col("lp").alias("prev_lp"), F.col("state").alias("prev_state"), F.col("end_idx").alias("prev_end"))
+    variants = runs.drop("end_idx").join(before, [*by, "prev_lp"], "left").withColumns(
+        {"prev_state": F.coalesce("prev_state", F.lit(0)), "prev_end": F.coalesce("prev_end", F.lit(0))})
+    keyed_state = states.filter("state > 0").select(*run, "start1_ts", "state")
+    steps = stage(_starts(variants, linked, by, ["prev_state"]).join(keyed_state, [*run, "start1_ts"], "left").withColumn(
+        "state", F.coalesce("state", F.lit(0))), "run-steps")
+
+    # Only runs with several possible ends before them wait for the run before. A step of one
+    # value starts anew whatever came before it.
+    table = F.transform(F.array_sort(F.collect_list(F.struct("prev_state", "state"))), lambda x: x["state"])
+    functions = steps.groupBy(*run).agg(table.alias("step"), F.first("prev_lp").alias("prev_lp"))
+    waiting = functions.filter(F.size("step") > 1)
+    heads = functions.join(runs.select(*run, "lp"), run).join(
+        waiting.select(*by, F.col("prev_lp").alias("lp")), [*by, "lp"], "left_semi").filter(F.size("step") == 1)
+    chain = numbered(waiting.select(*run, "step").unionByName(heads.select(*run, "step")), by,
+                     [F.floor(F.col("fp") / _BLOCK)], [F.col("fp")], "pos")
+    solved = carried_states(chain, by).withColumn("waits", F.size("step") > 1)
+    chosen = steps.join(solved.filter("waits").select(*run, F.col("before").alias("_before")), run, "left").filter(
+        F.coalesce(F.col("_before") == F.col("prev_state"), F.lit(True))).drop("_before", "prev_state")
+    return chosen.join(states.select(*run, "state", "end_idx"), [*run, "state"]).drop("state")
 
 
 def detect(
@@ -286,7 +310,7 @@ def detect(
     linked = stage(link_runs(ordered, by), "runs")
     runs = _home_arrival(runs_of(linked, by), ordered, by, "end1")
     if t.end_overrides is None:
-        found = _starts(runs, runs, linked, by)
+        found = _starts(_after(runs, runs, by), linked, by)
     else:
         found = _forced_ends(stage(runs, "run-ends"), ordered, linked, by, t.end_overrides)
     found = found.withColumns({"start_idx": F.col("start1"), "name_ts": F.col("start1_ts")})

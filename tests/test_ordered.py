@@ -91,3 +91,28 @@ def test_numbered_positions(spark):
         for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2], r[3]))):
             want[r[3]] = i + 1
     assert {r.name: r.pos for r in got.collect()} == want
+
+
+def _functions(rng, n):
+    """Functions over states 0, 1, 2; some give one state whatever came before."""
+    return [[rng.randrange(3) for _ in range(rng.choice([1, 3, 3, 3]))] for _ in range(n)]
+
+
+@pytest.mark.parametrize("links", [2, 5, 512])
+def test_carried_states(spark, monkeypatch, links):
+    monkeypatch.setattr(O, "LINKS", links)
+    rng = random.Random(links)
+    logs = {u: _functions(rng, n) for u, n in enumerate([1, 2, 7, 40, 130])}
+    rows = [(u, k, f, f"x{k}") for u, log in logs.items() for k, f in enumerate(log, 1)]
+    rng.shuffle(rows)
+    got = O.carried_states(spark.createDataFrame(rows, "user_id long, pos long, step array<int>, name string"), ["user_id"])
+    assert got.columns == ["user_id", "pos", "step", "name", "before"]
+    want = set()
+    for u, log in logs.items():
+        state = 0
+        for k, f in enumerate(log, 1):
+            want.add((u, k, tuple(f), f"x{k}", state))
+            state = f[state if len(f) > 1 else 0]
+    assert {(r.user_id, r.pos, tuple(r.step), r.name, r.before) for r in got.collect()} == want
+    one = O.carried_states(spark.createDataFrame([(1, [2, 0, 1]), (2, [1])], "pos long, step array<int>"), [])
+    assert [(r.pos, r.before) for r in one.orderBy("pos").collect()] == [(1, 0), (2, 2)]

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from roamlog.operators import ordered as O
 from roamlog.plans import trips as T
 from trip_model import Row, Rules, Walk
 
@@ -100,6 +101,38 @@ def test_random_logs_with_curated_tables(spark):
     assert {u: w for u, w in want.items() if w} == detect(spark, logs, rules)
 
 
+def dominoes(n):
+    """Runs two days apart, each with a hub a few hours before it. A run that begins at its first row (its hub is taken)
+    is made to end behind the next hub; the first run is forced to, so all others follow. Without that none does."""
+    log, rules = [], Rules()
+    for k in range(n + 1):
+        t = BASE + k * 100 * H
+        log += [home(t, "Airport", f"a{k}")] * (k > 0) + away(t + 5 * H, 5)
+        rules.ends[t + 5 * H] = t + 100 * H
+    return log, rules
+
+
+def test_chains_of_forced_ends(spark):
+    """Chains of 2 and of 40: the model's trips, from the same number of jobs."""
+    jobs = {}
+    for n in (2, 40):
+        log, rules = dominoes(n)
+        loose = Rules(ends={k: v for k, v in rules.ends.items() if k > BASE + 5 * H})
+        spark.sparkContext.setJobGroup(f"chain-{n}", "chain")
+        got = detect(spark, {1: log, 2: log}, {1: rules, 2: loose})
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
+        assert got == {1: Walk(log, rules).trips(), 2: Walk(log, loose).trips()}
+        assert got[1][-1][0] == got[2][-1][0] + 1 and len(got[1]) == n + 1
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs[2] == jobs[40]
+
+
+def test_chain_over_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(O, "LINKS", 4)
+    log, rules = dominoes(30)
+    assert detect(spark, {1: log}, {1: rules}) == {1: Walk(log, rules).trips()}
+
+
 def test_chunk_width_does_not_change_trips(spark):
     rng = random.Random(3)
     logs = {u: random_log(rng, 60) for u in range(40)}
