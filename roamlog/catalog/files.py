@@ -15,6 +15,7 @@ from roamlog.schema import CHECKIN_FIELDS
 from roamlog.session import stage_root
 from roamlog.sources import fixtures as X, readers as R, sinks
 from roamlog.streaming import ingest
+from roamlog.streaming.runs import UserResults
 
 U = ["user_id"]
 
@@ -121,36 +122,36 @@ SELECT CAST(user_id AS VARCHAR), checkin_id, date, venue, venue_id, city, '', co
 FROM every WHERE checkin_id LIKE '9%' AND user_id >= 1000000""", extra=_TWINS))
 def _(spark, sf):
     """Default settings: every stored column but the constant url, repeats removed, twins and late rows kept."""
-    store = ingest.LogStore(_path(spark, "store"), buckets=8)
+    store = ingest.LogStore(_path(spark, "store"), fanout=3)
     stream = ingest.stream_checkins(spark, _landed(spark, sf), max_files=1)
     ingest.run(stream, store, _path(spark, "offsets")).awaitTermination()
-    return store.read(spark).drop("month", "bucket", "venue_url")
+    return store.read(spark).drop("venue_url")
 
 
 @query("stream_refresh", ck("SELECT user_id, count(*) AS n FROM every WHERE venue_id <> '' GROUP BY 1", extra=_TWINS))
 def _(spark, sf):
-    store, out = ingest.LogStore(_path(spark, "store"), buckets=8), _path(spark, "counts")
+    store, out = ingest.LogStore(_path(spark, "store"), fanout=3), UserResults(_path(spark, "counts"), fanout=3)
 
     def counts(rows):
-        return rows.filter("venue_id <> ''").groupBy("bucket", "user_id").agg(F.count("*").alias("n"))
+        return rows.filter("venue_id <> ''").groupBy("user_id").agg(F.count("*").alias("n"))
 
     stream = ingest.stream_checkins(spark, _landed(spark, sf), max_files=1)
     ingest.run(stream, store, _path(spark, "offsets"), ingest.refresher(counts, out)).awaitTermination()
-    return spark.read.parquet(out).select(F.col("user_id").cast("bigint").alias("user_id"), "n")
+    return out.results(spark).select(F.col("user_id").cast("bigint").alias("user_id"), "n")
 
 
 @query("stream_trips", _sql("SELECT user_id, trip_id, start_idx, end_idx, start_ts FROM trips",
                             "SELECT * REPLACE (CASE WHEN length(category) % 2 = 0 THEN category ELSE 'Other' END AS category) FROM c"))
 def _(spark, sf):
-    """Trips of the users a batch touched, found anew after each batch, equal those of the whole log."""
-    store, out = ingest.LogStore(_path(spark, "store"), buckets=8), _path(spark, "trips")
+    """Trips of the users a batch touched, found anew after each batch and merged, equal those of the whole log."""
+    store, out = ingest.LogStore(_path(spark, "store"), fanout=2), UserResults(_path(spark, "trips"), fanout=2)
 
     def found(rows):
-        return trips.detect(cleaning.typed(rows), U, "HOME").intervals.withColumn("bucket", store.bucket())
+        return trips.detect(cleaning.typed(rows), U, "HOME").intervals
 
     stream = ingest.stream_checkins(spark, _landed(spark, sf, parts=2), max_files=1)
     ingest.run(stream, store, _path(spark, "offsets"), ingest.refresher(found, out)).awaitTermination()
-    rows = spark.read.parquet(out).withColumn("user_id", F.col("user_id").cast("bigint"))
+    rows = out.results(spark).withColumn("user_id", F.col("user_id").cast("bigint"))
     return rows.filter("user_id < 1000000").select("user_id", "trip_id", "start_idx", "end_idx", "start_ts")
 
 
