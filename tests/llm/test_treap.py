@@ -88,6 +88,7 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(K, "_PIECE", 10)
     text = "Alpha beta-gamma  ÉÜ 42x" * 30
     assert [w.decode() for p in K.terms_of(text.encode()) for w in p] == terms(text)
+    assert [K.count_terms(t.encode()) for t in (text, "", " ", "a", " é,1 ", "-")] == [len(terms(text)), 0, 0, 1, 2, 0]
 
 
 def test_index_covers_all_rows(spark, sf_dir):
