@@ -4,7 +4,8 @@
 ``(by, floor(ts / width))``: windows run inside a chunk, one summary row per chunk carries the
 running state across chunks, and the two are joined on the chunk key. Chunks are wide where rows are sparse,
 so summaries are few, and narrow where they are dense, so that one user with a third of all
-rows, or a burst of them in one day, is spread over as many tasks as the rows need.
+rows, or a burst of them in one day, is spread over as many tasks as the rows need. Summaries of a
+log with dense stretches are carried in groups in turn (:func:`_swept`), so they fill no task either.
 """
 from __future__ import annotations
 
@@ -18,7 +19,11 @@ DAY = 86_400
 #: Widths of chunks in seconds, each cut into the next where it is dense.
 WIDTHS = [28 * DAY, DAY, 3600, 60, 1]
 CHUNK_ROWS = 1_000_000
+#: Summary rows that one task carries a state over.
+GROUP = 512
 _CHUNK = "_chunk"
+#: Mark on the chunk column of a log that may have more chunks than the calendar has four weeks.
+_DENSE = {"dense": True}
 
 
 def chunk_of(ts: Column, chunk_seconds: int = DAY) -> Column:
@@ -41,7 +46,7 @@ def with_chunk(df: DataFrame, by: list[str], ts: str = "ts", chunk_seconds: int
     if _CHUNK in df.columns:
         return df
     if chunk_seconds is not None:
-        return df.withColumn(_CHUNK, chunk_of(F.col(ts), chunk_seconds))
+        return df.withColumn(_CHUNK, chunk_of(F.col(ts), chunk_seconds).alias(_CHUNK, metadata=_DENSE))
     out = df.withColumn(_CHUNK, chunk_of(F.col(ts), WIDTHS[0]) * WIDTHS[0])
     times = df.select(*by, F.col(ts).alias("_t"))
     for width, finer in zip(WIDTHS, WIDTHS[1:]):
@@ -52,7 +57,8 @@ def with_chunk(df: DataFrame, by: list[str], ts: str = "ts", chunk_seconds: int
         times = times.withColumn("_cell", cell).join(dense, [*by, "_cell"], "left_semi").drop("_cell")
         out = out.withColumn("_cell", chunk_of(F.col(ts), width) * width).join(
             dense.withColumn("_dense", F.lit(True)), [*by, "_cell"], "left").withColumn(
-            _CHUNK, F.when(F.col("_dense"), chunk_of(F.col(ts), finer) * finer).otherwise(F.col(_CHUNK))).drop("_cell", "_dense")
+            _CHUNK, F.when(F.col("_dense"), chunk_of(F.col(ts), finer) * finer).otherwise(F.col(_CHUNK)).alias(
+                _CHUNK, metadata=_DENSE)).drop("_cell", "_dense")
     return out
 
 
@@ -65,6 +71,66 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+#: How a value is carried: over the rows before or after a row, or over all of them.
+_BEFORE, _AFTER, _ALL = "before", "after", "all"
+_AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
+_COMBINE = {
+    "sum": lambda above, here: F.when(above.isNull() | here.isNull(), F.coalesce(above, here)).otherwise(above + here),
+    "min": F.least, "max": F.greatest, "last": lambda above, here: F.coalesce(here, above),
+}
+#: Leading sort keys: a column's name and whether it descends.
+Order = list[tuple[str, bool]]
+
+
+def _sorted(order: Order, backwards: bool = False) -> list[Column]:
+    return [F.desc(c) if down != backwards else F.asc(c) for c, down in order]
+
+
+def _swept(df: DataFrame, by: list[str], order: Order, carried: Mapping[str, tuple[str, str, str]], many: bool) -> DataFrame:
+    """Adds for each ``{name: (aggregate, column, side)}`` the aggregate over the rows of the log on that side.
+
+    ``df`` holds summary rows. Where they may be many they are staged, dealt to groups of about ``GROUP`` rows by ranges
+    of (log, order) and swept inside the groups; the groups' totals are swept the same way and added to it. The
+    aggregate ``last``, for an ascending order, takes the row just before.
+    """
+    if many:
+        df = stage(df, "summary")
+        n = df.count()
+    if not many or n <= GROUP:
+        return df.withColumns(_carried_over(by, order, carried))
+    g = "_g" + "_" * sum(c.startswith("_g") for c in df.columns)
+    ranged = stage(df.repartitionByRange(-(-n // GROUP), *by, *_sorted(order)).withColumn(g, F.spark_partition_id()), "groups")
+    totals = ranged.groupBy(*by, g).agg(*[
+        (F.max_by(col, F.struct(*[c for c, _ in order])) if how == "last" else _AGGREGATES[how](col)).alias(f"_above_{name}")
+        for name, (how, col, _) in carried.items()])
+    above = _swept(totals, by, [(g, False)], {f"_up_{name}": (how, f"_above_{name}", side) for name, (how, _, side) in carried.items()}, True)
+    joined = ranged.withColumns(_carried_over([*by, g], order, carried)).join(
+        above.select(*by, g, *[f"_up_{name}" for name in carried]), [*by, g])
+    return joined.withColumns({
+        name: F.col(f"_up_{name}") if side == _ALL else _COMBINE[how](F.col(f"_up_{name}"), F.col(name))
+        for name, (how, _, side) in carried.items()}).drop(g, *[f"_up_{name}" for name in carried])
+
+
+def _carried_over(keys: list[str], order: Order, carried: Mapping[str, tuple[str, str, str]]) -> dict[str, Column]:
+    whole = Window.partitionBy(*_by(keys))
+    sides = {_BEFORE: whole.orderBy(*_sorted(order)), _AFTER: whole.orderBy(*_sorted(order, backwards=True))}
+    out = {}
+    for name, (how, col, side) in carried.items():
+        if how == "last":
+            out[name] = F.lag(col).over(sides[_BEFORE])
+        else:
+            over = whole if side == _ALL else sides[side].rowsBetween(Window.unboundedPreceding, -1)
+            out[name] = _AGGREGATES[how](col).over(over)
+    return out
+
+
+def _is_dense(df: DataFrame) -> bool:
+    return bool(df.schema[_CHUNK].metadata.get("dense"))
+
+
+_BY_CHUNK: Order = [(_CHUNK, False)]
+
+
 def scan_log(
     df: DataFrame,
     by: list[str],
@@ -100,15 +166,11 @@ def scan_log(
 
     marks = _extremes(following, preceding, timed, "_rn", ts)
     summary = (numbered_ if marks else flagged).groupBy(*keys).agg(F.sum("_real").alias("_rows"), *marks)
-    before, after = _chunk_orders(by)
-    carried = summary.withColumns(
-        {
-            "_off": F.coalesce(F.sum("_rows").over(before), F.lit(0)),
-            "log_rows": F.sum("_rows").over(Window.partitionBy(*_by(by))),
-        }
-    )
-    carried = carried.select(*keys, "_off", "log_rows", *_carries(following, preceding, timed, F.col("_off"), before, after))
-    joined = local.join(carried, keys)
+    dense = _is_dense(flagged)
+    carried = _swept(summary, by, _BY_CHUNK, {"_off": ("sum", "_rows", _BEFORE), "log_rows": ("sum", "_rows", _ALL)}, dense)
+    carried = carried.withColumn("_off", F.coalesce("_off", F.lit(0)))
+    carried = _carries(carried, by, following, preceding, timed, F.col("_off"), dense)
+    joined = local.join(carried.select(*keys, "_off", "log_rows", *_carry_names(following, preceding, timed)), keys)
     return joined.select(
         *[c for c in df.columns],
         (F.col("_off") + F.col("_rn")).alias("idx"), "log_rows",
@@ -137,9 +199,8 @@ def mark_neighbours(
     up, down = _orders(keys, idx)
     local = _spread(flagged, keys).withColumns(_nearest(following, preceding, timed, idx, ts, up, down))
     summary = flagged.groupBy(*keys).agg(*_extremes(following, preceding, timed, idx, ts))
-    before, after = _chunk_orders(by)
-    carried = summary.select(*keys, *_carries(following, preceding, timed, F.lit(0), before, after))
-    return local.join(carried, keys).select(*df.columns, *_resolved(following, preceding, timed, F.lit(0)))
+    carried = _carries(summary, by, following, preceding, timed, F.lit(0), _is_dense(flagged))
+    return local.join(carried.select(*keys, *_carry_names(following, preceding, timed)), keys).select(*df.columns, *_resolved(following, preceding, timed, F.lit(0)))
 
 
 def _orders(keys: list[str], *order: str):
@@ -149,13 +210,6 @@ def _orders(keys: list[str], *order: str):
     )
 
 
-def _chunk_orders(by: list[str]):
-    return tuple(
-        Window.partitionBy(*_by(by)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
-        for o in (F.asc(_CHUNK), F.desc(_CHUNK))
-    )
-
-
 def _values(m: str, timed: set[str], pos: str, ts: str) -> list[tuple[str, Column]]:
     hit = F.col(f"_m_{m}")
     out = [(m, F.when(hit, F.col(pos)))]
@@ -178,14 +232,24 @@ def _extremes(following, preceding, timed, pos, ts) -> list[Column]:
     ]
 
 
-def _carries(following, preceding, timed, off, before, after) -> list[Column]:
-    out = []
-    for marks, side, best, over in ((following, "f", F.min, after), (preceding, "l", F.max, before)):
+def _sides(following, preceding):
+    return ((following, "f", "min", _AFTER), (preceding, "l", "max", _BEFORE))
+
+
+def _carry_names(following, preceding, timed) -> list[str]:
+    return [f"_c{side}_{n}" for marks, side, _, _ in _sides(following, preceding) for m in marks
+            for n in ([m, f"{m}_ts"] if m in timed else [m])]
+
+
+def _carries(summary: DataFrame, by, following, preceding, timed, off: Column, many: bool) -> DataFrame:
+    """Nearest hits in later and earlier chunks, from the chunks' own first and last ones."""
+    absolute, carried = {}, {}
+    for marks, side, best, where in _sides(following, preceding):
         for m in marks:
-            out.append(best(off + F.col(f"_{side}_{m}")).over(over).alias(f"_c{side}_{m}"))
-            if m in timed:
-                out.append(best(f"_{side}_{m}_ts").over(over).alias(f"_c{side}_{m}_ts"))
-    return out
+            absolute[f"_{side}_{m}"] = off + F.col(f"_{side}_{m}")
+            for n in [m, f"{m}_ts"] if m in timed else [m]:
+                carried[f"_c{side}_{n}"] = (best, f"_{side}_{n}", where)
+    return _swept(summary.withColumns(absolute), by, _BY_CHUNK, carried, many) if carried else summary
 
 
 def _resolved(following, preceding, timed, off) -> list[Column]:
@@ -219,7 +283,7 @@ def with_previous(
     w = Window.partitionBy(*_by(keys)).orderBy(ts, tie)
     local = _spread(cut, keys).withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(F.struct(*cols)).over(w)})
     summary = cut.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_last"))
-    carry = summary.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*_by(by)).orderBy(_CHUNK)))
+    carry = _swept(summary, by, _BY_CHUNK, {"_carry": ("last", "_last", _BEFORE)}, _is_dense(cut))
     before = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
     return (
         local.join(carry.select(*keys, "_carry"), keys)
@@ -229,23 +293,22 @@ def with_previous(
 
 
 def numbered(
-    df: DataFrame, by: list[str], chunk: list[Column], within: list[Column], name: str = "rank"
+    df: DataFrame, by: list[str], chunk: list[Column], within: list[Column], name: str = "rank", many: bool = False
 ) -> DataFrame:
     """1-based position per ``by`` in the order ``chunk`` then ``within``.
 
     ``chunk`` are coarse leading sort keys; a position is the offset of its chunk plus the
-    position inside it, so no task holds a whole list.
+    position inside it, so no task holds a whole list. ``many`` carries the offsets in groups, for
+    a key with too many values for one task.
     """
     names = [f"_k{i}" for i in range(len(chunk))]
     directions = [_is_descending(c) for c in chunk]
     keyed = df.withColumns(dict(zip(names, [_bare(c) for c in chunk], strict=True)))
     keys = [*by, *names]
     local = _spread(keyed, keys).withColumn("_rn", F.row_number().over(Window.partitionBy(*_by(keys)).orderBy(*within)))
-    order = [F.desc(n) if d else F.asc(n) for n, d in zip(names, directions, strict=True)]
-    before = Window.partitionBy(*_by(by)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(
-        "_off", F.coalesce(F.sum("_n").over(before), F.lit(0))
-    ).drop("_n")
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    offsets = _swept(counts, by, list(zip(names, directions, strict=True)), {"_off": ("sum", "_n", _BEFORE)}, many).withColumn(
+        "_off", F.coalesce("_off", F.lit(0))).drop("_n")
     cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     return (
         local.alias("l")

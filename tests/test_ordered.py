@@ -116,3 +116,44 @@ def test_carried_states(spark, monkeypatch, links):
     assert {(r.user_id, r.pos, tuple(r.step), r.name, r.before) for r in got.collect()} == want
     one = O.carried_states(spark.createDataFrame([(1, [2, 0, 1]), (2, [1])], "pos long, step array<int>"), [])
     assert [(r.pos, r.before) for r in one.orderBy("pos").collect()] == [(1, 0), (2, 2)]
+
+
+def test_no_task_carries_a_whole_log(spark, monkeypatch):
+    """One log of 100,000 chunks: every task sweeps under 1 % of them, and all results are right."""
+    largest, real = [], O.stage
+
+    def stage(df, name, **options):
+        out = real(df, name, **options)
+        if name == "groups":
+            largest.append(out.groupBy("_g").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(O, "stage", stage)
+    n = 100_000
+    log = spark.range(n).select((F.col("id") * 7).alias("ts"), F.col("id").cast("string").alias("checkin_id"), (F.col("id") % 1000 == 5).alias("hit"))
+    got = O.scan_log(log, [], {"hit": F.col("hit")}, {"hit": F.col("hit")}, timed={"hit"}, chunk_seconds=7)
+    i = F.col("ts") / 7
+    nxt = i + F.pmod(5 - i, F.lit(1000)) + F.when(F.pmod(i, F.lit(1000)) == 5, 1000).otherwise(0)
+    prev = i - F.pmod(i - 5, F.lit(1000)) - F.when(F.pmod(i, F.lit(1000)) == 5, 1000).otherwise(0)
+    wrong = got.filter(
+        (F.col("idx") != i + 1) | (F.col("log_rows") != n)
+        | ~F.col("next_hit").eqNullSafe(F.when(nxt < n, (nxt + 1).cast("long"))) | ~F.col("next_hit_ts").eqNullSafe(F.when(nxt < n, (nxt * 7).cast("long")))
+        | ~F.col("prev_hit").eqNullSafe(F.when(prev >= 0, (prev + 1).cast("long"))))
+    assert got.count() == n and wrong.count() == 0
+    before = O.with_previous(log, [], ["checkin_id"], chunk_seconds=7)
+    assert before.filter(~F.col("prev_checkin_id").eqNullSafe(F.when(i > 0, (i - 1).cast("long").cast("string")))).count() == 0
+    ranked = O.numbered(log, [], [O.Desc(F.col("ts"))], [F.col("checkin_id")], many=True)
+    assert ranked.filter(F.col("rank") != n - i).count() == 0
+    assert len(largest) >= 3 and max(largest) < n / 100
+
+
+@pytest.mark.parametrize("group", [1, 3])
+def test_groups_of_chunks_do_not_change_results(spark, monkeypatch, group):
+    """Several users, several levels of groups."""
+    log = frame(spark, make_log(5))
+    marks = {"following": {"a": F.col("kind") == "a"}, "preceding": {"b": F.col("kind") == "b"}, "timed": {"a", "b"}}
+    want = sorted(map(tuple, O.scan_log(log, ["u"], **marks).collect()), key=str)
+    monkeypatch.setattr(O, "GROUP", group * 20)
+    assert sorted(map(tuple, O.scan_log(log, ["u"], chunk_seconds=3600, **marks).collect()), key=str) == want
+    assert sorted(map(tuple, O.with_previous(log, ["u"], ["ts", "kind"], chunk_seconds=3600).collect()), key=str) == sorted(
+        map(tuple, O.with_previous(log, ["u"], ["ts", "kind"]).collect()), key=str)
