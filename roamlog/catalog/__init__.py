@@ -43,4 +43,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from roamlog.catalog import cleaning, counters, feeds, files, maintenance, people, places, trips  # noqa: E402, F401
+from roamlog.catalog import cleaning, counters, feeds, files, lists, maintenance, people, places, trips  # noqa: E402, F401

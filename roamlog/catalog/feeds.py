@@ -132,11 +132,11 @@ SELECT user_id, checkin_id, ts, utc_date, lh AS hour, temp, code,
     WHEN code IN (0, 1) AND lh >= 18 THEN CASE code WHEN 0 THEN '🌇' ELSE '🌤️' END
     WHEN code = 0 THEN '☀️' WHEN code = 1 THEN '🌤️' WHEN code = 2 THEN '⛅' WHEN code = 3 THEN '☁️' ELSE '' END AS icon,
   CASE code WHEN 0 THEN 'Clear' WHEN 1 THEN 'Mainly clear' WHEN 2 THEN 'Partly cloudy' WHEN 3 THEN 'Overcast' ELSE '' END AS description
-FROM (SELECT f.*, CAST(CAST(f.t AS DATE) AS VARCHAR) AS utc_date, wx.temp, wx.code FROM feed f JOIN wx
+FROM (SELECT f.*, CAST(CAST(f.t AS DATE) AS VARCHAR) AS utc_date, wx.temp, wx.code FROM feed f LEFT JOIN wx
   ON wx.lat1 = round(f.lat, 1) AND wx.lng1 = round(f.lng, 1) AND wx.utc_date = CAST(CAST(f.t AS DATE) AS VARCHAR) AND wx.hour = f.lh)""",
     extra=_FEED + ", " + _WEATHER))
 def _(spark, sf):
-    return FD.weather_join(_world_log(spark, sf), _weather(spark, sf), U).filter("code IS NOT NULL")
+    return FD.weather_join(_world_log(spark, sf), _weather(spark, sf), U)
 
 
 _MERGE = [("City 1", "Town One"), ("City 2", "Town Two"), ("City 3", "Town One")]

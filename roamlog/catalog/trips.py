@@ -191,6 +191,20 @@ def _(spark, sf):
     return T.detect(ck, [], "HOME", tables=T.TripTables(end_overrides=ends)).intervals.drop("name_ts")
 
 
+@query("trips_bicycle", _sql(f"""
+, st AS (SELECT iv.*, e.prev_end, o.ts AS ts1, (SELECT max(x.idx) FROM o x WHERE x.user_id = iv.user_id AND x.idx < iv.start_idx AND x.abroad) AS pf
+    FROM iv JOIN ends e ON e.user_id = iv.user_id AND e.fp = iv.fp JOIN o ON o.user_id = iv.user_id AND o.idx = iv.start_idx)
+, bc AS (SELECT st.user_id, st.fp, st.end_idx, st.ts1, CASE WHEN ts1 % 3 > 0 THEN coalesce((SELECT min(x.idx) FROM o x WHERE x.user_id = st.user_id AND x.idx < st.start_idx AND x.idx > st.prev_end
+    AND x.idx > coalesce(st.pf, 0) AND x.ts >= st.ts1 - 14400 AND x.home AND x.category IN {_in(fixed.BICYCLE_START)}), start_idx) ELSE start_idx END AS start_idx FROM st)
+SELECT bc.user_id, row_number() OVER (PARTITION BY bc.user_id ORDER BY o.ts, bc.fp) AS trip_id, bc.start_idx, bc.end_idx, o.ts AS start_ts, bc.ts1 AS name_ts
+FROM bc JOIN o ON o.user_id = bc.user_id AND o.idx = bc.start_idx WHERE bc.end_idx - bc.start_idx + 1 >= 5""".lstrip(), "SELECT * REPLACE (CASE WHEN ts % 5 < 2 THEN 'Park' ELSE category END AS category) FROM c"))
+def _(spark, sf):
+    """Trips tagged as rides begin at the park or road passed in the four hours before; their name keeps its key."""
+    ck = X.checkins(spark, sf).withColumn("category", F.when(F.col("ts") % 5 < 2, "Park").otherwise(F.col("category")))
+    tags = ck.filter("ts % 3 > 0").select(*U, F.col("ts").alias("start_ts")).distinct().withColumn("tags", F.array(F.lit("bicycle")))
+    return T.detect(ck, U, "HOME", tables=T.TripTables(tags=tags)).intervals
+
+
 @query("trips_one_log", _sql("SELECT trip_id, start_idx, end_idx, start_ts FROM trips", "SELECT 0 AS user_id, * EXCLUDE (user_id) FROM c"))
 def _(spark, sf):
     return T.detect(X.checkins(spark, sf).drop("user_id"), [], "HOME").intervals.drop("name_ts")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from roamlog.functions import scalars as S
 from roamlog.operators.common import top_k, utc_month
 from roamlog.operators.ordered import DAY, with_previous
+from roamlog.operators.skew import left_join_skewed
 
 FEED_COLUMNS = ["ts", "date", "time", "venue", "city", "country", "category", "venue_id", "lat", "lng"]
 
@@ -74,7 +75,8 @@ def weather_join(ck: DataFrame, hourly: DataFrame, by: list[str] | None = None,
     """Temperature and weather code of each located row from an hourly table.
 
     ``hourly(lat1, lng1, utc_date, hour, temp, code)``: rows meet on rounded place, day and
-    **local** hour; the day is the UTC day unless ``utc_day`` is false (then the local one).
+    **local** hour; the day is the UTC day unless ``utc_day`` is false (then the local one). Rows
+    of a busy place and hour are dealt to several tasks; rows without a place have no weather.
     """
     tz = S.tz_for(F.col("country"), F.col("lat"), F.col("lng"), policy="bands")
     local = S.localise(F.col("ts"), tz)
@@ -83,7 +85,8 @@ def weather_join(ck: DataFrame, hourly: DataFrame, by: list[str] | None = None,
         {"lat1": F.round("lat", 1), "lng1": F.round("lng", 1), "utc_date": day.cast("string"), "hour": F.hour(local)}
     )
     label = S.weather_label(F.col("code"), F.col("hour"))
-    return rows.join(hourly, ["lat1", "lng1", "utc_date", "hour"], "left").withColumn("_w", label).select(
+    met = left_join_skewed(rows, hourly, ["lat1", "lng1", "utc_date", "hour"], spread=["ts", "checkin_id"])
+    return met.withColumn("_w", label).select(
         *(by or []), "checkin_id", "ts", "utc_date", "hour", "temp", "code",
         F.col("_w.icon").alias("icon"), F.col("_w.description").alias("description"),
     )

@@ -81,9 +81,10 @@ def missing_rows(existing: DataFrame, fetched: DataFrame, seq: str, keys: list[s
 
 
 def has_changed(a: DataFrame, b: DataFrame) -> bool:
-    """True when the two tables differ as multisets of rows."""
-    b = b.select(*a.columns)
-    return not (a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+    """True when the two tables differ as multisets of rows (by :func:`roamlog.operators.digests.differs`)."""
+    from roamlog.operators.digests import differs
+
+    return differs(a, b).first().changed
 
 
 def merge_tips(existing: DataFrame, fetched: DataFrame, sweep: DataFrame | None = None) -> DataFrame:

@@ -89,16 +89,17 @@ def _sorted(order: Order, backwards: bool = False) -> list[Column]:
 def _swept(df: DataFrame, by: list[str], order: Order, carried: Mapping[str, tuple[str, str, str]], many: bool) -> DataFrame:
     """Adds for each ``{name: (aggregate, column, side)}`` the aggregate over the rows of the log on that side.
 
-    ``df`` holds summary rows. Where they may be many they are staged, dealt to groups of about ``GROUP`` rows by ranges
-    of (log, order) and swept inside the groups; the groups' totals are swept the same way and added to it. The
-    aggregate ``last``, for an ascending order, takes the row just before.
+    ``df`` holds summary rows. Where a log may have many they are staged; if one has more than ``GROUP`` they are dealt
+    to groups of about that many by ranges of (log, order) and swept inside the groups, and the groups' totals are swept
+    the same way and added to it. The aggregate ``last``, for an ascending order, takes the row just before.
     """
     if many:
         df = stage(df, "summary")
-        n = df.count()
-    if not many or n <= GROUP:
+        size = df.groupBy(*by).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+        n, many = size.n, (size.most or 0) > GROUP
+    if not many:
         return df.withColumns(_carried_over(by, order, carried))
-    g = "_g" + "_" * sum(c.startswith("_g") for c in df.columns)
+    g = "_g" if "_g" not in df.columns else "_h"
     ranged = stage(df.repartitionByRange(-(-n // GROUP), *by, *_sorted(order)).withColumn(g, F.spark_partition_id()), "groups")
     totals = ranged.groupBy(*by, g).agg(*[
         (F.max_by(col, F.struct(*[c for c, _ in order])) if how == "last" else _AGGREGATES[how](col)).alias(f"_above_{name}")

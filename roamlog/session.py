@@ -69,6 +69,11 @@ def stage_apart(df: DataFrame, name: str, **options: object) -> tuple[str, DataF
     return path, spark.read.schema(df.schema).parquet(path)
 
 
+def keep_staged(paths: list[str]) -> None:
+    """Hand tables of :func:`stage_apart` over to :func:`drop_staged`."""
+    _WRITTEN.extend(paths)
+
+
 def staged_count() -> int:
     return len(_WRITTEN)
 

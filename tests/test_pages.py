@@ -29,14 +29,25 @@ def test_ids_near_matches_a_search_per_anchor(spark):
 def test_objects_at_any_depth(spark):
     tip = {"id": "t1", "text": "x", "createdAt": 1, "user": {"id": "7"}}
     deep = tip | {"id": "deep"}
-    for _ in range(60):
-        deep = {"a": [deep]}
+    for _ in range(200):
+        deep = {"a": deep}
     docs = [
         (1, json.dumps({"x": [tip, tip | {"id": "t2", "user": {"id": 7}}], "y": tip | {"id": "", "kids": [tip | {"id": "t3"}]}})),
         (2, json.dumps([tip | {"user": {"id": "8"}}, tip | {"text": ""}, tip | {"createdAt": 0}, tip | {"user": None}])), (3, json.dumps(deep)), (4, None),
     ]
     got = P.objects_where(spark.createDataFrame(docs, "page_id long, doc string"), "7")
     assert {tuple(r) for r in got.collect()} == {(1, "t1"), (1, "t2"), (1, "t3"), (3, "deep")}
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
+
+
+def test_objects_with_odd_fields(spark):
+    tip = {"id": "t", "text": "x", "createdAt": 1, "user": {"id": "7"}}
+    odd = [tip | {"id": 5}, tip | {"id": "ok", "createdAt": "2020"}, tip | {"id": "e1", "createdAt": ""}, tip | {"id": "e2", "text": []}, tip | {"id": "e3", "text": None},
+           tip | {"id": "e4", "user": "7"}, tip | {"id": "e5", "user": {"id": None}}, tip | {"id": "e6", "createdAt": False}, {"id": "e7"}, 3, "x", None, [], {}]
+    docs = [(1, json.dumps(odd)), (2, "{broken"), (3, "7"), (4, "[]"), (5, "")]
+    got = P.objects_where(spark.createDataFrame(docs, "page_id long, doc string"), "7")
+    assert {tuple(r) for r in got.collect()} == {(1, "5"), (1, "ok")}
+    assert P.objects_where(spark.createDataFrame([], "page_id long, doc string"), "7").count() == 0
 
 
 def test_embedded_json(spark):
