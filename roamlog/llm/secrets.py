@@ -7,9 +7,9 @@ The dictionary is made of the words that stand by themselves in all documents.
 
 The forest learns from labelled findings (id, start, is_secret); at most ``TRAIN_ROWS`` of them, chosen by a hash of
 their place, are used. Each kind has half of these rows, and what the other leaves; weights keep the shares of the kinds.
-Where no findings are given, :func:`evident_findings` labels the candidates that leave no doubt. These keep their
-label and the forest judges the others, which it also learns from each evident secret without its surroundings: a key is
-one wherever it is pasted. With given findings of one kind only every candidate gets that kind. Where there is nothing to
+Where no findings are given, :func:`evident_findings` labels the candidates that leave no doubt, for training only: the
+forest's votes decide every candidate. It also learns from each evident secret without its surroundings (a key is one
+wherever it is pasted) and called a hash (such a run is none). With given findings of one kind only every candidate gets that kind. Where there is nothing to
 tell the kinds apart by, nothing can be removed: every candidate that has no label counts as a secret.
 
 Null and empty texts have no candidates. Rows that repeat an id are told apart by their text; equal rows give equal
@@ -53,7 +53,7 @@ TEST_PATH = r"(?i)(test|example|sample|fixture|docs?\b|mock)"
 CODE_PATH = r"(?i)\.(env|cfg|conf|ini|ya?ml|json|toml|properties|py|js|java|go|rb|sh|tf)$"
 
 FEATURES = ["length", "digits", "uppers", "lowers", "hex", "class_changes", "case_changes", "distinct", "dictionary",
-            "assigned", "quoted", "credential", "hash_word", "placeholder", "in_url", "test_path", "code_path"]
+            "shape", "assigned", "quoted", "credential", "hash_word", "placeholder", "in_url", "test_path", "code_path"]
 #: Those of them that tell where a candidate stands.
 SURROUNDINGS = ["assigned", "quoted", "credential", "hash_word", "in_url", "test_path", "code_path"]
 
@@ -103,6 +103,7 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         _share(v, "[a-z](?=[A-Z])|[A-Z](?=[a-z])").alias("case_changes"),
         (F.size(F.array_distinct(F.split(v, ""))) / F.length(v)).alias("distinct"),
         (F.coalesce("covered", F.lit(0)) / F.length(v)).alias("dictionary"),
+        _flag(v.rlike("^(?:" + KEY_SHAPE + ")")).alias("shape"),
         _flag(before.rlike(r"""[=:]\s*["']?$""")).alias("assigned"),
         _flag(before.rlike(r"""["']$""") & after.rlike(r"""^["']""")).alias("quoted"),
         _flag(F.substring(before, -40, 40).rlike(CREDENTIAL_WORD)).alias("credential"),
@@ -115,7 +116,7 @@ def evident(rows: DataFrame) -> DataFrame:
     """Adds ``evident``: true for known shapes and what is assigned to a credential's name, false for placeholders, numbers,
     words, and what is called a hash or id; null for all else, such as a key in plain text."""
     v, bare = F.col("value"), (F.col("credential") == 0) & (F.col("assigned") == 0)
-    whole = F.coalesce(v.rlike("^(?:" + KEY_SHAPE + ")"), F.lit(False))
+    whole = F.col("shape") > 0
     named = (F.col("credential") > 0) & (F.col("assigned") > 0) & (F.col("placeholder") == 0) & (F.col("dictionary") < 0.5) & (
         (F.col("quoted") > 0) | (F.col("digits") > 0))
     called = (F.col("credential") == 0) & (F.col("hash_word") > 0)
@@ -145,7 +146,7 @@ def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, t
            bare: bool = False) -> DataFrame:
     """Adds ``score`` (the forest's share of votes for a secret) and ``is_secret``. ``rows`` is a staged table.
 
-    With ``bare`` the forest also learns from each secret without its surroundings."""
+    With ``bare`` the forest also learns from each secret without its surroundings, and called a hash."""
     labels = findings.filter("is_secret IS NOT NULL").groupBy("id", "start").agg(
         F.min(F.col("is_secret").cast("double")).alias("label"), F.max(F.col("is_secret").cast("double")).alias("other")).filter(
         "label = other").select(F.col("id").alias("_id"), F.col("start").alias("_start"), "label")
@@ -161,8 +162,13 @@ def judged(rows: DataFrame, findings: DataFrame, train_rows: int = TRAIN_ROWS, t
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=5,
                                     probabilityCol="_votes", rawPredictionCol="_raw", predictionCol="_guess")
     if bare:
-        alone = [F.lit(0.0).alias(c) if c in SURROUNDINGS else F.col(c) for c in sample.columns]
-        sample = sample.unionByName(sample.filter("label = 1").select(*alone))
+        def placed(**features: float) -> list[Column]:
+            fixed = {**dict.fromkeys(SURROUNDINGS, 0.0), **features}
+            return [F.lit(fixed[c]).alias(c) if c in fixed else F.col(c) for c in sample.columns]
+
+        secret = sample.filter("label = 1")
+        sample = sample.unionByName(secret.select(*placed())).unionByName(
+            secret.filter("shape = 0").select(*placed(hash_word=1.0, label=0.0)))
     model = forest.fit(vector.transform(sample))
     scored = model.transform(vector.transform(rows)).withColumn("score", F.round(vector_to_array("_votes")[1], 9))
     return scored.drop("_features", "_votes", "_raw", "_guess").withColumn("is_secret", F.col("score") >= 0.5)
@@ -173,8 +179,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     """Per candidate: ``_key``, ``id_col``, ``start``, ``n_chars``, ``value``, ``score`` and ``is_secret``."""
     rows = stage(described(candidates(docs, id_col, text, path), dictionary(docs, text)), "described")
     if findings is None:
-        scored = evident(judged(rows, evident_findings(rows), bare=True))
-        scored = scored.withColumn("is_secret", F.coalesce("evident", "is_secret"))
+        scored = judged(rows, evident_findings(rows), bare=True)
     else:
         scored = judged(rows, findings)
     return scored.select("_key", F.col("id").alias(id_col), "start", F.length("value").cast("long").alias("n_chars"), "value",
