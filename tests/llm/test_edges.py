@@ -85,3 +85,12 @@ def test_pages(spark):
     assert sorted((r.page_id or 0, r.text[:8], r.n_chars) for r in got.collect()) == [
         (0, "one &am", 7), (1, "", 0), (2, "", 0), (2, "", 0), (3, "long lon", 499_999)]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_pages_with_clashing_columns(spark):
+    names = ["page", "lines", "places", "hashes", "parents", "digest", "section", "gone", "_row"]
+    rows = [(k, f"http://a.com/{k}", f"<article><div><p>box</p></div><p>own {k}</p></article>", *["mine"] * len(names)) for k in range(8)]
+    pages = spark.createDataFrame(rows, ["page_id", "url", "html", *names])
+    got = html.extract(pages)
+    assert got.columns == ["page_id", "url", *names, "text", "n_chars"]
+    assert all(r.text == f"own {r.page_id}" and all(r[c] == "mine" for c in names) for r in got.collect())

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -339,6 +340,47 @@ def test_templates_of_whole_pages(spark):
     assert got == {k: "same text" if k >= 200 else f"text {k}" for k, _, _ in rows}
 
 
+READ = {
+    "<article><p>one</p><svg-icon></svg-icon><p>two</p></article>": "one\ntwo",
+    "<title-bar>x</title-bar><article><p>y</p></article>": "y",
+    "<article><template-x>a</template-x><style-guide>b</style-guide></article>": "a\nb",
+    "<main><h1>Head</h1><p>intro</p><article><p>teaser</p></article><p>body text long</p></main>": "Head\nintro\nteaser\nbody text long",
+    "<main><p>a</p><article><p>the article itself</p></article></main>": "the article itself",
+    "<article data-u=/x/><p>keep</p></article><p>no</p>": "keep",
+    "<article><p>" + "text " * 20 + "</p><div class='cookie-banner'>c</div><div class='comment-list'>d</div><div class='ad-slot'>e</div>"
+    "<div id='site-footer'>f</div><article class=comment>g</article><div hidden>h</div><div class='entry-header'>Title</div></article>": ("text " * 20).strip() + "\nTitle",
+    "<article><div class='has-sidebar'>a</div><div class='no-ads'>b</div><div class='ad-slot'>more than a third of it</div></article>": "a\nb\nmore than a third of it",
+    "<p>a<script>x</script>b<SCRIPT>if (a<b) '</p>'</script >c": "abc",
+    "<a title=\"x>y\">link</a><p it's>don't</p><!-- a > b -->!<!doctype x>?<p>cut<a href=": "link\ndon't\n!?\ncut",
+    "<textarea>never closed <p>text": "",
+}
+
+
+def test_read_page():
+    for page, want in READ.items():
+        assert "\n".join(line for line, _ in html.read_page(page)[0]) == want, page
+
+
+@pytest.mark.parametrize("page", ["<script" * 140_000, "<script>" * 120_000, "<div>x" * 170_000, "<b>" * 100_000 + "<p>x" * 100_000, "<div class='ad-slot'>x" * 50_000,
+                                  "<div>" * 80_000 + "</i>" * 80_000, "<a b=\"c'" * 100_000 + ">", "&" * 900_000, "<!--" * 200_000, "</script" * 100_000])
+def test_broken_and_nested_pages_are_read_in_one_pass(page):
+    start = time.process_time()
+    html.read_page(page)
+    assert time.process_time() - start < 8
+
+
+def test_counting_decides_what_no_list_names(spark):
+    """Boxes without telling names, of sections and of whole hosts; passages shared by few pages of a large host stay."""
+    box, tip, quote = "<div><p>Read on with us</p></div>", "<section><p>Of this section</p></section>", "<div><p>A quoted passage</p></div>"
+    rows = [(k, f"http://a.com/{'x' if k % 4 == 0 else 'y'}/{k}/p", f"<article><h1>h{k}</h1>{box}<p>text {k}</p>{tip if k % 4 == 0 else ''}{quote if k < 6 else ''}</article>")
+            for k in range(400)]
+    got = html.cleaned(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    for r in got:
+        k = r.page.page_id
+        assert r.text == f"h{k}\ntext {k}" + ("\nA quoted passage" if k < 6 else "")
+        assert r.removed == 1 + (k % 4 == 0)
+
+
 @pytest.mark.parametrize("batches", [1, 5])
 def test_repeated_strings(spark, docs, texts, batches):
     extra = {900_000: "a" * 1000, 900_001: "ab" * 99 + "a", 900_002: "ab" * 100, 900_003: "é" * 150, 900_004: "b" + "é" * 120}
