@@ -10,8 +10,11 @@ anchors, and becomes a level; before the next batch, levels of equal size merge
 corpus of N batches is spread over log N levels and every suffix is rewritten log N times.
 
 Suffixes whose anchor is shared are then judged: consecutive strings with one minimizer form a run, and a run whose
-whole stretch of bytes occurs twice is repeated in full. Of the others, and of one copy of each repeated run beside
-them, single strings are compared. All comparisons are on 64-bit hashes.
+whole stretch of bytes occurs twice is repeated in full. The others, and one copy of each repeated run beside them, are cut
+into pieces of ``PIECE`` offsets from their anchor. Strings of a piece have its core in common: a core found once under its
+anchor repeats no string, and pieces equal in all their bytes repeat them all. Of what is left, the pieces that straddle
+the end of a repeat, and of one copy of each repeated piece beside them, single strings are compared. All comparisons are
+on 64-bit hashes.
 
 Null, empty and short texts lose nothing. Matches never cross documents. Rows that repeat are occurrences of their own.
 """
@@ -30,6 +33,8 @@ from roamlog.session import delete_paths, stage, stage_apart
 
 LENGTH, ANCHOR = 200, 48
 BATCHES = 4
+#: Offsets from an anchor that are judged together before single strings are.
+PIECE = 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -101,8 +106,30 @@ class Runs:
         shape = ((self.high - self.low) << 20 | (self.at - self.low)).astype(np.uint64)
         self.stretch = mixed(whole + mixed(shape)).view(np.int64)
 
-    def string_hashes(self, start: np.ndarray) -> np.ndarray:
-        return mixed(self.hasher.strings(self.prefix, start, start + LENGTH)).view(np.int64)
+    def piece_hashes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the cores and of all bytes of the pieces of ``runs``, in the order of :func:`_pieces`."""
+        at, low, high = self.at[runs], self.low[runs], self.high[runs]
+        run, piece, first, last = _pieces(at, low, high)
+        core = at[run] - PIECE * piece
+        under = mixed(self.key[runs][run].view(np.uint64) + piece.astype(np.uint64))
+        cores = self.hasher.strings(self.prefix, core, core - (PIECE - 1) + LENGTH)
+        whole = self.hasher.strings(self.prefix, first, last + LENGTH)
+        shape = ((last - first) << 20 | (at[run] - first)).astype(np.uint64)
+        return mixed(cores + under).view(np.int64), mixed(whole + mixed(shape)).view(np.int64)
+
+
+def string_hashes(text: bytes, hasher: Hasher, start: np.ndarray) -> np.ndarray:
+    return mixed(hasher.strings(hasher.prefix(text), start, start + LENGTH)).view(np.int64)
+
+
+def _pieces(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per piece of the runs (anchors ``at``, starts of strings ``low``..``high``): its run, its number, and the first and
+    last start of its strings. Piece p holds the strings that begin p * ``PIECE`` bytes before the anchor or a little more."""
+    nearest, farthest = (at - high) // PIECE, (at - low) // PIECE
+    size = farthest - nearest + 1
+    run = np.repeat(np.arange(len(at)), size)
+    piece = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + nearest[run]
+    return run, piece, np.maximum(low[run], at[run] - PIECE * piece - (PIECE - 1)), np.minimum(high[run], at[run] - PIECE * piece)
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -184,21 +211,67 @@ def repeated_strings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def first(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Finish rows without strings to look up; others keep their text and the hashes of those strings."""
+        """Finish rows without runs to look into; others keep their text and the hashes of the pieces of those runs."""
         hasher = Hasher()
         for b in chunks(batches_, "text"):
             out = _Results()
-            texts, sought, hashes, spans = [], [], [], []
-            for key, t, runs in zip(b.column("_key"), utf8(b.column("text")), b.column("runs")):
-                low = high = look_low = look_high = hashed = np.empty(0, np.int64)
+            texts, sought, cores, wholes, spans = [], [], [], [], []
+            for t, runs in zip(utf8(b.column("text")), b.column("runs")):
+                low = high = wanted = core = bytes_ = np.empty(0, np.int64)
+                places = np.empty((3, 0), np.int64)
                 if runs.is_valid:
                     r = Runs(t, hasher)
                     i, whole, seek = (v.to_numpy(zero_copy_only=False) for v in runs.values.flatten())
                     low, high = r.low[i[whole]], r.high[i[whole]] + LENGTH
                     wanted = np.unique(i[seek])
-                    look_low, look_high = r.low[wanted], r.high[wanted]
                     if len(wanted):
-                        hashed = r.string_hashes(_starts(look_low, look_high))
+                        places = np.stack([r.at[wanted], r.low[wanted], r.high[wanted]])
+                        core, bytes_ = r.piece_hashes(wanted)
+                if len(wanted):
+                    out.skip()
+                else:
+                    out.add(t, low, high)
+                texts.append(t if len(wanted) else None)
+                sought.append(places.ravel())
+                cores.append(core)
+                wholes.append(bytes_)
+                spans.append(np.concatenate([low, high]))
+            yield pa.RecordBatch.from_arrays([
+                b.column("_key"), b.column("id"), *out.arrays(), pa.array(texts, pa.binary()), _lists(sought, pa.int64()),
+                _lists(cores, pa.int64()), _lists(wholes, pa.int64()), _lists(spans, pa.int64())],
+                names=["_key", "id", *_Results.NAMES, "text", "sought", "cores", "pieces", "whole"])
+
+    # Texts are shuffled once, at every size alike, and streamed past what is known of their runs.
+    half = stage(rows.join(per_row.hint("shuffle_hash"), "_key", "left").select("_key", "id", "text", "runs").mapInArrow(
+        first, f"_key long, id {id_type}, {_Results.DDL}, text binary, sought array<long>, cores array<long>, pieces array<long>, whole array<long>"), "judged-rows")
+    cut = half.filter("text IS NOT NULL").select("_key", F.posexplode(F.arrays_zip("cores", "pieces")).alias("i", "p")).select(
+        "_key", "i", F.col("p.cores").alias("core"), F.col("p.pieces").alias("piece"))
+    kinds = cut.groupBy("core", "piece").agg(F.count("*").alias("n"), F.min(F.struct("_key", "i")).alias("one"))
+    kinds_path, kinds = stage_apart(kinds, "pieces")
+    often = kinds.groupBy("core").agg(F.sum("n").alias("on")).filter("on > 1")
+    judged_pieces = cut.join(kinds.join(often, "core"), ["core", "piece"]).select(
+        "_key", "i", (F.col("n") > 1).alias("whole"),
+        ((F.col("n") == 1) | ((F.col("on") > F.col("n")) & (F.struct("_key", "i") == F.col("one")))).alias("look"))
+    pieces_of = stage(judged_pieces.distinct().groupBy("_key").agg(F.collect_list(F.struct("i", "whole", "look")).alias("found")), "pieces-of-rows")
+    delete_paths(spark, [kinds_path])
+
+    def second(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Finish rows without pieces to look into; others keep their text and the hashes of the strings of those pieces."""
+        hasher = Hasher()
+        for b in chunks(batches_, "text"):
+            out = _Results()
+            texts, sought, hashes, spans = [], [], [], []
+            for t, whole, runs, found in zip(b.column("text").to_pylist(), *(b.column(c) for c in ("whole", "sought", "found"))):
+                low, high = whole.values.to_numpy().reshape(2, -1)
+                look_low = look_high = hashed = np.empty(0, np.int64)
+                if found.is_valid:
+                    *_, start, end = _pieces(*runs.values.to_numpy().reshape(3, -1))
+                    i, repeated, seek = (v.to_numpy(zero_copy_only=False) for v in found.values.flatten())
+                    low, high = np.concatenate([low, start[i[repeated]]]), np.concatenate([high, end[i[repeated]] + LENGTH])
+                    look = np.unique(i[seek])
+                    look_low, look_high = start[look], end[look]
+                    if len(look):
+                        hashed = string_hashes(t, hasher, _starts(look_low, look_high))
                 if len(hashed):
                     out.skip()
                 else:
@@ -212,14 +285,14 @@ def repeated_strings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
                 _lists(hashes, pa.int64()), _lists(spans, pa.int64())],
                 names=["_key", "id", *_Results.NAMES, "text", "sought", "hashes", "whole"])
 
-    # Texts are shuffled once, at every size alike, and streamed past what is known of their runs.
-    half = stage(rows.join(per_row.hint("shuffle_hash"), "_key", "left").select("_key", "id", "text", "runs").mapInArrow(
-        first, f"_key long, id {id_type}, {_Results.DDL}, text binary, sought array<long>, hashes array<long>, whole array<long>"), "judged-rows")
-    strings = half.filter("text IS NOT NULL").select("_key", F.posexplode("hashes").alias("i", "hash"))
+    looked = stage(half.filter("text IS NOT NULL").join(pieces_of.hint("shuffle_hash"), "_key", "left").select(
+        "_key", "id", "text", "sought", "whole", "found").mapInArrow(
+        second, f"_key long, id {id_type}, {_Results.DDL}, text binary, sought array<long>, hashes array<long>, whole array<long>"), "looked-rows")
+    strings = looked.filter("text IS NOT NULL").select("_key", F.posexplode("hashes").alias("i", "hash"))
     twice = stage(strings.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "repeated-strings")
     found = strings.join(twice, "hash").select("_key", "i").distinct().groupBy("_key").agg(F.collect_list("i").alias("found"))
 
-    def second(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def third(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches_, "text"):
             out = _Results()
             for t, spans, sought, found_ in zip(b.column("text").to_pylist(), *(b.column(c) for c in ("whole", "sought", "found"))):
@@ -228,8 +301,9 @@ def repeated_strings(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc
                 out.add(t, np.concatenate([low, more]), np.concatenate([high, more + LENGTH]))
             yield pa.RecordBatch.from_arrays([b.column("id"), *out.arrays()], names=["id", *_Results.NAMES])
 
-    rest = half.filter("text IS NOT NULL").join(stage(found, "found-strings").hint("shuffle_hash"), "_key", "left").select(
-        "id", "text", "whole", "sought", "found").mapInArrow(second, f"id {id_type}, {_Results.DDL}")
+    rest = looked.filter("text IS NOT NULL").join(stage(found, "found-strings").hint("shuffle_hash"), "_key", "left").select(
+        "id", "text", "whole", "sought", "found").mapInArrow(third, f"id {id_type}, {_Results.DDL}")
+    rest = rest.unionByName(looked.filter("text IS NULL").select("id", *_Results.NAMES))
     out = half.filter("text IS NULL").select("id", *_Results.NAMES).unionByName(rest)
     extra = ["spans", "kept"] if with_text else []
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *extra)

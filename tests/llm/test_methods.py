@@ -430,3 +430,31 @@ def test_licenses_by_shuffle(spark, docs, monkeypatch):
     first = sorted(map(tuple, licenses.scan(docs, licenses.default_templates(spark)).collect()))
     monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, licenses.scan(docs, licenses.default_templates(spark)).collect())) == first
+
+
+def test_repeats_that_end_inside_runs(spark):
+    """Texts glued from shared passages of all lengths around 200 bytes, so that repeats begin and end at every offset."""
+    rng = random.Random(12)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefgh ", k=n))
+
+    shared = [noise(n) for n in (150, 199, 200, 201, 215, 260, 330, 700)] + ["xy" * 160]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(shared)
+            a = rng.randrange(0, 40)
+            parts += [noise(rng.randrange(0, 90)), p[a : len(p) - rng.randrange(0, 40)]]
+        texts.append("".join(parts))
+    texts += texts[:3] + [shared[-2]] * 5
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    got = suffixes.repeated_strings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        gone = np.zeros(len(texts[r.doc_id]), bool)
+        for i in range(len(gone) - 199):
+            if seen[texts[r.doc_id][i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        assert r.n_removed == gone.sum() and r.spans == np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).tolist()
