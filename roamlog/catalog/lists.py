@@ -11,7 +11,7 @@ from roamlog.catalog.maintenance import _SNAP
 from roamlog.catalog.trips import _detect, _sql
 from roamlog.catalog.views import ck, tips, world
 from roamlog.functions import scalars as S
-from roamlog.operators import counters as C, digests as DG, feed as FD, filters, listed as L, maintain as M, places as P
+from roamlog.operators import counters as C, digests as DG, feed as FD, filters, listed as L, maintain as M, places as P, textindex as TX
 from roamlog.plans import trips as T
 from roamlog.sources import fixtures as X, readers as R, snapshots
 
@@ -222,3 +222,25 @@ def _(spark, sf):
     path = _path(spark, "arrays")
     body.select("value").repartition(5).write.text(path)
     return R.read_tips(spark, path)
+
+
+_TERMS = ["UE 7", "City 1", "é", "m", "zzz", "go Ü", ""]
+_INDEXED = "(SELECT checkin_id, CASE WHEN CAST(checkin_id AS BIGINT) % 9 = 0 THEN 'Cargo Über ' || venue ELSE venue END AS venue, city, country, CASE WHEN CAST(checkin_id AS BIGINT) % 31 = 0 THEN NULL ELSE category END AS category FROM c)"
+
+
+@query("search_checkins_indexed", ck(" UNION ALL ".join(
+    f"SELECT '{t}' AS term, checkin_id, venue FROM {_INDEXED} WHERE " + " OR ".join(f"coalesce(contains(lower({c}), lower('{t}')), false)" for c in ("venue", "city", "country", "category"))
+    for t in _TERMS)))
+def _(spark, sf):
+    """Searches by the trigram index: several hits, none, short terms, letters beyond ASCII, and a blank one."""
+    i = F.col("checkin_id").cast("bigint")
+    view = X.checkins(spark, sf).select(
+        "checkin_id", F.when(i % 9 == 0, F.concat(F.lit("Cargo Über "), "venue")).otherwise(F.col("venue")).alias("venue"), "city", "country",
+        F.when(i % 31 != 0, F.col("category")).alias("category"))
+    index = TX.TextIndex(_path(spark, "index"), tuple(filters.CHECKIN_SEARCH))
+    index.write(view)
+    found = [index.search(spark, t).select(F.lit(t).alias("term"), "checkin_id", "venue") for t in _TERMS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
