@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -67,6 +68,19 @@ def _lookup_join(df: DataFrame, table: DataFrame | None, key: Column, out: str,
     return df.withColumn("_lk", F.coalesce(key, none)).join(t, on, "left").drop("_lk", "_key", *[f"_by_{c}" for c in by])
 
 
+def _by_date(df: DataFrame, tables: dict[str, DataFrame | None], by: list[str] | None = None) -> DataFrame:
+    """One column per table keyed by time, its value or NULL. The tables are laid side by side, so the rows are joined once."""
+    by, present = by or [], {n: t for n, t in tables.items() if t is not None}
+    if present:
+        each = [t.select(*by, "key", F.lit(n).alias("_which"), F.col("value").cast("string").alias("value")) for n, t in present.items()]
+        wide = reduce(DataFrame.unionByName, each).groupBy(*by, "key").agg(*[
+            F.max(F.when(F.col("_which") == n, F.col("value"))).alias(n) for n in present])
+        held = wide.select(*by, "key", F.struct(*present).alias("value"))
+        df = _lookup_join(df, held, S.py_strip(F.col("date")), "_held", by)
+        df = df.withColumns({n: F.col(f"_held.{n}") for n in present}).drop("_held")
+    return df.withColumns({n: F.lit(None).cast("string") for n, t in tables.items() if t is None})
+
+
 def fix_country(df: DataFrame, fixes: DataFrame | None, by: list[str] | None = None) -> DataFrame:
     """Country override by time (``key``, ``value``), within the log that ``by`` names."""
     j = _lookup_join(df, fixes, S.py_strip(F.col("date")), "_fix", by)
@@ -138,17 +152,21 @@ def nearest(points: DataFrame, centroids: DataFrame, max_km: float = 90.0) -> Da
 
 def infer_city(df: DataFrame, resolver: Resolver, by: list[str] | None = None) -> DataFrame:
     """Fill blank cities: exact time first, else the nearest centroid (on distinct points)."""
+    return _filled(_by_date(df, {"_by_time": resolver.times}, by), resolver)
+
+
+def _filled(df: DataFrame, resolver: Resolver) -> DataFrame:
+    """Blank cities from the column ``_by_time``, else from the nearest centroid."""
     blank = (F.col("city") == "") & ~F.col("city_fixed")
-    j = _lookup_join(df, resolver.times, F.when(blank, S.py_strip(F.col("date"))), "_by_time", by)
     need = blank & F.col("_by_time").isNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    points = j.filter(need).select("country", "lat", "lng").distinct()
+    points = df.filter(need).select("country", "lat", "lng").distinct()
     # Staged, so that the join with all rows is planned with the size of the answer known.
     found = stage(nearest(points, resolver.centroids, resolver.max_km).select(
         F.col("country").alias("_c"), F.col("lat").alias("_la"), F.col("lng").alias("_ln"), F.col("city").alias("_near")
     ), "inferred")
     on = need & (F.col("country") == F.col("_c")) & (F.col("lat") == F.col("_la")) & (F.col("lng") == F.col("_ln"))
     return (
-        j.join(found, on, "left")
+        df.join(found, on, "left")
         .withColumn("city", F.when(blank, F.coalesce("_by_time", "_near", "city")).otherwise(F.col("city")))
         .drop("_by_time", "_near", "_c", "_la", "_ln")
     )
@@ -159,9 +177,14 @@ def clean_checkins(raw: DataFrame, mappings: Mappings, resolver: Resolver | None
 
     With ``by``, the tables keyed by time have these columns too, and apply to their own log.
     """
-    df = fix_city(fix_country(typed(raw), mappings.country_fixes, by), mappings.city_fixes, by)
+    tables = {"_country": mappings.country_fixes, "_city": mappings.city_fixes}
+    if resolver is not None:
+        tables["_by_time"] = resolver.times
+    df = _by_date(typed(raw), tables, by).withColumns({
+        "country": F.coalesce("_country", "country"), "city_fixed": F.col("_city").isNotNull(), "city": F.coalesce("_city", "city"),
+    }).drop("_country", "_city")
     if resolver is not None:
-        df = infer_city(df, resolver, by)
+        df = _filled(df, resolver)
     return merge_city(df, mappings.city_merge, unless=F.col("city_fixed")).drop("city_fixed")
 
 
