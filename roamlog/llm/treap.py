@@ -28,6 +28,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from roamlog.llm.common import chunks, query, table, utf8
 from roamlog.session import stage
@@ -301,10 +302,11 @@ def _search_group(index: DataFrame, group: list[tuple], n_docs: int, k: int, id_
     for _, terms in group:
         mine = np.array([place[t] for t in terms])
         ask.append(mine[weight[mine] > 0])
-    sent = index.sparkSession.sparkContext.broadcast((wanted, weight, ask))
+    sent = index.sparkSession.sparkContext.broadcast((wanted, weight, ask, [i for i, _ in group]))
+    id_kind = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, weight, ask = sent.value
+        wanted, weight, ask, item_ids = sent.value
         best: list[list[tuple]] = [[] for _ in ask]  # (-score, id is null, id), the least first
         for batch in batches:
             for b in range(batch.num_rows):
@@ -329,13 +331,12 @@ def _search_group(index: DataFrame, group: list[tuple], n_docs: int, k: int, id_
         rows = [(j, doc, -s) for j, top in enumerate(best) for s, _, doc in top]
         item, doc, score = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(item, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.int64())], names=["item", "doc", "score"])
+            [pa.array(item, pa.int64()), pa.array([item_ids[j] for j in item], id_kind), pa.array(doc, pa.int64()),
+             pa.array(score, pa.int64())], names=["item", "item_id", "doc", "score"])
 
-    found = index.mapInArrow(run, "item long, doc long, score long")
+    found = index.mapInArrow(run, f"item long, item_id {id_type.simpleString()}, doc long, score long")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc")))
-    names = index.sparkSession.createDataFrame([(j, i) for j, (i, _) in enumerate(group)], T.StructType([
-        T.StructField("item", T.LongType()), T.StructField("item_id", id_type)]))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).join(names, "item").select(
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
         "item_id", "rank", F.col("doc").cast(doc_type).alias("doc_id"), "score")
 
 
