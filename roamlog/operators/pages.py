@@ -65,8 +65,10 @@ def objects_where(docs: DataFrame, owner: str, col: str = "doc") -> DataFrame:
         found = level.filter(F.startswith(kind, F.lit("OBJECT"))).filter(wanted)
         return found.select("page_id", F.try_variant_get(node, "$.id", "string").alias("id"), F.parse_json(F.lit(None)).alias("node"))
 
-    level = containers(docs.select("page_id", F.try_parse_json(F.col(col)).alias("node")).filter(F.col("node").isNotNull()))
-    paths, depth = [], 0
+    # Parsed once: a filter on the parsed value would otherwise parse the text again for each of its parts.
+    parsed = docs.select("page_id", F.try_parse_json(F.col(col)).alias("node"))
+    parsed_path, parsed = stage_apart(parsed, "documents")
+    level, paths, depth = containers(parsed.filter(F.col("node").isNotNull())), [], 0
     while True:
         levels = [level]
         while len(levels) < (LEVELS if depth >= SHALLOW else 1):
@@ -77,7 +79,7 @@ def objects_where(docs: DataFrame, owner: str, col: str = "doc") -> DataFrame:
         level, depth = opened(seen.filter("node IS NOT NULL").select("page_id", "node")), depth + len(levels)
         if seen.filter("node IS NOT NULL").isEmpty():
             break
-    keep_staged(paths)
+    keep_staged([parsed_path, *paths])
     return spark.read.schema(seen.schema).parquet(*paths).filter("id IS NOT NULL").select("page_id", "id").distinct()
 
 
