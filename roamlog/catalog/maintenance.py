@@ -96,7 +96,7 @@ def _(spark, sf):
     stored = ex.filter("city = 'HOME' AND venue_id = 'v8'").select(*cols)
     ledger = stored.withColumns({"venue_id": F.lit("old"), "kind": F.lit("duplicate")}).unionByName(
         gone.withColumn("checkin_id", F.lit("0")))
-    return M.merge_anomalies(ledger.dropDuplicates(["kind", "venue_id", "date", "checkin_id"]), dups.unionByName(gone)).select("kind", *cols)
+    return M.merge_anomalies(ledger, dups.unionByName(gone)).select("kind", *cols)
 
 
 _SNAP = """old AS (SELECT venue_id, venue, city, country, lat, lng, category FROM (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY ts DESC, checkin_id) AS r FROM c
