@@ -160,3 +160,18 @@ def test_broken_tip_lines_are_set_aside(spark, tmp_path):
     p.write_text('{"id": "1", "ts": 5}\nnot json\n\n{"id": "2", "ts": "x"}\n')
     assert [r.id for r in R.read_tips(spark, str(p), multiline=False).collect()] == ["1"]
     assert sorted(r.line for r in R.broken_tips(spark, str(p)).collect()) == sorted(["not json", '{"id": "2", "ts": "x"}'])
+
+
+def test_every_tip_array_is_a_file_of_its_own(spark, sf_dir):
+    """However the arrays are spread over tasks, none shares a file, where the reader would see only the first."""
+    import __spark_entry__ as E
+
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert len(E.queries()["read_tips_array"](spark, sf_dir).collect()) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
