@@ -18,7 +18,6 @@ from roamlog.streaming.runs import AT, UserResults, UserRuns
 
 
 USER = "user_id"
-STREAM_KEYS = [USER, *ROW_KEYS]
 
 
 def stream_checkins(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -37,7 +36,12 @@ def stream_checkins(spark: SparkSession, folder: str, max_files: int | None = No
 
 @dataclass(frozen=True)
 class LogStore(UserRuns):
-    """Check-in table as runs of users (:mod:`roamlog.streaming.runs`), with a log of the users each batch touched."""
+    """Check-in table as runs of users (:mod:`roamlog.streaming.runs`), with a log of the users each batch touched.
+
+    ``keys`` tell the rows of a user apart; with ``checkin_id`` among them, two check-ins at one venue in one second stay two.
+    """
+
+    keys: tuple[str, ...] = tuple(ROW_KEYS)
 
     def _schema(self) -> str:
         return ", ".join(f"{c} string" for c in [USER, *CHECKIN_FIELDS])
@@ -64,12 +68,13 @@ class LogStore(UserRuns):
         """
         spark = batch.sparkSession
         cols = [USER, *CHECKIN_FIELDS]
-        one = top_k(batch.select(*cols), STREAM_KEYS, [F.desc(c) for c in cols if c not in STREAM_KEYS], 1)
+        keys = [USER, *self.keys]
+        one = top_k(batch.select(*cols), keys, [F.desc(c) for c in cols if c not in keys], 1)
         path, rows = stage_apart(one.withColumn(AT, F.coalesce(S.to_long(F.col("date")), F.lit(0))), "batch")
         spans = rows.groupBy(USER).agg(F.min(AT).alias("lo_at"), F.max(AT).alias("hi_at"))
         changed = f"{self.path}/changes/{batch_id:012d}"
         spans.select(USER).write.mode("overwrite").parquet(changed)
-        fresh_path, fresh = stage_apart(new_rows(rows, self._plain(spark, self.files_of(spans)), by=[USER]), "fresh")
+        fresh_path, fresh = stage_apart(new_rows(rows, self._plain(spark, self.files_of(spans)), list(self.keys), by=[USER]), "fresh")
         self.append(fresh)
         delete_paths(spark, [path, fresh_path])
         return spark.read.schema(f"{USER} string").parquet(changed)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,33 @@ def test_results_of_one_build_appear_together(spark, tmp_path):
     assert [table.read(spark, table=n).count() for n in "ab"] == [1, 2]
     with pytest.raises(FileNotFoundError):
         Snapshots(str(tmp_path / "none")).read(spark)
+
+
+def test_check_ins_of_one_second_are_told_apart_by_their_id(spark, tmp_path):
+    store = ingest.LogStore(str(tmp_path / "store"), keys=("venue_id", "date", "checkin_id"))
+    land(tmp_path / "in", [[doc(1, "v", 1_700_000_000), doc(2, "v", 1_700_000_000)], [doc(2, "v", 1_700_000_000), doc(3, "v", 1_700_000_000)]])
+    drain(spark, tmp_path / "in", store, tmp_path / "off")
+    assert sorted(r.checkin_id for r in store.read(spark).collect()) == ["1", "2", "3"]
+
+
+@pytest.fixture(scope="module")
+def far_users(spark, sf_dir, tmp_path_factory):
+    """The events of every second user again, under users a million further, where twins lie; some ids begin with 9."""
+    folder = tmp_path_factory.mktemp("far")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    far = e.filter("user_id % 2 = 0").withColumns({"user_id": F.col("user_id") + 1_000_000, "event_id": F.col("event_id") + 9_000_000})
+    e.unionByName(far).coalesce(1).write.parquet(str(folder / "events.parquet"))
+    for name in os.listdir(sf_dir):
+        if name != "events.parquet":
+            os.symlink(f"{sf_dir}/{name}", folder / name)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_refresh"])
+def test_streams_equal_their_sql_where_users_lie_among_twins(spark, far_users, name):
+    import duckdb
+    from check_queries import compare
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{far_users}/events.parquet/*.parquet'")
+    assert compare(spark, con, name, far_users) == ""
