@@ -21,16 +21,33 @@ def components(edges: DataFrame) -> DataFrame:
     Empty links give an empty table; repeated links and self-links do no harm.
     """
     now = stage(edges.filter("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "links")
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _to_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _to_minimum(large)
-        now = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        now = stage(small.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "links")
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether every u of distinct links (u, v), v < u, has one v, which is no u itself."""
+    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("low"), F.lit(False).alias("high")).unionByName(
+        links.select(F.col("v").alias("id"), F.lit(0).alias("low"), F.lit(True).alias("high")))
+    met = ends.groupBy("id").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return not met.agg(F.bool_or((F.col("low") > 1) | ((F.col("low") > 0) & F.col("high")))).head()[0]
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) after more ``edges`` (a, b) join components ``labels`` (id, component), staged, of :func:`components`.
+
+    Only the edges between different components are solved, on the smallest ids that stand for these.
+    """
+    def root(edges: DataFrame, end: str) -> DataFrame:
+        known = labels.select(F.col("id").alias(end), F.col("component").alias("_root"))
+        return edges.join(known, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+
+    over = stage(components(root(root(edges.select("a", "b"), "a"), "b")), "joined")
+    moved = over.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    kept = labels.join(moved, "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return kept.unionByName(over.join(labels, "id", "left_anti").select("id", "component"))

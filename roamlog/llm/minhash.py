@@ -21,6 +21,7 @@ shingle. Rows with a null id link with nothing. Rows that repeat an id are one n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from roamlog.llm.common import chunks, query, table, utf8
-from roamlog.llm.links import components
+from roamlog.llm.links import components, joined
 from roamlog.session import stage
 
 BANDS, ROWS = 48, 6
@@ -97,9 +98,15 @@ class Signer:
         return h.view(np.int64)
 
 
+@cache
+def _signer(bands: int, rows: int) -> Signer:
+    """Drawn once in each Python worker."""
+    return Signer(bands, rows)
+
+
 def _signatures(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        signer = _signer(bands, rows)
         for b in chunks(batches, "text"):
             sets = [shingle_set(t, width) for t in utf8(b.column("text"))]
             keys = signer.band_keys(np.stack([signer.signature(s) for s in sets]))
@@ -114,7 +121,7 @@ def _signatures(width: int, bands: int, rows: int):
 
 def _sets(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        signer = _signer(bands, rows)
         for b in chunks(batches, "text"):
             sets = [shingle_set(t, width) for t in utf8(b.column("text"))]
             same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == h for s, h in zip(sets, b.column("set_hash").to_pylist())])
@@ -178,8 +185,10 @@ def _near_in_blocks(percent: int):
     return run
 
 
-def link_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected through similar classes sharing a bucket.
+def link_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) of the links with hubs, and the links (a, b) found beyond them.
+
+    Together they connect what is connected through similar classes sharing a bucket.
 
     ``buckets`` (bucket, rows, id, n) and ``sets`` (id, set, sketch, bands) are staged tables; ``rows`` is the bucket's size.
     """
@@ -190,8 +199,7 @@ def link_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     tested = stage(buckets.join(hubs, "bucket").filter("id <> hub").filter(fits).select(
         F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "hub-pairs")
-    links = stage(confirm(tested, sets, percent), "confirmed")
-    labels = stage(components(links), "labels")
+    labels = stage(components(confirm(tested, sets, percent)), "labels")
     # What is left: members outside their bucket's largest component, against the whole bucket.
     known = stage(buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("size"))
@@ -201,12 +209,12 @@ def link_classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     member = F.struct("id", "n", "component", "sketch", "bands")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
-    all_ = members.groupBy("bucket", block).agg(F.collect_list(member).alias("members"))
-    outside = members.filter("component <> main").groupBy("bucket", block).agg(F.collect_list(member).alias("outside"))
-    pairs = outside.select("bucket", "outside").join(all_.select("bucket", "members"), "bucket").mapInArrow(
+    dealt = members.groupBy("bucket", "main", block).agg(F.collect_list(member).alias("members"))
+    outside = dealt.select("bucket", F.expr("filter(members, x -> x.component <> main)").alias("outside")).filter("size(outside) > 0")
+    pairs = outside.join(dealt.select("bucket", "members"), "bucket").mapInArrow(
         _near_in_blocks(percent), tested.schema)
     rest = stage(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "rest-pairs")
-    return links.unionByName(stage(confirm(rest, sets, percent), "confirmed"))
+    return labels, confirm(rest, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS,
@@ -231,12 +239,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # Texts are shuffled and streamed past the wanted ids, at every size alike.
     sets = stage(texts.join(wanted.hint("shuffle_hash"), "id").select("id", "text", "set_hash").mapInArrow(
         _sets(width, bands, rows), f"id {id_type}, set binary, sketch binary, bands binary").dropDuplicates(["id"]), "sets")
-    links = link_classes(buckets.select("bucket", "rows", "id", "n"), sets, percent)
+    labels, links = link_classes(buckets.select("bucket", "rows", "id", "n"), sets, percent)
     # An id that repeats with several texts joins their classes.
     again = usable.join(classes.select("set_hash", "rep"), "set_hash").filter("id <> rep").select("id", "set_hash", "rep")
     twice = again.groupBy("id").agg(F.countDistinct("set_hash").alias("sets"))
     same_id = again.join(twice.filter("sets > 1"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found = stage(components(links.unionByName(same_id)), "components")
+    found = stage(joined(labels, links.unionByName(same_id)), "components")
     class_of = classes.select("set_hash", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_hash", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "set_hash").join(class_of, "set_hash", "left")

@@ -458,3 +458,16 @@ def test_repeats_that_end_inside_runs(spark):
             if seen[texts[r.doc_id][i : i + 200]] > 1:
                 gone[i : i + 200] = True
         assert r.n_removed == gone.sum() and r.spans == np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).tolist()
+
+
+def test_links_between_components_join_them_without_solving_them_again(spark):
+    from roamlog.llm import links
+
+    edges = [(1, 2), (2, 3), (10, 11), (12, 11), (20, 21), (30, 31)]
+    labels = links.stage(links.components(spark.createDataFrame(edges, "a long, b long")), "labels")
+    more = spark.createDataFrame([(3, 12), (21, 40), (41, 40), (2, 1), (50, 51), (7, 7)], "a long, b long")
+    got = {r.id: r.component for r in links.joined(labels, more).collect()}
+    assert got == {**{i: 1 for i in (1, 2, 3, 10, 11, 12)}, **{i: 20 for i in (20, 21, 40, 41)}, 30: 30, 31: 30, 50: 50, 51: 50}
+    none = spark.createDataFrame([], "a long, b long")
+    assert {r.id: r.component for r in links.joined(labels, none).collect()} == {r.id: r.component for r in labels.collect()}
+    assert links.joined(links.stage(links.components(none), "labels"), none).count() == 0
