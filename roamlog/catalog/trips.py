@@ -222,11 +222,11 @@ SELECT sm.user_id, sm.trip_id, checkin_count, start_date, end_date, countries, c
 FROM sm JOIN trips t ON t.user_id = sm.user_id AND t.trip_id = sm.trip_id""", rows=True))
 def _(spark, sf):
     """Names and tags from curated tables, with the positions and times of the trips."""
-    starts = _detect(spark, sf).intervals.select(*U, "start_ts").distinct()
+    found = _detect(spark, sf)
+    starts = found.intervals.select(*U, "start_ts").distinct()
     names = starts.filter("start_ts % 3 = 0").select(*U, F.col("start_ts").alias("name_ts"), F.concat(F.lit("Tour "), "start_ts").alias("name"))
     tags = starts.filter("start_ts % 5 = 0").withColumn("tags", F.array(F.lit("hiking"), F.lit("sea")))
-    found = T.detect(X.checkins(spark, sf), U, "HOME", tables=T.TripTables(names=names, tags=tags))
-    return T.trip_summary(found).drop("min_lat", "max_lat", "min_lng", "max_lng")
+    return T.trip_summary(T.curated(found, names, tags)).drop("min_lat", "max_lat", "min_lng", "max_lng")
 
 
 @query("trip_checkins", _sql("""

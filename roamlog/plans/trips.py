@@ -11,7 +11,7 @@ Intervals may overlap (an arrival may reach past a later short run), so membersh
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -332,6 +332,13 @@ def detect(
     return Trips(by, ordered.filter("real"), intervals, t)
 
 
+def curated(t: Trips, names: DataFrame | None = None, tags: DataFrame | None = None) -> Trips:
+    """Trips already found with curated names and tags. Tags of rides move starts, so only :func:`detect` can take them."""
+    if tags is not None and not tags.filter(F.array_contains("tags", "bicycle")).isEmpty():
+        raise ValueError("give tags of rides to detect")
+    return replace(t, tables=replace(t.tables, names=names, tags=tags))
+
+
 def _forced_starts(runs: DataFrame, ordered: DataFrame, by: list[str], overrides: DataFrame) -> DataFrame:
     ranked = _rank_at(ordered, by, overrides, F.col("new_start_ts"), "_before").select(
         *by, F.col("start_ts").alias("start1_ts"), (F.col("_before") + 1).alias("_first")

@@ -230,3 +230,16 @@ def test_names_tags_and_registry(spark):
 def test_auto_name(spark, n, want):
     df = spark.createDataFrame([(list("ABCD"[:n]), ["Rome"])], "c array<string>, t array<string>")
     assert df.select(T.auto_name(F.col("c"), F.col("t"))).first()[0] == want
+
+
+def test_curated_summary_finds_the_trips_once(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as E
+    from roamlog.plans import trips as T
+
+    calls, mark = [], T.mark_log
+    monkeypatch.setattr(T, "mark_log", lambda *a, **k: (calls.append(1), mark(*a, **k))[1])
+    rows = E.queries()["trip_summary_curated"](spark, sf_dir).collect()
+    assert rows and len(calls) == 1
+    ride = spark.createDataFrame([(1, 5, ["bicycle"])], "user_id long, start_ts long, tags array<string>")
+    with pytest.raises(ValueError, match="detect"):
+        T.curated(T.Trips(["user_id"], ride, ride, T.TripTables()), tags=ride)
