@@ -42,7 +42,7 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY checkin_count D
 def _(spark, sf):
     """Each user's trips by size, with their place."""
     order = [F.desc(filters.TRIP_SORTS["checkins"]), F.asc("trip_id")]
-    return L.ranked(T.trip_summary(_detect(spark, sf)), order, U, range_rows=200).select("user_id", "rank", "trip_id", "checkin_count")
+    return L.ranked(T.trip_sizes(_detect(spark, sf)), order, U, range_rows=200).select("user_id", "rank", "trip_id", "checkin_count")
 
 
 @query("tips_sorted", tips("SELECT row_number() OVER (ORDER BY agree_count DESC, ts DESC, id) AS rank, id, agree_count FROM tips"))

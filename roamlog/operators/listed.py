@@ -16,10 +16,16 @@ RANGE_ROWS = 1_000_000
 
 
 def ranked(df: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "rank", range_rows: int | None = None) -> DataFrame:
-    """Adds the 1-based position of each row of its list, in ``order``, which should end in a key."""
+    """Adds the 1-based position of each row of its list, in ``order``, which should end in a key.
+
+    Ranges of ``range_rows`` spread a short list. There are no more of them than shuffle partitions, unless these would
+    hold over ``RANGE_ROWS`` rows each: a task and a file for every few rows would cost more than the rows themselves.
+    """
     by = by or []
     table = stage(df, "list")
-    parts = -(-table.count() // (range_rows or RANGE_ROWS)) or 1
+    n = table.count()
+    most = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
+    parts = min(-(-n // (range_rows or RANGE_ROWS)), most) or 1
     ranged = stage(table.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     offsets = _swept(counts, by, [("_range", False)], {"_off": ("sum", "_n", _BEFORE)}, many=True)

@@ -467,6 +467,11 @@ def _ranked_values(facet: str) -> Column:
     return F.transform(items, lambda x: x["value"])
 
 
+def trip_sizes(t: Trips) -> DataFrame:
+    """``checkin_count`` of each trip, as in :func:`trip_summary`: ordinals have no gaps, so an interval tells its rows."""
+    return t.intervals.select(*t.by, "trip_id", (F.col("end_idx") - F.col("start_idx") + 1).alias("checkin_count"))
+
+
 def trip_summary(t: Trips) -> DataFrame:
     """One row per trip: dates, places by frequency, counts, extent, name and tags."""
     keys = [*t.by, "trip_id"]

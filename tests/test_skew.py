@@ -103,3 +103,20 @@ def test_ranks_and_pages(spark, monkeypatch, group):
     assert index == {(u, p): (sum(w[0] == u and (w[4] - 1) // 25 + 1 == p for w in want), next(w[3] for w in want if w[0] == u and w[4] == 25 * p - 24)) for u, p in index}
     assert sum(n for n, _ in index.values()) == 700
     assert L.ranked(df.limit(0), [F.asc("id")]).count() == 0
+
+
+def test_short_ranges_grow_with_a_long_list(spark, monkeypatch):
+    """Ranges asked for by a few rows are no more than shuffle partitions, until these would hold too many rows."""
+    from roamlog import session
+
+    def ranges(n, rows):
+        before = session.staged_count()
+        got = L.ranked(spark.range(n), [F.desc("id")], range_rows=rows)
+        assert got.count() == n and got.filter(F.col("rank") != n - F.col("id")).count() == 0
+        return max(len(spark.read.parquet(p).inputFiles()) for p in session._WRITTEN[before:] if "/ranges-" in p)
+
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 1 < ranges(most * 10, 20) <= most
+    assert ranges(most * 400, 10) <= most
+    monkeypatch.setattr(L, "RANGE_ROWS", 100)
+    assert most < ranges(most * 400, 10) <= most * 4

@@ -243,3 +243,20 @@ def test_curated_summary_finds_the_trips_once(spark, sf_dir, monkeypatch):
     ride = spark.createDataFrame([(1, 5, ["bicycle"])], "user_id long, start_ts long, tags array<string>")
     with pytest.raises(ValueError, match="detect"):
         T.curated(T.Trips(["user_id"], ride, ride, T.TripTables()), tags=ride)
+
+
+def test_sizes_are_those_of_the_summary(spark):
+    logs = {i: random_log(random.Random(i), 150) for i in range(6)}
+    logs |= {9: SCENARIOS["overlapping trips"][0], 10: away(BASE, 5), 11: [home(BASE)]}
+    t = T.detect(frame(spark, logs), ["user_id"], "H")
+    keys = ["user_id", "trip_id", "checkin_count"]
+    sizes = {tuple(r) for r in T.trip_sizes(t).select(*keys).collect()}
+    assert len(sizes) > 10 and sizes == {tuple(r) for r in T.trip_summary(t).select(*keys).collect()}
+
+
+def test_sorted_trips_read_no_rows_of_trips(spark, sf_dir, monkeypatch):
+    import __spark_entry__ as E
+    from roamlog.plans import trips as T
+
+    monkeypatch.setattr(T, "_trip_rows", None)
+    assert E.queries()["trips_sorted"](spark, sf_dir).count() > 0
